@@ -129,9 +129,10 @@ SHAPES = {
                CASE WHEN user_id % 3 = 0 THEN NULL ELSE (user_id % 10) / 10.0 END AS avg_accuracy,
                (user_id % 7) / 7.0 AS avg_r2
         FROM {events} GROUP BY user_id""",
-    # Model scores, five folds of four models per table.
+    # Fold scores of three models per table, some of them failed.
     "scores": """
-        SELECT o_custkey AS table_id, o_orderstatus AS model, CAST(o_orderkey % 5 AS INT) AS fold,
+        SELECT o_custkey AS table_id,
+               CASE o_orderstatus WHEN 'F' THEN 'Random Forest' WHEN 'O' THEN 'Logistic Regression' ELSE 'SVM' END AS model, CAST(o_orderkey % 5 AS INT) AS fold,
                CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE (o_orderkey * 7919 % 1000) / 1000.0 END AS score,
                CASE WHEN o_orderkey % 50 = 0 THEN 'did not converge' END AS error
         FROM {orders}""",

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 _TINY = 1e-300
 
@@ -48,7 +48,7 @@ def _beta_tail(a: float, b: float, x: float) -> float | None:
     return incomplete_beta(a, b, x)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _beta_udf(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
     return pd.Series([_beta_tail(*row) for row in zip(a, b, x)], dtype="float64")
 

@@ -171,10 +171,11 @@ def pick_grouping_column(df: DataFrame, low: int = 2, high: int = 10) -> str | N
 
 
 def dtype_families(df: DataFrame) -> DataFrame:
-    """Columns per family and the distinct types among them."""
-    return schema_table(df).groupBy("family").agg(
-        F.count(F.lit(1)).alias("n_columns"), F.concat_ws(", ", F.array_sort(F.collect_set("dtype"))).alias("dtypes")
-    )
+    """Columns per family, the distinct types among them, and their missing values."""
+    named = schema_table(df).join(F.broadcast(missing_counts(df)), "column")
+    return named.groupBy("family").agg(
+        F.count(F.lit(1)).alias("n_columns"), F.concat_ws(", ", F.array_sort(F.collect_set("dtype"))).alias("dtypes"),
+        F.sum("n_missing").alias("n_missing"))
 
 
 def sample_rows(df: DataFrame, order: list[str], k: int = 5) -> DataFrame:

@@ -105,11 +105,13 @@ def join_model_to_table(models: DataFrame, tables: DataFrame, model_path: str =
         F.min_by(table_path, position).alias("processed_path"), F.min(position).alias("_position"))
     lengths = [r[0] for r in stems.select(F.length("_stem").alias("n")).distinct().collect() if r[0]]
     path = F.col(model_path)
-    pieces = F.flatten(F.array(*[
-        F.when(F.length(path) >= n, F.transform(F.sequence(F.lit(1), F.length(path) - n + 1),
-                                                lambda i, n=n: F.substring(path, i, F.lit(n))))
-        .otherwise(F.array().cast("array<string>")) for n in lengths
-    ])) if lengths else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+
+    def pieces_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(path) - n + 1)
+        return F.when(F.length(path) >= n, F.transform(starts, lambda i: F.substring(path, i, F.lit(n)))).otherwise(none)
+
+    pieces = F.concat(none, *[pieces_of(n) for n in lengths])
     found = (
         models.select(model_path, F.explode(F.array_distinct(pieces)).alias("_stem"))
         .join(firsts, "_stem")

@@ -20,14 +20,17 @@ CORRELATION_SCHEMA = ("test_type string, variable1 string, variable2 string, n b
 
 
 def column_pairs(df: DataFrame) -> DataFrame:
-    """Numeric columns i < j, one row per pair."""
-    pairs = list(combinations(numeric_columns(df), 2))
-    return df.sparkSession.createDataFrame(pairs, "variable1 string, variable2 string")
+    """Numeric columns i < j with the number of rows present in both."""
+    both = [[F.lit(a), F.lit(b), F.count_if(present(df, a).isNotNull() & present(df, b).isNotNull())]
+            for a, b in combinations(numeric_columns(df), 2)]
+    return rows_from_aggregates(df, both, ["variable1", "variable2", "n"])
 
 
 def num_by_cat_grid(df: DataFrame) -> DataFrame:
-    grid = [(n, c) for n in numeric_columns(df) for c in string_columns(df)]
-    return df.sparkSession.createDataFrame(grid, "dependent_variable string, independent_variable string")
+    """Numeric by category columns with the number of rows present in both."""
+    both = [[F.lit(n), F.lit(c), F.count_if(present(df, n).isNotNull() & quoted(c).isNotNull())]
+            for n in numeric_columns(df) for c in string_columns(df)]
+    return rows_from_aggregates(df, both, ["dependent_variable", "independent_variable", "n"])
 
 
 def _pearson(a: Column, b: Column) -> list[Column]:
@@ -113,20 +116,52 @@ def average_rank(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     return ranked.withColumnRenamed("_value", "rank")
 
 
+def _gap_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Spearman of pairs with gaps, each ranked over its own complete rows, all in one job.
+
+    Rows collapse to ``(pair, a, b, n)`` before anything is joined, so equal
+    pairs of values count once. Ranks of N rows average (N + 1) / 2, which
+    centres the sums exactly.
+    """
+    rows = []
+    for i, (a, b) in enumerate(pairs):
+        x, y = present(df, a).cast("double"), present(df, b).cast("double")
+        rows.append(F.when(x.isNotNull() & y.isNotNull(), F.struct(F.lit(i).alias("pair"), x.alias("a"), y.alias("b"))))
+    combos = df.select(F.inline(F.array_compact(F.array(*rows)))).groupBy("pair", "a", "b").agg(
+        F.count(F.lit(1)).alias("n"))
+    sides = combos.select("n", F.inline(F.array(*[
+        F.struct(F.concat(F.col("pair").cast("string"), F.lit(s)).alias("side"), F.col(s).alias("value"))
+        for s in ("a", "b")])))
+    ranks, distinct = average_ranks(sides.groupBy("side", "value").agg(F.sum("n").alias("n")), "side", "value", "n")
+    table = ranks.select(F.struct("side", "value").alias("where"), "rank")
+    for s in ("a", "b"):
+        key = F.struct(F.concat(F.col("pair").cast("string"), F.lit(s)).alias("side"), F.col(s).alias("value"))
+        combos = lookup_join(combos, table.withColumnRenamed("rank", f"rank_{s}"), distinct, key, "where",
+                             ["pair", "a", "b"])
+    totals = F.broadcast(sides.where(F.endswith("side", F.lit("a"))).groupBy(
+        F.regexp_extract("side", "[0-9]+", 0).cast("int").alias("pair")).agg(F.sum("n").alias("total")))
+    x = F.col("rank_a") - (F.col("total") + 1) / 2
+    y = F.col("rank_b") - (F.col("total") + 1) / 2
+    n = F.col("n")
+    spread = F.sqrt(F.sum(n * x * x)) * F.sqrt(F.sum(n * y * y))
+    names = F.array(*[F.struct(F.lit(a).alias("variable1"), F.lit(b).alias("variable2")) for a, b in pairs])
+    found = combos.join(totals, "pair").groupBy("pair").agg(
+        F.sum("n").alias("n"), F.try_divide(F.sum(n * x * y), spread).alias("correlation"))
+    return found.select(F.get(names, F.col("pair"))["variable1"].alias("variable1"),
+                        F.get(names, F.col("pair"))["variable2"].alias("variable2"), "n", "correlation")
+
+
 def spearman_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson on average ranks. Columns without gaps share one ranking; a pair
-    with a gap is ranked over its own complete rows."""
+    """Pearson on average ranks. Columns without gaps share one ranking."""
     columns = columns or numeric_columns(df)
     gaps = df.agg(*[F.count_if(present(df, c).isNull()) for c in columns]).first()
     full = [c for i, c in enumerate(columns) if gaps[i] == 0]
+    partial = [(a, b) for a, b in combinations(columns, 2) if a not in full or b not in full]
     parts = []
     if len(full) > 1:
         parts.append(correlation_pairs(rank_columns(df, full), full))
-    for a, b in combinations(columns, 2):
-        if a in full and b in full:
-            continue
-        both = df.select(present(df, a).cast("double").alias(a), present(df, b).cast("double").alias(b)).dropna()
-        parts.append(correlation_pairs(rank_columns(both, [a, b]), [a, b]))
+    if partial:
+        parts.append(_gap_pairs(df, partial))
     if not parts:
         return df.sparkSession.createDataFrame([], "variable1 string, variable2 string, n bigint, correlation double")
     return reduce(DataFrame.unionByName, parts)

@@ -38,7 +38,8 @@ def priority_name(priority: Column) -> Column:
 
 def queue_sizes(queued: DataFrame) -> DataFrame:
     """Queued tasks per priority, and their total."""
-    sizes = queued.rollup(priority_name(F.col("priority").cast("int")).alias("priority")).agg(
+    named = queued.select(priority_name(F.col("priority").cast("int")).alias("priority"))
+    sizes = named.rollup("priority").agg(
         F.count(F.lit(1)).alias("n_tasks"), F.grouping("priority").alias("_total"))
     return sizes.select(F.when(F.col("_total") == 1, "TOTAL").otherwise(F.col("priority")).alias("priority"), "n_tasks")
 
