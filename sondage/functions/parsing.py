@@ -7,15 +7,17 @@ from pyspark.sql import Column, functions as F
 # What counts as a number. Java would also accept "1d" or "NaN".
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
-# Date and time formats tried in this order, one format per column.
-DATETIME_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd.MM.yyyy",
-)
+# Date and time formats tried in this order, one format per column, each with the shape of its texts.
+# The shape is tested first: a failed parse costs an exception, a failed match does not.
+DATETIME_SHAPES = {
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$",
+    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
+    "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "dd.MM.yyyy": r"^\d{2}\.\d{2}\.\d{4}$",
+}
+DATETIME_FORMATS = tuple(DATETIME_SHAPES)
 
 # The three reply patterns.
 CODE_BLOCK_PATTERN = "(?s)```(?:python)?\\n(.*?)\\n```"
@@ -36,7 +38,10 @@ def as_number(text: Column) -> Column:
 
 
 def as_datetime(text: Column, pattern: str) -> Column:
-    return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+    """The time a text spells in the given format, null when it spells none."""
+    parsed = F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+    shape = DATETIME_SHAPES.get(pattern)
+    return F.when(text.rlike(shape), parsed) if shape else parsed
 
 
 def extract_code_blocks(text: Column) -> Column:
