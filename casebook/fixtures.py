@@ -147,7 +147,7 @@ SHAPES = {
     "replies": r"""
         SELECT doc_id,
                CASE doc_id % 5
-                 WHEN 0 THEN CONCAT('{{"score": ', CAST((doc_id % 100) / 100.0 AS STRING), ', "reasoning": "r', CAST(doc_id AS STRING),
+                 WHEN 0 THEN CONCAT('{{"score": 0.', LPAD(CAST(doc_id % 100 AS STRING), 2, '0'), ', "reasoning": "r', CAST(doc_id AS STRING),
                                     '", "confidence": 0.25, "recommendations": ["a', CAST(doc_id AS STRING), '", "b"]}}')
                  WHEN 1 THEN CONCAT('Relevance Score: 0.', CAST(doc_id % 10 AS STRING), ' because ', SUBSTRING(text, 1, 60))
                  WHEN 2 THEN CONCAT('Intro ', SUBSTRING(text, 1, 20), NL[], '```python', NL[], ' x = ', CAST(doc_id AS STRING), ' ', NL[], '```', NL[],

@@ -1 +1,64 @@
+"""Model comparison, tuning, validation: the whole table goes in, scores come out."""
 
+from __future__ import annotations
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
+
+from sondage.operators import models
+
+from .registry import case, table
+
+
+def _segments(spark, sf_dir):
+    """Customers by segment: five classes."""
+    df = table(spark, sf_dir, "customer")
+    return models.prepare(df, "c_mktsegment", ["c_nationkey", "c_acctbal"], "classification", ["c_custkey"])
+
+
+def _prices(spark, sf_dir):
+    df = table(spark, sf_dir, "part")
+    return models.prepare(df, "p_retailprice", ["p_partkey", "p_size"], "regression", ["p_partkey"])
+
+
+def _quality(spark, sf_dir):
+    """Labelled documents: two classes from the length and the toxicity flag."""
+    df = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return models.prepare(df, "quality", ["toxic", "n_chars"], "classification", ["doc_id"])
+
+
+@case("compare_classifiers")
+def compare_classifiers(spark, sf_dir):
+    return models.compare_classifiers(_quality(spark, sf_dir), 2, 2)
+
+
+@case("compare_regressors")
+def compare_regressors(spark, sf_dir):
+    return models.compare_regressors(_prices(spark, sf_dir))
+
+
+@case("tune_grid")
+def tune_grid(spark, sf_dir):
+    data = _segments(spark, sf_dir)
+    model = LogisticRegression(maxIter=1000, standardization=False)
+    grid = models.tuning_grid("Logistic Regression", model, "classification", data.count(), 2, 5)
+    return models.tune_grid(data, model, grid, "classification", 0.2)[0]
+
+
+@case("tune_random")
+def tune_random(spark, sf_dir):
+    data = _quality(spark, sf_dir)
+    model = LogisticRegression(maxIter=1000, standardization=False)
+    grid = models.tuning_grid("Logistic Regression", model, "classification", data.count(), 2, 2)
+    return models.tune_random(data, model, grid, "classification", 0.5, 3)[0]
+
+
+@case("validate_holdout")
+def validate_holdout(spark, sf_dir):
+    return models.validate_holdout(_quality(spark, sf_dir), LogisticRegression(maxIter=1000), "classification", "doc_id")
+
+
+@case("validate_holdout_regression")
+def validate_holdout_regression(spark, sf_dir):
+    return models.validate_holdout(_prices(spark, sf_dir), LinearRegression(), "regression", "p_partkey")

@@ -57,8 +57,13 @@ def key_terms(text: Column, stop_words: list[str] = TERM_STOP_WORDS) -> Column:
 
 
 def queries_from_terms(text: Column, terms: Column, limit: int = 15) -> Column:
-    """The question, each term with and without "dataset" / "data", and combinations of the first terms."""
-    single = F.flatten(F.transform(terms, lambda t: F.array(t, F.concat(t, F.lit(" dataset")), F.concat(t, F.lit(" data")))))
+    """The question, each term with and without "dataset" / "data", and combinations of the first terms.
+
+    Terms are made distinct before they are spelt out: repeats would only give
+    repeated queries, and no more than ``limit`` distinct terms can show.
+    """
+    some = F.slice(F.array_distinct(terms), 1, limit)
+    single = F.flatten(F.transform(some, lambda t: F.array(t, F.concat(t, F.lit(" dataset")), F.concat(t, F.lit(" data")))))
     none = F.array().cast("array<string>")
     first, second, third = (F.get(terms, F.lit(i)) for i in range(3))
     pair = F.when(F.size(terms) >= 2, F.array(F.concat_ws(" ", first, second),

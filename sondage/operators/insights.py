@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import describe_column
+from ..schema import columns_of, present, schema_table
+from .profile import column_profile
+
 
 def _listed(facts: DataFrame, key: str, sentences: list[Column], name: str) -> DataFrame:
     """One row per sentence that applies, in rule order."""
@@ -77,6 +81,30 @@ def top_findings(tests: DataFrame, order: list[Column], k: int = 5) -> DataFrame
     return first.select(sentence.alias("finding")).where("finding is not null")
 
 
+def document_columns(df: DataFrame) -> DataFrame:
+    """Profile and description of every column."""
+    families = schema_table(df).select("position", "column", "family")
+    profiled = column_profile(df).join(F.broadcast(families), "column")
+    return profiled.select("position", "column", "dtype", "n_missing", "missing_pct", "n_distinct",
+                           describe_column(F.col("column"), F.col("family")).alias("description"))
+
+
+def table_facts(df: DataFrame, table_id: str) -> DataFrame:
+    """One row of facts about a table, as the description sentences need them."""
+    missing = F.lit(0).cast("bigint")
+    for c in df.columns:
+        missing = missing + F.count_if(present(df, c).isNull())
+
+    def names(*families: str) -> Column:
+        return F.array(*[F.lit(c) for c in columns_of(df, *families)]).cast("array<string>")
+
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), missing.alias("n_missing")).select(
+        F.lit(table_id).alias("table_id"), "n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_columns"), "n_missing",
+        names("numeric").alias("numeric_columns"), names("string").alias("categorical_columns"),
+        names("datetime").alias("datetime_columns"),
+        F.array(*[F.lit(t) for _, t in df.dtypes]).alias("dtypes"))
+
+
 def describe_tables(facts: DataFrame) -> DataFrame:
     """Description sentence of each profiled table.
 
