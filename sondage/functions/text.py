@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Stop words of keyword extraction.
@@ -32,14 +34,32 @@ RELEVANCE_STOP_WORDS = (
     "should may might can about this that these those analyze analysis dataset data"
 ).split()
 
-# What separates words, and the punctuation stripped from their edges.
-BLANKS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
-EDGE_PUNCTUATION = r'^[.,!?()\[\]{}":;]+|[.,!?()\[\]{}":;]+$'
+# The characters that separate words, and the punctuation stripped from their edges.
+BLANKS = "".join(chr(c) for c in (
+    9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F,
+    0x3000))
+EDGE_PUNCTUATION = '.,!?()[]{}":;'
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it.
+
+    Column expressions are trees: a value used twice is computed twice, and
+    array functions are not shared between the copies.
+    """
+    return F.transform(F.array(value), body)[0]
 
 
 def words(text: Column) -> Column:
     """Lower-case words between blanks."""
-    return F.filter(F.split(F.lower(text), BLANKS), lambda w: w != "")
+    spaced = F.translate(F.lower(text), BLANKS, " " * len(BLANKS))
+    return F.filter(F.split(spaced, " "), lambda w: w != "")
+
+
+def bare_words(text: Column) -> Column:
+    """Words without edge punctuation, those longer than two characters."""
+    stripped = F.transform(words(text), lambda w: F.btrim(w, F.lit(EDGE_PUNCTUATION)))
+    return F.filter(stripped, lambda w: F.length(w) > 2)
 
 
 def extract_keywords(text: Column, k: int = 5) -> Column:
@@ -50,10 +70,9 @@ def extract_keywords(text: Column, k: int = 5) -> Column:
 
 def key_terms(text: Column, stop_words: list[str] = TERM_STOP_WORDS) -> Column:
     """Words without edge punctuation, stop words left out; all long words if nothing remains."""
-    bare = F.filter(F.transform(words(text), lambda w: F.regexp_replace(w, EDGE_PUNCTUATION, "")),
-                    lambda w: F.length(w) > 2)
-    kept = F.filter(bare, lambda w: ~w.isin(stop_words))
-    return F.when(F.size(kept) > 0, kept).otherwise(bare)
+    return let(bare_words(text), lambda bare: let(
+        F.filter(bare, lambda w: ~w.isin(stop_words)),
+        lambda kept: F.when(F.size(kept) > 0, kept).otherwise(bare)))
 
 
 def queries_from_terms(text: Column, terms: Column, limit: int = 15) -> Column:
@@ -73,7 +92,7 @@ def queries_from_terms(text: Column, terms: Column, limit: int = 15) -> Column:
 
 
 def generate_search_queries(text: Column, limit: int = 15) -> Column:
-    return queries_from_terms(text, key_terms(text), limit)
+    return let(key_terms(text), lambda terms: queries_from_terms(text, terms, limit))
 
 
 def variants_from_terms(terms: Column, limit: int = 10) -> Column:
@@ -95,14 +114,12 @@ def variants_from_terms(terms: Column, limit: int = 10) -> Column:
 
 
 def generate_search_queries_v2(text: Column, limit: int = 10) -> Column:
-    return variants_from_terms(key_terms(text, VARIANT_STOP_WORDS), limit)
+    return let(key_terms(text, VARIANT_STOP_WORDS), lambda terms: variants_from_terms(terms, limit))
 
 
 def relevance_words(question: str) -> list[str]:
     """Distinct words of one question that count for its relevance; a driver-side constant."""
-    import re
-
-    bare = [re.sub(EDGE_PUNCTUATION, "", w) for w in question.lower().split()]
+    bare = [w.strip(EDGE_PUNCTUATION) for w in question.lower().split()]
     return list(dict.fromkeys(w for w in bare if len(w) > 2 and w not in RELEVANCE_STOP_WORDS))
 
 
@@ -112,20 +129,21 @@ def keyword_relevance(text: Column, question: str | Column) -> Column:
     For a fixed question the words are constants and the test is a chain of
     ``contains``; a question column is split into words row by row.
     """
-    lowered = F.lower(text)
+    def score(found: Column, total: Column) -> Column:
+        share = F.try_divide(found, total)
+        boosted = F.when(found > 0, share + 0.2).otherwise(share)
+        return F.coalesce(F.least(boosted, F.lit(1.0)), F.lit(0.5))
+
     if isinstance(question, str):
         terms = relevance_words(question)
         if not terms:
             return F.lit(0.5)
-        found = sum((F.contains(lowered, F.lit(w)).cast("int") for w in terms), F.lit(0))
-        share = found / F.lit(len(terms))
-    else:
-        bare = F.transform(words(question), lambda w: F.regexp_replace(w, EDGE_PUNCTUATION, ""))
-        terms = F.array_distinct(F.filter(bare, lambda w: (F.length(w) > 2) & ~w.isin(RELEVANCE_STOP_WORDS)))
-        found = F.size(F.filter(terms, lambda w: F.contains(lowered, w)))
-        share = F.try_divide(found, F.size(terms))
-    boosted = F.when(found > 0, share + 0.2).otherwise(share)
-    return F.coalesce(F.least(boosted, F.lit(1.0)), F.lit(0.5))
+        return let(F.lower(text), lambda low: let(
+            sum((F.contains(low, F.lit(w)).cast("int") for w in terms), F.lit(0)),
+            lambda found: score(found, F.lit(len(terms)))))
+    asked = F.array_distinct(F.filter(bare_words(question), lambda w: ~w.isin(RELEVANCE_STOP_WORDS)))
+    return let(asked, lambda some: let(F.lower(text), lambda low: let(
+        F.size(F.filter(some, lambda w: F.contains(low, w))), lambda found: score(found, F.size(some)))))
 
 
 def dataset_text(title: Column, description: Column, tags: Column, categories: Column, keywords: Column,

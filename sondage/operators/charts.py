@@ -25,7 +25,7 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = HISTO
     columns = columns or numeric_columns(df)[:HISTOGRAM_COLUMNS]
     values = {c: present(df, c).cast("double") for c in columns}
     ends = df.agg(*[e for c in columns for e in (F.min(values[c]), F.max(values[c]))]).first()
-    entries = []
+    bins_of, starts, widths = [], [], []
     for i, c in enumerate(columns):
         low, high = ends[2 * i], ends[2 * i + 1]
         if low is None:
@@ -33,12 +33,16 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = HISTO
         if low == high:  # a constant column gets a range of width one around it
             low, high = low - 0.5, high + 0.5
         place = F.least(F.floor((values[c] - low) / F.lit(high - low) * bins), F.lit(bins - 1)).cast("int")
-        width = (high - low) / bins
-        entries.append(F.when(values[c].isNotNull(), F.struct(
-            F.lit(c).alias("column"), place.alias("bin"), (low + place * F.lit(width)).alias("lower"),
-            (low + (place + 1) * F.lit(width)).alias("upper"))))
-    return df.select(F.inline(F.array_compact(F.array(*entries)))).groupBy("column", "bin", "lower", "upper").agg(
-        F.count(F.lit(1)).alias("n"))
+        bins_of.append(place.alias(c))
+        starts += [F.lit(c), F.lit(low)]
+        widths += [F.lit(c), F.lit((high - low) / bins)]
+    placed = df.select(*bins_of)
+    long = placed.unpivot([], [quoted(c) for c in placed.columns], "column", "bin").where("bin is not null")
+    counted = long.groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
+    start = F.element_at(F.create_map(*starts), F.col("column"))
+    width = F.element_at(F.create_map(*widths), F.col("column"))
+    return counted.select("column", "bin", (start + F.col("bin") * width).alias("lower"),
+                          (start + (F.col("bin") + 1) * width).alias("upper"), "n")
 
 
 def box_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

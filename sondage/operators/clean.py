@@ -45,17 +45,26 @@ def dedup_keep_first(df: DataFrame, order: str) -> DataFrame:
     return kept.select(*[quoted(c) for c in df.columns])
 
 
-def _type_checks(df: DataFrame, name: str) -> list[Column]:
-    text = quoted(name)
-    bad_number = F.count_if(text.isNotNull() & as_number(text).isNull())
-    bad_dates = [F.count_if(text.isNotNull() & as_datetime(text, f).isNull()) for f in DATETIME_FORMATS]
-    return [bad_number, *bad_dates]
+def _text_kind(text: Column) -> Column:
+    """0 for a number, i + 1 for a time of the i-th format, -1 for other text, null for null."""
+    kind = F.when(text.isNull(), None).when(as_number(text).isNotNull(), 0)
+    for i, pattern in enumerate(DATETIME_FORMATS):
+        kind = kind.when(as_datetime(text, pattern).isNotNull(), i + 1)
+    return kind.otherwise(-1)
+
+
+def _with_kinds(df: DataFrame, texts: list[str]) -> tuple[DataFrame, list[Column]]:
+    """The table with a kind per text column, and aggregates of how many values are not of each kind."""
+    marked = df.withColumns({f"_kind{i}": _text_kind(quoted(c)) for i, c in enumerate(texts)}) if texts else df
+    kinds = range(len(DATETIME_FORMATS) + 1)
+    return marked, [F.array(*[F.count_if(F.col(f"_kind{i}") != k) for k in kinds]) for i in range(len(texts))]
 
 
 def suggest_types(df: DataFrame) -> DataFrame:
     """numeric, datetime (with its format) or object for every string column, in one pass."""
-    entries = [[F.lit(c), F.array(*_type_checks(df, c))] for c in string_columns(df)]
-    checked = rows_from_aggregates(df, entries, ["column", "bad"])
+    texts = string_columns(df)
+    marked, bad = _with_kinds(df.select(*[quoted(c) for c in texts]), texts)
+    checked = rows_from_aggregates(marked, [[F.lit(c), b] for c, b in zip(texts, bad)], ["column", "bad"])
     formats = F.array(*[F.lit(f) for f in DATETIME_FORMATS])
     first_good = F.array_position(F.slice(F.col("bad"), 2, len(DATETIME_FORMATS)), F.lit(0).cast("bigint"))
     return checked.select(
@@ -121,8 +130,8 @@ def plan_cleaning(deduplicated: DataFrame) -> CleaningPlan:
     plan = CleaningPlan()
     df = deduplicated
     texts = string_columns(df)
-    checks = [F.array(*_type_checks(df, c)) for c in texts]
-    row = df.agg(F.count(F.lit(1)), *[F.count_if(present(df, c).isNull()) for c in df.columns], *checks).first()
+    marked, checks = _with_kinds(df, texts)
+    row = marked.agg(F.count(F.lit(1)), *[F.count_if(present(df, c).isNull()) for c in df.columns], *checks).first()
     plan.rows_after_dedup = row[0]
     plan.missing = {c: row[i + 1] for i, c in enumerate(df.columns)}
     gaps = [c for c in df.columns if plan.missing[c] > 0]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..ordering import dense_index, lookup_join
+from ..ordering import Lookup, dense_index, lookup_join
 from ..quantiles import exact_quantiles
 from ..schema import numeric_columns, present, quoted, string_columns
 from .profile import column_modes, small_cardinalities
@@ -33,20 +33,23 @@ def encode_binary(df: DataFrame, columns: list[str]) -> DataFrame:
     })
 
 
-def label_codes(df: DataFrame, column: str) -> tuple[DataFrame, int]:
-    """``(value, code)``: the place of each distinct value in code point order, and how many there are."""
-    distinct = df.select(F.coalesce(quoted(column).cast("string"), F.lit("nan")).alias("value")).distinct()
-    codes = dense_index(distinct, [F.col("value")], "code")
-    return codes, codes.count()
+def label_codes(df: DataFrame, column: str) -> Lookup:
+    """``(value, n, code)``: the place of each distinct value in code point order."""
+    value = F.coalesce(quoted(column).cast("string"), F.lit("nan")).alias("value")
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    codes = dense_index(counts, [F.col("value")], "code")
+    sizes = codes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return Lookup(codes, sizes[0], sizes[1])
 
 
 def encode_label(df: DataFrame, columns: list[str]) -> DataFrame:
     """Replace values by their place among the sorted distinct values; null reads as ``nan``."""
     order = df.columns
     for c in columns:
-        codes, distinct = label_codes(df, c)
+        codes = label_codes(df, c)
         key = F.coalesce(quoted(c).cast("string"), F.lit("nan"))
-        joined = lookup_join(df, codes.withColumnRenamed("code", "_code"), distinct, key, "value", df.columns)
+        renamed = replace(codes, table=codes.table.withColumnRenamed("code", "_code"))
+        joined = lookup_join(df, renamed, key, "value", ["_code"])
         df = joined.drop(c).withColumnRenamed("_code", c).select(*[quoted(o) for o in order])
     return df
 

@@ -7,6 +7,8 @@ unpivoted ``(column, value)`` pairs, so map-side aggregation absorbs hot values.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..quantiles import exact_quantiles
@@ -41,6 +43,39 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``(column, rows, n_missing, n_distinct)``, exact.
+
+    Columns are regrouped with others of their kind, so that whole numbers and
+    floats are hashed as such and only the remaining kinds are turned to text.
+    Each branch reads its own columns alone.
+    """
+    columns = columns or df.columns
+
+    def kind(name: str) -> str:
+        dtype = df.schema[name].dataType
+        if isinstance(dtype, T.IntegralType):
+            return "bigint"
+        if isinstance(dtype, (T.FloatType, T.DoubleType)):
+            return "double"
+        return "timestamp_ntz" if isinstance(dtype, T.TimestampNTZType) else "string"
+
+    parts = []
+    for wanted in ("bigint", "double", "timestamp_ntz", "string"):
+        some = [c for c in columns if kind(c) == wanted]
+        if not some:
+            continue
+        # A float that is not missing has 0.0 and -0.0 as one value already: grouping normalises them.
+        typed = df.select(*[present(df, c).cast(wanted).alias(c) for c in some])
+        long = typed.unpivot([], [quoted(c) for c in some], "column", "value")
+        groups = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(groups.groupBy("column").agg(
+            F.sum("n").alias("rows"),
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
+            F.count("value").alias("n_distinct")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def table_shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)).cast("bigint"))
 
@@ -65,19 +100,15 @@ def missing_only(df: DataFrame) -> DataFrame:
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Type, missing count and share, distinct count per column.
 
-    The exact form regroups the distinct values of all columns in one shuffle;
-    ``approximate`` uses sketches in a single pass without one.
+    The exact form shuffles the distinct values of each column;
+    ``approximate`` uses sketches in a single pass without a shuffle.
     """
     if approximate:
         entries = [[F.lit(c), F.count(F.lit(1)), F.count_if(present(df, c).isNull()),
                     F.approx_count_distinct(present(df, c))] for c in df.columns]
         counted = rows_from_aggregates(df, entries, ["column", "rows", "n_missing", "n_distinct"])
     else:
-        counted = value_counts(df).groupBy("column").agg(
-            F.sum("n").alias("rows"),
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
-            F.count("value").alias("n_distinct"),
-        )
+        counted = distinct_counts(df)
     types = F.create_map(*[e for f in df.schema.fields for e in (F.lit(f.name), F.lit(f.dataType.simpleString()))])
     return counted.select(
         "column", F.element_at(types, F.col("column")).alias("dtype"), "n_missing",
@@ -130,9 +161,7 @@ def datetime_range(df: DataFrame) -> DataFrame:
 
 
 def categorical_cardinality(df: DataFrame) -> DataFrame:
-    return (
-        value_counts(df, string_columns(df)).groupBy("column").agg(F.count("value").alias("n_distinct"))
-    )
+    return distinct_counts(df, string_columns(df)).select("column", "n_distinct")
 
 
 def small_cardinalities(df: DataFrame, columns: list[str], limit: int) -> dict[str, int | None]:
@@ -148,9 +177,8 @@ def small_cardinalities(df: DataFrame, columns: list[str], limit: int) -> dict[s
     few = [c for i, c in enumerate(columns) if estimates[i] <= 2 * limit + 2]
     counts: dict[str, int | None] = dict.fromkeys(columns)
     if few:
-        exact = value_counts(df, few).groupBy("column").agg(F.count("value").alias("d")).collect()
-        for row in exact:
-            counts[row["column"]] = row["d"] if row["d"] <= limit else None
+        for row in distinct_counts(df, few).collect():
+            counts[row["column"]] = row["n_distinct"] if row["n_distinct"] <= limit else None
     return counts
 
 

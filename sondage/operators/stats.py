@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 from itertools import combinations
 
@@ -33,27 +34,50 @@ def num_by_cat_grid(df: DataFrame) -> DataFrame:
     return rows_from_aggregates(df, both, ["dependent_variable", "independent_variable", "n"])
 
 
-def _pearson(a: Column, b: Column) -> list[Column]:
-    """Row count and r over the rows where both are present; a constant side gives null."""
-    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
-    return [F.count(x), F.try_divide(F.covar_pop(x, y), spread)]
+def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
+                      known: tuple[int, float] | None = None) -> DataFrame:
+    """``(variable1, variable2, n, correlation)`` of all column pairs over the rows where both are present.
 
-
-def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(variable1, variable2, n, correlation)`` for all column pairs, in one aggregate per 100 pairs."""
+    A first pass finds each column's count and mean. The second sums products of
+    the centred values, 100 pairs per aggregate: one sum per pair where no value
+    is missing, and the sums over the common rows where some are. A constant
+    side gives null. ``known`` (row count and common mean, no gaps) saves the
+    first pass, as for ranks.
+    """
     columns = columns or numeric_columns(df)
     pairs = list(combinations(columns, 2))
-    values = {c: present(df, c).cast("double") for c in columns}
-    chunks = [pairs[i:i + _PAIRS_PER_AGG] for i in range(0, len(pairs), _PAIRS_PER_AGG)]
-    if not chunks:
-        return df.sparkSession.createDataFrame([], "variable1 string, variable2 string, n bigint, correlation double")
     names = ["variable1", "variable2", "n", "correlation"]
-    parts = [
-        rows_from_aggregates(df, [[F.lit(a), F.lit(b), *_pearson(values[a], values[b])] for a, b in chunk], names)
-        for chunk in chunks
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "variable1 string, variable2 string, n bigint, correlation double")
+    values = {c: present(df, c).cast("double") for c in columns}
+    if known:
+        rows, counts, means = known[0], dict.fromkeys(columns, known[0]), dict.fromkeys(columns, known[1])
+    else:
+        first = df.agg(F.count(F.lit(1)), *[e for c in columns for e in (F.count(values[c]), F.avg(values[c]))]).first()
+        rows = first[0]
+        counts = {c: first[1 + 2 * i] for i, c in enumerate(columns)}
+        means = {c: first[2 + 2 * i] or 0.0 for i, c in enumerate(columns)}
+    at = {c: f"d{i}" for i, c in enumerate(columns)}
+    centred = df.select(*[(values[c] - F.lit(means[c])).alias(at[c]) for c in columns])
+
+    def sums(a: str, b: str) -> list[Column]:
+        x, y = F.col(at[a]), F.col(at[b])
+        if counts[a] == rows and counts[b] == rows:
+            return [F.count(F.lit(1)), F.sum(x * y), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y)]
+        u, v = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        return [F.count(u), F.sum(x * y), F.sum(u), F.sum(v), F.sum(u * u), F.sum(v * v)]
+
+    parts = []
+    for i in range(0, len(pairs), _PAIRS_PER_AGG):
+        entries = [[F.lit(a), F.lit(b), *sums(a, b)] for a, b in pairs[i:i + _PAIRS_PER_AGG]]
+        parts.append(rows_from_aggregates(centred, entries, ["variable1", "variable2", "n", "xy", "x", "y", "xx", "yy"]))
+    total = reduce(DataFrame.unionByName, parts)
+    n = F.col("n")
+    spread_x = F.greatest(F.col("xx") - F.try_divide(F.col("x") * F.col("x"), n), F.lit(0.0))
+    spread_y = F.greatest(F.col("yy") - F.try_divide(F.col("y") * F.col("y"), n), F.lit(0.0))
+    joint = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), n)
+    r = F.try_divide(joint, F.sqrt(spread_x) * F.sqrt(spread_y))
+    return total.select("variable1", "variable2", "n", F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("correlation"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -102,11 +126,11 @@ def rank_columns(df: DataFrame, columns: list[str], keep: list[str] | None = Non
     values = df.select(*[quoted(c) for c in keep], *[present(df, c).cast("double").alias(c) for c in columns])
     long = values.select(*[quoted(c) for c in columns]).unpivot([], [quoted(c) for c in columns], "column", "value")
     counts = long.where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranks, distinct = average_ranks(counts, "column", "value", "n")
+    ranks = average_ranks(counts, "column", "value", "n")
     out = values
     for i, c in enumerate(columns):
-        table = ranks.where(F.col("column") == c).select("value", F.col("rank").alias(f"_rank{i}"))
-        out = lookup_join(out, table, distinct, quoted(c), "value", values.columns)
+        table = ranks.table.where(F.col("column") == c).withColumnRenamed("rank", f"_rank{i}")
+        out = lookup_join(out, replace(ranks, table=table, total=ranks.total // len(columns)), quoted(c), "value", [f"_rank{i}"])
     return out.select(*[quoted(c) for c in keep], *[F.col(f"_rank{i}").alias(c) for i, c in enumerate(columns)])
 
 
@@ -123,29 +147,26 @@ def _gap_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     pairs of values count once. Ranks of N rows average (N + 1) / 2, which
     centres the sums exactly.
     """
-    rows = []
+    parts = []
     for i, (a, b) in enumerate(pairs):
-        x, y = present(df, a).cast("double"), present(df, b).cast("double")
-        rows.append(F.when(x.isNotNull() & y.isNotNull(), F.struct(F.lit(i).alias("pair"), x.alias("a"), y.alias("b"))))
-    combos = df.select(F.inline(F.array_compact(F.array(*rows)))).groupBy("pair", "a", "b").agg(
-        F.count(F.lit(1)).alias("n"))
+        both = df.select(present(df, a).cast("double").alias("a"), present(df, b).cast("double").alias("b")).dropna()
+        parts.append(both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("pair"), "a", "b", "n"))
+    combos = reduce(DataFrame.unionByName, parts)
     sides = combos.select("n", F.inline(F.array(*[
         F.struct(F.concat(F.col("pair").cast("string"), F.lit(s)).alias("side"), F.col(s).alias("value"))
         for s in ("a", "b")])))
-    ranks, distinct = average_ranks(sides.groupBy("side", "value").agg(F.sum("n").alias("n")), "side", "value", "n")
-    table = ranks.select(F.struct("side", "value").alias("where"), "rank")
+    ranks = average_ranks(sides.groupBy("side", "value").agg(F.sum("n").alias("n")), "side", "value", "n")
+    table = ranks.table.withColumn("where", F.struct("side", "value"))
     for s in ("a", "b"):
         key = F.struct(F.concat(F.col("pair").cast("string"), F.lit(s)).alias("side"), F.col(s).alias("value"))
-        combos = lookup_join(combos, table.withColumnRenamed("rank", f"rank_{s}"), distinct, key, "where",
-                             ["pair", "a", "b"])
-    totals = F.broadcast(sides.where(F.endswith("side", F.lit("a"))).groupBy(
-        F.regexp_extract("side", "[0-9]+", 0).cast("int").alias("pair")).agg(F.sum("n").alias("total")))
-    x = F.col("rank_a") - (F.col("total") + 1) / 2
-    y = F.col("rank_b") - (F.col("total") + 1) / 2
+        combos = lookup_join(combos, replace(ranks, table=table.withColumnRenamed("rank", f"rank_{s}")), key, "where",
+                             [f"rank_{s}"])
+    middle = F.get(F.array(*[F.lit((ranks.group_totals.get(f"{i}a", 0) + 1) / 2) for i in range(len(pairs))]), F.col("pair"))
+    x, y = F.col("rank_a") - middle, F.col("rank_b") - middle
     n = F.col("n")
     spread = F.sqrt(F.sum(n * x * x)) * F.sqrt(F.sum(n * y * y))
     names = F.array(*[F.struct(F.lit(a).alias("variable1"), F.lit(b).alias("variable2")) for a, b in pairs])
-    found = combos.join(totals, "pair").groupBy("pair").agg(
+    found = combos.groupBy("pair").agg(
         F.sum("n").alias("n"), F.try_divide(F.sum(n * x * y), spread).alias("correlation"))
     return found.select(F.get(names, F.col("pair"))["variable1"].alias("variable1"),
                         F.get(names, F.col("pair"))["variable2"].alias("variable2"), "n", "correlation")
@@ -154,12 +175,12 @@ def _gap_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def spearman_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson on average ranks. Columns without gaps share one ranking."""
     columns = columns or numeric_columns(df)
-    gaps = df.agg(*[F.count_if(present(df, c).isNull()) for c in columns]).first()
+    *gaps, rows = df.agg(*[F.count_if(present(df, c).isNull()) for c in columns], F.count(F.lit(1))).first()
     full = [c for i, c in enumerate(columns) if gaps[i] == 0]
     partial = [(a, b) for a, b in combinations(columns, 2) if a not in full or b not in full]
     parts = []
     if len(full) > 1:
-        parts.append(correlation_pairs(rank_columns(df, full), full))
+        parts.append(correlation_pairs(rank_columns(df, full), full, (rows, (rows + 1) / 2)))
     if partial:
         parts.append(_gap_pairs(df, partial))
     if not parts:

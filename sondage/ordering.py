@@ -10,12 +10,16 @@ uses must read the same written rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .session import checkpoint_dir
 
 _PARTITION_SHIFT = 33  # monotonically_increasing_id keeps the partition above bit 33
-_BROADCAST_ROWS = 1_000_000
+_BROADCAST_ROWS = 100_000
+_HOT_SHARE = 1_000
+_SALTS = 1_024
 
 
 def _stamped(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -46,11 +50,20 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "position") -> D
     return stamped.withColumn(name, _offset_column(offsets) + F.col("_place")).drop("_stamp", "_part", "_place")
 
 
-def average_ranks(counts: DataFrame, group: str, value: str, n: str) -> tuple[DataFrame, int]:
-    """Tie-averaged ranks of a ``(group, value, n)`` table of distinct values.
+@dataclass(frozen=True)
+class Lookup:
+    """A table of unique keys with the number of rows behind each, its own row count and their total."""
+
+    table: DataFrame
+    rows: int
+    total: int
+    group_totals: dict[str, int] = field(default_factory=dict)
+
 
-    Returns ``(group, value, rank)`` and its row count. Ranks restart in each
-    group; groups must be few (they are column names).
+def average_ranks(counts: DataFrame, group: str, value: str, n: str) -> Lookup:
+    """Tie-averaged ranks of a ``(group, value, n)`` table of distinct values, as ``(group, value, n, rank)``.
+
+    Ranks restart in each group; groups must be few (they are column names).
     """
     stamped = _stamped(counts.select(group, value, n), [F.col(group), F.col(value)])
     totals = (
@@ -64,32 +77,36 @@ def average_ranks(counts: DataFrame, group: str, value: str, n: str) -> tuple[Da
     for row in totals:
         offsets.append((row["_part"], row[group], running.get(row[group], 0)))
         running[row[group]] = running.get(row[group], 0) + row["n"]
-    distinct = sum(row["rows"] for row in totals)
     spark = counts.sparkSession
     start = spark.createDataFrame(offsets, f"_part int, {group} string, _before bigint")
     within = Window.partitionBy("_part", group).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
         stamped.join(F.broadcast(start), ["_part", group])
         .withColumn("_upto", F.sum(n).over(within))
-        .select(group, value, (F.col("_before") + F.col("_upto") - F.col(n) + (F.col(n) + 1) / 2).alias("rank"))
+        .select(group, value, n, (F.col("_before") + F.col("_upto") - F.col(n) + (F.col(n) + 1) / 2).alias("rank"))
     )
-    return ranked, distinct
+    return Lookup(ranked, sum(row["rows"] for row in totals), sum(running.values()), running)
 
 
-def lookup_join(df: DataFrame, table: DataFrame, table_rows: int, key: Column, table_key: str,
-                salt_from: list[str], how: str = "left", salts: int = 32) -> DataFrame:
-    """Join a table of unique keys onto rows whose keys may be very uneven.
+def lookup_join(df: DataFrame, lookup: Lookup, key: Column, table_key: str, values: list[str], n: str = "n") -> DataFrame:
+    """Add the ``values`` of a lookup table to rows whose keys may be very uneven (left join).
 
-    A lookup table of at most a million rows is broadcast. A larger one is
-    repeated once per salt and joined on (key, salt), which spreads a key that
-    holds a third of the rows over ``salts`` tasks.
+    A small table is broadcast. Of a larger one only the hot keys are, those
+    that hold more than a thousandth of the rows, so fewer than a thousand. Rows
+    they serve, and rows without a key, take no part in the shuffled join that
+    serves the others: they are spread over its tasks by a hash of the row.
     """
-    df = df.withColumn("_key", key)
-    if table_rows <= _BROADCAST_ROWS:
-        side = F.broadcast(table.withColumnRenamed(table_key, "_key"))
-        return df.join(side, "_key", how).drop("_key")
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_from), F.lit(salts)).cast("int"))
-    side = table.withColumnRenamed(table_key, "_key").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    return salted.join(side, ["_key", "_salt"], how).drop("_key", "_salt")
+    names = df.columns
+    table = lookup.table.select(F.col(table_key).alias("_key"), *values, n)
+    keyed = df.withColumn("_key", key)
+    if lookup.rows <= _BROADCAST_ROWS:
+        return keyed.join(F.broadcast(table.drop(n)), "_key", "left").drop("_key")
+    hot = table.where(F.col(n) * _HOT_SHARE > lookup.total)
+    cold = table.where(F.col(n) * _HOT_SHARE <= lookup.total)
+    served = keyed.join(F.broadcast(hot.select("_key", F.struct(*values).alias("_hot"))), "_key", "left")
+    done = F.col("_hot").isNotNull() | F.col("_key").isNull()
+    spread = F.pmod(F.xxhash64(*names), F.lit(_SALTS)).cast("int")
+    rest = served.withColumns({"_salt": F.when(done, spread).otherwise(-1), "_key": F.when(~done, F.col("_key"))})
+    sparse = cold.select("_key", F.lit(-1).alias("_salt"), F.struct(*values).alias("_cold"))
+    joined = rest.join(sparse, ["_key", "_salt"], "left")
+    return joined.select(*names, *[F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values])

@@ -10,33 +10,43 @@ import json
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import charts, clean, features, insights, models, profile, stats
-from ..schema import numeric_columns, quoted
+from ..schema import columns_of, numeric_columns
+from ..sources import stores
 
 STAGE_SCHEMA = "run_id string, stage string, ts timestamp, status string, payload string"
 
 
 class Analysis:
-    """Tables that the stages hand to one another."""
+    """One run: the tables that stages hand to one another, and their outcomes."""
 
-    def __init__(self, df: DataFrame, run_id: str, key: str, target: str | None = None):
-        self.run_id, self.key = run_id, key
-        self.source = df
-        self.target = target or df.columns[-1]
-        self.rows: list[tuple] = []
+    def __init__(self, df: DataFrame, run_id: str, key: str, target: str, out: str | None = None,
+                 compare: Callable[[DataFrame, str, int, int], DataFrame] | None = None):
+        self.source, self.run_id, self.key, self.target, self.out = df, run_id, key, target, out
+        self.compare = compare or default_comparison
         self.tables: dict[str, DataFrame] = {}
+        self.facts: dict[str, object] = {}
+        self.rows: list[tuple] = []
 
-    def stage(self, name: str, work: Callable[[], dict]) -> None:
-        try:
-            status, payload = "success", work()
-        except Exception as error:  # recorded; later stages still run
-            status, payload = "failed", {"error": str(error).splitlines()[0][:500]}
-        self.rows.append((self.run_id, name, datetime.now(timezone.utc), status, json.dumps(payload, default=str)))
-
-    def results(self) -> DataFrame:
-        return self.source.sparkSession.createDataFrame(self.rows, STAGE_SCHEMA)
+    def run(self) -> DataFrame:
+        """Run every stage and return ``(run_id, stage, ts, status, payload)``."""
+        for name in ("data_quality", "documentation", "eda", "feature_engineering", "statistical_analysis",
+                     "model_architecture", "model_validation", "insight_synthesis", "visualization"):
+            try:
+                status, payload = "success", getattr(self, name)()
+            except Exception as error:  # recorded; later stages still run
+                status, payload = "failed", {"error": f"{type(error).__name__}: {str(error).splitlines()[0][:400]}"}
+            self.rows.append((self.run_id, name, datetime.now(timezone.utc), status, json.dumps(payload, default=str)))
+        results = self.source.sparkSession.createDataFrame(self.rows, STAGE_SCHEMA)
+        if self.out:
+            for name, table in self.tables.items():
+                stores.write_table(table, self.out, self.run_id, name)
+            stores.append_rows(results, f"{self.out}/stage_results.parquet")
+        return results
 
     def data_quality(self) -> dict:
         rows = self.source.count()
@@ -46,19 +56,90 @@ class Analysis:
                 "duplicates_removed": rows - plan.rows_after_dedup, "missing_handled": sum(plan.missing.values()),
                 "types_corrected": len(plan.casts), "dropped": plan.dropped}
 
+    def documentation(self) -> dict:
+        self.tables["columns"] = insights.document_columns(self.tables["cleaned"])
+        facts = insights.describe_tables(insights.table_facts(self.tables["cleaned"], self.run_id))
+        return {"description": facts.first()["description"]}
+
     def eda(self) -> dict:
         table = self.tables["cleaned"]
         self.tables["describe"] = profile.numeric_describe(table)
         self.tables["correlations"] = stats.correlation_matrix(table)
-        self.tables["histogram"] = charts.histogram(table)
-        self.tables["boxes"] = charts.box_stats(table)
-        return {"numeric_columns": len(numeric_columns(table)), "charts": 4}
+        self.tables["top_values"] = profile.top_values(table)
+        return {"numeric_columns": len(numeric_columns(table)), "string_columns": len(columns_of(table, "string"))}
 
     def feature_engineering(self) -> dict:
-        # The target keeps its own values: only the other columns are encoded, scaled and combined.
+        """Transform the inputs; the key and the target keep their own values."""
+        table = self.tables["cleaned"]
+        renamed = table.select(*[c for c in table.columns if c not in (self.key, self.target)],
+                               F.struct(self.key, self.target).alias("_kept"))
+        made, plan = features.transform_features(renamed)
+        self.tables["processed"] = made.select("_kept.*", *[c for c in made.columns if c != "_kept"])
+        return {"numeric": plan.numeric, "binary": plan.binary, "categorical": plan.categorical,
+                "new_features": sorted(plan.lineage)}
+
+    def statistical_analysis(self) -> dict:
+        table = self.tables["cleaned"].drop(self.key)
+        tests = stats.union_tests(stats.pearson_test(table), stats.spearman_test(table), stats.anova_oneway(table),
+                                  stats.t_test_ind(table)).persist()
+        self.tables["tests"] = tests
+        summary = stats.stat_summary(tests).first().asDict()
+        self.facts.update(significant_tests=summary["significant_tests"])
+        return summary
+
+    def _model_data(self) -> tuple[DataFrame, str, int, int]:
+        table = self.tables["processed"]
+        task = models.task_type(table, self.target)
+        inputs = [c for c in numeric_columns(table) if c not in (self.key, self.target)]
+        data = models.prepare(table, self.target, inputs, task, [self.key])
+        classes = data.select("label").distinct().count() if task == "classification" else 0
+        return data, task, len(inputs), classes
+
+    def model_architecture(self) -> dict:
+        data, task, n_features, n_classes = self._model_data()
+        scores = self.compare(data, task, n_features, n_classes)
+        self.tables["scores"] = scores
+        best = models.recommend_model(models.cv_score_stats(scores), task).first()
+        return {"task_type": task, "model_name": best["model_name"], "cv_score": best["cv_score"], "cv_std": best["cv_std"]}
+
+    def model_validation(self) -> dict:
+        data, task, _, _ = self._model_data()
+        model = LogisticRegression(maxIter=1000) if task == "classification" else LinearRegression()
+        metrics = models.validate_holdout(data, model, task, self.key).first().asDict()
+        self.facts.update(successful_validations=1, avg_accuracy=metrics.get("accuracy"), avg_r2=metrics.get("r2_score"))
+        return metrics
+
+    def _facts(self) -> DataFrame:
+        quality = [r for r in self.rows if r[1] == "data_quality"]
+        good = sum(r[3] == "success" for r in quality)
+        record = (self.run_id, good / max(len(quality), 1), len(quality) - good, self.facts.get("significant_tests", 0),
+                  self.facts.get("successful_validations", 0), self.facts.get("avg_accuracy"), self.facts.get("avg_r2"))
+        return self.source.sparkSession.createDataFrame([record], (
+            "run_id string, quality_score double, failed_cleanings bigint, significant_tests bigint, "
+            "successful_validations bigint, avg_accuracy double, avg_r2 double"))
+
+    def insight_synthesis(self) -> dict:
+        facts = self._facts()
+        self.tables["findings"] = insights.key_findings(facts)
+        self.tables["recommendations"] = insights.recommendations(facts)
+        self.tables["conclusions"] = insights.conclusions(facts)
+        return self.tables["conclusions"].first().asDict()
+
+    def visualization(self) -> dict:
         table = self.tables["cleaned"]
-        inputs = table.drop(self.target)
-        kept = inputs.select("*") if self.key in inputs.columns else inputs
-        scaled, plan = features.transform_features(kept.withColumnRenamed(self.key, "_key").withColumn(
-            "_key", F.col("_key").cast("string")).select(*[c for c in kept.withColumnRenamed(self.key, "_key").columns]))
-        raise NotImplementedError
+        self.tables["histogram"] = charts.histogram(table)
+        self.tables["boxes"] = charts.box_stats(table)
+        self.tables["finding_counts"] = charts.finding_counts(
+            self.tables["findings"], self.tables["recommendations"], self.tables["conclusions"])
+        return {"charts": 3}
+
+
+def default_comparison(data: DataFrame, task: str, n_features: int, n_classes: int) -> DataFrame:
+    """All four models of the task by five-fold cross-validation."""
+    if task == "classification":
+        return models.compare_classifiers(data, n_features, n_classes)
+    return models.compare_regressors(data)
+
+
+def run_analysis(df: DataFrame, run_id: str, key: str, target: str, out: str | None = None, **options) -> DataFrame:
+    return Analysis(df, run_id, key, target, out, **options).run()

@@ -1,142 +1,139 @@
 """Exact, linearly interpolated quantiles that stay distributed.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer. That
-is used only below a checked row count. Beyond it, sketches bracket each wanted
-rank, one aggregate counts what lies below and inside the brackets, and only
-the few values inside are ordered; brackets that are still wide are narrowed
-again with a sketch of their own content.
+Spark's ``percentile`` keeps every distinct value of a group in one buffer, so
+it serves tables of a checked, small row count only. Beyond it the values of
+each column are counted in equal-width bins; the bin that holds a wanted rank
+is binned again until it holds few rows, and only those are put in order. A
+pass is one scan with map-side aggregation and shuffles bins, not rows. Bins
+are a monotone function of the value, so the result is exact.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .schema import present
 
-_SKETCH_ACCURACY = 10_000
-_INSIDE_LIMIT = 1_000_000
+_SMALL_ROWS = 50_000
+_BINS = 2048
+_ORDERED_ROWS = 50_000
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
-                    small_rows: int = 5_000_000) -> dict[str, list[float | None]]:
+@dataclass(frozen=True)
+class _Bracket:
+    """Values of one column between two bounds, and how many lie below and inside."""
+
+    column: int
+    low: float
+    high: float
+    below: int
+    inside: int
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float], small_rows: int = _SMALL_ROWS,
+                    ordered_rows: int = _ORDERED_ROWS) -> dict[str, list[float | None]]:
     """Quantiles per column, nulls and NaN left out; ``None`` for an empty column."""
     if not columns:
         return {}
-    if df.count() <= small_rows:
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = df.agg(*[
-            F.percentile(present(df, c).cast("double"), wanted).alias(f"q{i}") for i, c in enumerate(columns)
-        ]).first()
-        return {c: list(row[i]) if row[i] is not None else [None] * len(probabilities)
-                for i, c in enumerate(columns)}
-    return _by_brackets(df, columns, probabilities, _INSIDE_LIMIT)
-
-
-def _by_brackets(df: DataFrame, columns: list[str], probabilities: list[float],
-                 inside_limit: int) -> dict[str, list[float | None]]:
     wide = df.select(*[present(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    bounds = wide.agg(*[
-        e for i in range(len(columns))
-        for e in (F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}"))
-    ]).first()
+    infinite = float("inf")
+    ends = wide.agg(*[e.alias(f"{n}{i}") for i in range(len(columns)) for n, e in {
+        "n": F.count(f"c{i}"), "neg": F.count_if(F.col(f"c{i}") == -infinite), "pos": F.count_if(F.col(f"c{i}") == infinite),
+        "lo": F.min(F.when(F.abs(f"c{i}") < infinite, F.col(f"c{i}"))),
+        "hi": F.max(F.when(F.abs(f"c{i}") < infinite, F.col(f"c{i}"))),
+    }.items()]).first()
+    if max(ends[f"n{i}"] for i in range(len(columns))) <= small_rows:
+        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+        row = wide.agg(*[F.percentile(f"c{i}", wanted) for i in range(len(columns))]).first()
+        return {c: list(row[i]) if row[i] is not None else [None] * len(probabilities) for i, c in enumerate(columns)}
 
-    # One target per (column, rank); an interpolated quantile needs two ranks.
-    targets: dict[tuple[int, int], dict] = {}
+    found: dict[tuple[int, int], float] = {}
+    open_ranks: dict[tuple[int, int], _Bracket] = {}
     for i in range(len(columns)):
-        for p in probabilities:
-            if bounds[f"n{i}"]:
-                at = p * (bounds[f"n{i}"] - 1)
-                for rank in {math.floor(at), math.ceil(at)}:
-                    targets[(i, rank)] = {"lo": bounds[f"lo{i}"], "hi": bounds[f"hi{i}"], "below": 0,
-                                          "inside": bounds[f"n{i}"], "distinct": None,
-                                          "slack": 3.0 / _SKETCH_ACCURACY, "value": None}
-
-    while True:
-        open_keys = [k for k, t in targets.items() if t["value"] is None]
-        if not open_keys:
+        n, neg, pos = ends[f"n{i}"], ends[f"neg{i}"], ends[f"pos{i}"]
+        for p in probabilities if n else []:
+            at = p * (n - 1)
+            for rank in {math.floor(at), math.ceil(at)}:
+                if rank < neg:
+                    found[(i, rank)] = -infinite
+                elif rank >= n - pos:
+                    found[(i, rank)] = infinite
+                else:
+                    open_ranks[(i, rank)] = _Bracket(i, ends[f"lo{i}"], ends[f"hi{i}"], neg, n - neg - pos)
+    while open_ranks:
+        for key in [k for k, b in open_ranks.items() if b.low == b.high]:
+            found[key] = open_ranks.pop(key).low
+        wide_brackets = sorted({b for b in open_ranks.values() if b.inside > ordered_rows}, key=lambda b: (b.column, b.low))
+        if wide_brackets:
+            _narrow(wide, wide_brackets, open_ranks)
+        else:
+            found.update(_read_off(wide, open_ranks))
             break
-        wide_keys = [k for k in open_keys if _is_wide(targets[k], inside_limit)]
-        if wide_keys:
-            _narrow(wide, targets, wide_keys)
-        ready = [k for k in open_keys if targets[k]["value"] is None and not _is_wide(targets[k], inside_limit)]
-        if ready:
-            _finish(wide, targets, ready)
-
-    result: dict[str, list[float | None]] = {}
-    for i, c in enumerate(columns):
-        values: list[float | None] = []
-        for p in probabilities:
-            if not bounds[f"n{i}"]:
-                values.append(None)
-                continue
-            at = p * (bounds[f"n{i}"] - 1)
-            low = targets[(i, math.floor(at))]["value"]
-            high = targets[(i, math.ceil(at))]["value"]
-            values.append(low + (high - low) * (at - math.floor(at)))
-        result[c] = values
-    return result
-
-
-def _is_wide(target: dict, limit: int) -> bool:
-    """More distinct values inside than one ordered group should hold."""
-    count = target["inside"] if target["distinct"] is None else target["distinct"]
-    return count > limit
-
-
-def _narrow(wide: DataFrame, targets: dict, keys: list[tuple[int, int]]) -> None:
-    """Shrink each bracket with a sketch of its content, then recount it."""
-    sketches = []
-    for j, (i, rank) in enumerate(keys):
-        t = targets[(i, rank)]
-        inside = F.when(F.col(f"c{i}").between(t["lo"], t["hi"]), F.col(f"c{i}"))
-        share = (rank - t["below"]) / max(t["inside"] - 1, 1)
-        sketches.append(F.percentile_approx(
-            inside, F.array(F.lit(max(share - t["slack"], 0.0)), F.lit(min(share + t["slack"], 1.0))),
-            F.lit(_SKETCH_ACCURACY)).alias(f"s{j}"))
-    brackets = wide.agg(*sketches).first()
-    counts = []
-    for j, (i, _) in enumerate(keys):
-        lo, hi = brackets[j]
-        column = F.col(f"c{i}")
-        counts += [F.count_if(column < lo).alias(f"b{j}"), F.count_if(column.between(lo, hi)).alias(f"n{j}"),
-                   F.approx_count_distinct(F.when(column.between(lo, hi), column)).alias(f"d{j}")]
-    found = wide.agg(*counts).first()
-    for j, key in enumerate(keys):
-        t = targets[key]
-        lo, hi = brackets[j]
-        if not found[f"b{j}"] <= key[1] < found[f"b{j}"] + found[f"n{j}"]:
-            t["slack"] *= 10  # the sketch missed the rank: try again with a wider bracket
-            continue
-        shrunk = found[f"n{j}"] < t["inside"]
-        t.update(lo=lo, hi=hi, below=found[f"b{j}"], inside=found[f"n{j}"], distinct=found[f"d{j}"])
-        if lo == hi:
-            t["value"] = lo
-        elif not shrunk:
-            t["distinct"] = 0  # no further narrowing possible; order what is inside
-
-
-def _finish(wide: DataFrame, targets: dict, keys: list[tuple[int, int]]) -> None:
-    """Order the distinct values inside each bracket and read off the rank."""
-    hits = F.array_compact(F.array(*[
-        F.when(F.col(f"c{i}").between(targets[(i, r)]["lo"], targets[(i, r)]["hi"]),
-               F.struct(F.lit(j).alias("target"), F.col(f"c{i}").alias("value")))
-        for j, (i, r) in enumerate(keys)
-    ]))
-    counted = wide.select(F.inline(hits)).groupBy("target", "value").agg(F.count(F.lit(1)).alias("n"))
-    ordered = Window.partitionBy("target").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    spots = F.array(*[F.lit(r) for _, r in keys])
-    # Counting from the lowest bracket value: what lies below it is recounted exactly here.
-    below = wide.agg(*[
-        F.count_if(F.col(f"c{i}") < targets[(i, r)]["lo"]).alias(f"b{j}") for j, (i, r) in enumerate(keys)
-    ]).first()
-    start = F.array(*[F.lit(below[j]) for j in range(len(keys))])
-    rows = (
-        counted.withColumn("upto", F.sum("n").over(ordered) + F.get(start, F.col("target")))
-        .where((F.col("upto") > F.get(spots, F.col("target")))
-               & (F.col("upto") - F.col("n") <= F.get(spots, F.col("target"))))
-        .select("target", "value").collect()
-    )
-    for row in rows:
-        targets[keys[row["target"]]]["value"] = row["value"]
+
+    def value(i: int, p: float) -> float | None:
+        if not ends[f"n{i}"]:
+            return None
+        at = p * (ends[f"n{i}"] - 1)
+        low, high = found[(i, math.floor(at))], found[(i, math.ceil(at))]
+        return low if low == high else low + (high - low) * (at - math.floor(at))
+
+    return {c: [value(i, p) for p in probabilities] for i, c in enumerate(columns)}
+
+
+def _by_column(wide: DataFrame, brackets: list[_Bracket], grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(bracket, v)`` rows of the values inside the brackets, grouped column by column.
+
+    Each column is a branch that scans that column alone. Brackets of one column
+    never overlap, so a value has at most one.
+    """
+    branches = []
+    for i in sorted({b.column for b in brackets}):
+        value, which = F.col(f"c{i}"), F
+        for j, b in enumerate(brackets):
+            if b.column == i:
+                which = which.when(value.between(b.low, b.high), j)
+        branches.append(grouped(wide.select(which.alias("bracket"), value.alias("v")).where("bracket is not null")))
+    return reduce(DataFrame.unionByName, branches)
+
+
+def _narrow(wide: DataFrame, brackets: list[_Bracket], open_ranks: dict[tuple[int, int], _Bracket]) -> None:
+    """Bin the content of each bracket and move its ranks to the bin that holds them."""
+    starts = F.array(*[F.lit(b.low / 2) for b in brackets])
+    widths = F.array(*[F.lit(b.high / 2 - b.low / 2) for b in brackets])
+    place = (F.col("v") / 2 - F.get(starts, F.col("bracket"))) / F.get(widths, F.col("bracket")) * _BINS
+    spot = F.least(F.floor(place), F.lit(_BINS - 1)).cast("int").alias("bin")
+    bins = _by_column(wide, brackets, lambda rows: rows.groupBy("bracket", spot).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))).collect()
+    bins.sort(key=lambda r: (r["bracket"], r["bin"]))
+    for j, b in enumerate(brackets):
+        ranks = [k for k, held in open_ranks.items() if held == b]
+        below = b.below
+        for row in (r for r in bins if r["bracket"] == j):
+            for key in ranks:
+                if below <= key[1] < below + row["n"]:
+                    open_ranks[key] = _Bracket(b.column, row["lo"], row["hi"], below, row["n"])
+            below += row["n"]
+
+
+def _read_off(wide: DataFrame, open_ranks: dict[tuple[int, int], _Bracket]) -> dict[tuple[int, int], float]:
+    """Order the few rows inside each bracket and take the values at the ranks."""
+    if not open_ranks:
+        return {}
+    brackets = sorted(set(open_ranks.values()), key=lambda b: (b.column, b.low))
+    counted = _by_column(wide, brackets, lambda rows: rows.groupBy("bracket", "v").agg(F.count(F.lit(1)).alias("n")))
+    upto = F.sum("n").over(Window.partitionBy("bracket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    hit = F.lit(False)
+    for (_, rank), b in open_ranks.items():
+        place = rank - b.below
+        hit = hit | ((F.col("bracket") == brackets.index(b)) & (F.col("upto") > place) & (F.col("upto") - F.col("n") <= place))
+    rows = counted.withColumn("upto", upto).where(hit).collect()
+    found = {}
+    for key, b in open_ranks.items():
+        place = key[1] - b.below
+        found[key] = next(r["v"] for r in rows if brackets[r["bracket"]] == b and r["upto"] - r["n"] <= place < r["upto"])
+    return found
