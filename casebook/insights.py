@@ -134,10 +134,13 @@ def _histogram_sql(column: str, bins: int, source: str) -> str:
 
 
 @case("histogram", " UNION ALL ".join(_histogram_sql(c, 30, "lineitem") for c in list(LINEITEM)[:4])
-      + " UNION ALL " + _histogram_sql("l_extendedprice", 10, "lineitem"))
+      + " UNION ALL " + _histogram_sql("l_extendedprice", 10, "lineitem")
+      + " UNION ALL " + _histogram_sql("rare", 30, sql_shape("gappy")))
 def histogram(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
-    return charts.histogram(df).unionByName(charts.histogram(df, ["l_extendedprice"], charts.SCORE_BINS)).select("column", "bin", "n")
+    scores = charts.histogram(df, ["l_extendedprice"], charts.SCORE_BINS)
+    gaps = charts.histogram(shape(spark, sf_dir, "gappy"), ["rare"])
+    return charts.histogram(df).unionByName(scores).unionByName(gaps).select("column", "bin", "n")
 
 
 def _box_sql(column: str, source: str) -> str:

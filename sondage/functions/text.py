@@ -132,7 +132,7 @@ def keyword_relevance(text: Column, question: str | Column) -> Column:
     def score(found: Column, total: Column) -> Column:
         share = F.try_divide(found, total)
         boosted = F.when(found > 0, share + 0.2).otherwise(share)
-        return F.coalesce(F.least(boosted, F.lit(1.0)), F.lit(0.5))
+        return F.when(total > 0, F.least(boosted, F.lit(1.0))).otherwise(0.5)
 
     if isinstance(question, str):
         terms = relevance_words(question)

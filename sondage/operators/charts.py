@@ -33,7 +33,7 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = HISTO
         if low == high:  # a constant column gets a range of width one around it
             low, high = low - 0.5, high + 0.5
         place = F.least(F.floor((values[c] - low) / F.lit(high - low) * bins), F.lit(bins - 1)).cast("int")
-        bins_of.append(place.alias(c))
+        bins_of.append(F.when(values[c].isNotNull(), place).alias(c))  # least() passes over nulls
         starts += [F.lit(c), F.lit(low)]
         widths += [F.lit(c), F.lit((high - low) / bins)]
     placed = df.select(*bins_of)

@@ -101,7 +101,7 @@ def bin_features(df: DataFrame, column: str, bins: int = 5, equal_width: bool =
         if low is None or low == high:
             return df.withColumn(f"{column}_bin", F.when(value.isNotNull(), 1))
         place = F.least(F.floor((value - low) / F.lit(float(high - low)) * bins) + 1, F.lit(bins))
-        return df.withColumn(f"{column}_bin", place.cast("int"))
+        return df.withColumn(f"{column}_bin", F.when(value.isNotNull(), place.cast("int")))
     cuts = exact_quantiles(df, [column], [i / bins for i in range(1, bins)])[column]
     place = F.lit(1)
     for cut in cuts:

@@ -281,7 +281,8 @@ def tune_random(data: DataFrame, model: Estimator, grid: list[dict], task: str,
 
 
 def improvement(scores: DataFrame, new: str, old: str) -> DataFrame:
-    return scores.withColumn("improvement", F.greatest(F.col(new) - F.col(old), F.lit(0.0)))
+    gain = F.col(new) - F.col(old)
+    return scores.withColumn("improvement", F.when(gain.isNotNull(), F.greatest(gain, F.lit(0.0))))
 
 
 def avg_improvement(improvements: DataFrame) -> DataFrame:

@@ -77,7 +77,9 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
     spread_y = F.greatest(F.col("yy") - F.try_divide(F.col("y") * F.col("y"), n), F.lit(0.0))
     joint = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), n)
     r = F.try_divide(joint, F.sqrt(spread_x) * F.sqrt(spread_y))
-    return total.select("variable1", "variable2", "n", F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("correlation"))
+    # least and greatest pass over nulls, so an undefined r is kept apart.
+    bounded = F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    return total.select("variable1", "variable2", "n", bounded.alias("correlation"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

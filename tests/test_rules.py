@@ -138,6 +138,13 @@ def test_histogram_counts_every_value_and_closes_the_last_bin(spark):
     assert [(r["lower"], r["upper"]) for r in found if r["column"] == "k"] == [(3.0, 3.1)]
 
 
+def test_missing_values_have_no_bin(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,), (None,), (float("nan"),)], "x double")
+    assert sum(r["n"] for r in charts.histogram(df).collect()) == 2
+    for equal in (True, False):
+        assert sorted(str(r["x_bin"]) for r in features.bin_features(df, "x", 2, equal).collect()) == ["1", "2", "None", "None"]
+
+
 def test_folds_partition_the_rows(spark):
     df = spark.range(23).withColumn("y", (F.col("id") % 3).cast("string"))
     assert [r[1] for r in models.kfold_assign(df, "id").groupBy("fold").count().orderBy("fold").collect()] == [5, 5, 5, 4, 4]
