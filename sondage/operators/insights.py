@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import describe_column
+from ..ordering import Lookup, dense_index, lookup_join
 from ..schema import columns_of, present, schema_table
 from .profile import column_profile
 
 
+SUMMARIES_PER_PART = 1000
+
+
 def _listed(facts: DataFrame, key: str, sentences: list[Column], name: str) -> DataFrame:
     """One row per sentence that applies, in rule order."""
     numbered = F.filter(F.array(*[F.struct(F.lit(i).alias("place"), s.alias(name)) for i, s in enumerate(sentences, 1)]),
@@ -146,14 +150,27 @@ def heuristic_summary(facts: DataFrame) -> DataFrame:
 def combine_summaries(summaries: DataFrame, keys: list[str], order: str, text: str = "summary") -> DataFrame:
     """Summaries of the successful tables of a run joined in order; a fixed sentence when there is none.
 
-    One run's text is one value, so a run gathers its own summaries and no more.
+    A run's text comes in parts of up to a thousand summaries, numbered from 0:
+    most runs have one part, and a run of very many tables is never gathered in
+    one task. ``order`` must be unique within a run.
     """
     good = (F.col("status") == "success") & F.col(text).isNotNull()
-    joined = summaries.groupBy(*keys).agg(
-        F.count_if(good).alias("n_summaries"),
-        F.array_sort(F.collect_list(F.when(good, F.struct(F.col(order), F.col(text))))).alias("_parts"))
-    return joined.select(*keys, "n_summaries", F.when(F.col("n_summaries") > 0, F.concat_ws(
-        " ", F.transform("_parts", lambda p: p[text]))).otherwise("No dataset summaries available.").alias("combined"))
+    run = F.struct(*[F.col(k) for k in keys])
+    marked = summaries.select(run.alias("_run"), F.col(order).alias("_order"), F.when(good, F.col(text)).alias("_text"))
+    placed = dense_index(marked.where("_text is not null"), [F.col("_run"), F.col("_order")], "_position")
+    totals = marked.groupBy("_run").agg(F.count("_text").alias("_size"), F.count(F.lit(1)).alias("n"))
+    spans = placed.groupBy("_run").agg(F.min("_position").alias("_start"), F.count(F.lit(1)).alias("n"))
+    sizes = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    begun = lookup_join(placed, Lookup(spans, *sizes), F.col("_run"), "_run", ["_start"])
+    part = F.floor((F.col("_position") - F.col("_start")) / SUMMARIES_PER_PART)
+    parts = begun.groupBy("_run", part.alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("_position", "_text"))).alias("_parts"))
+    joined = parts.select("_run", "part", F.size("_parts").cast("bigint").alias("n_summaries"),
+                          F.concat_ws(" ", F.transform("_parts", lambda p: p["_text"])).alias("combined"))
+    none = totals.where("_size = 0").select(
+        "_run", F.lit(0).cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("n_summaries"),
+        F.lit("No dataset summaries available.").alias("combined"))
+    return joined.unionByName(none).select("_run.*", "part", "n_summaries", "combined")
 
 
 def stage_summary_text(rollup: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.ml.regression import FMRegressor, GBTRegressor, LinearRegression, R
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..ordering import dense_index
+from ..ordering import Lookup, dense_index, lookup_join
 from ..schema import family, numeric_columns, present, quoted, string_columns
 from .clean import impute_mean, impute_target
 from .features import scale_standard
@@ -97,10 +97,16 @@ def stratified_kfold_assign(df: DataFrame, order: str, label: str, folds: int =
     Classes stand in order of first appearance; each class gets the fold sizes
     that dealing the sorted labels round-robin would give it.
     """
-    classes = df.groupBy(quoted(label).alias("_label")).agg(F.min(quoted(order)).alias("_first"))
-    placed = dense_index(
-        df.join(classes, quoted(label) == F.col("_label")), [F.col("_first"), quoted(order)], "_position")
-    spans = placed.groupBy("_label").agg(F.min("_position").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    # A struct around the label keeps rows without one as a class of their own.
+    marked = df.withColumn("_class", F.struct(quoted(label)))
+    firsts = marked.groupBy("_class").agg(F.min(quoted(order)).alias("_first"), F.count(F.lit(1)).alias("n"))
+    sizes = firsts.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if not sizes[0]:
+        return df.withColumn("fold", F.lit(0))
+    begun = lookup_join(marked, Lookup(firsts, *sizes), F.col("_class"), "_class", ["_first"])
+    placed = dense_index(begun, [F.col("_first"), quoted(order)], "_position")
+    spans = placed.groupBy("_class").agg(
+        F.min("_position").alias("_start"), F.count(F.lit(1)).alias("_size"), F.count(F.lit(1)).alias("n"))
 
     def dealt(upto: Column, fold: int) -> Column:
         """How many of the first ``upto`` sorted labels go to this fold."""
@@ -108,10 +114,10 @@ def stratified_kfold_assign(df: DataFrame, order: str, label: str, folds: int =
 
     fold, end = F.lit(0), F.lit(0)
     for f in range(folds - 1):
-        end = end + dealt(F.col("_start") + F.col("_n"), f) - dealt(F.col("_start"), f)
+        end = end + dealt(F.col("_start") + F.col("_size"), f) - dealt(F.col("_start"), f)
         fold = fold + F.when(F.col("_position") - F.col("_start") >= end, 1).otherwise(0)
-    return placed.join(spans, "_label").withColumn("fold", fold.cast("int")).drop(
-        "_position", "_label", "_first", "_start", "_n")
+    joined = lookup_join(placed, Lookup(spans, *sizes), F.col("_class"), "_class", ["_start", "_size"])
+    return joined.withColumn("fold", fold.cast("int")).drop("_position", "_class", "_first", "_start", "_size")
 
 
 def stratified_split(df: DataFrame, key: str, label: str | None = None, share: float = 0.2,
@@ -121,14 +127,16 @@ def stratified_split(df: DataFrame, key: str, label: str | None = None, share: f
     Rows are ranked by a seeded hash of their key within their class, over a
     range-sorted table, so one huge class is still spread over many tasks.
     """
-    group = quoted(label) if label else F.lit("all")
+    group = F.struct(quoted(label) if label else F.lit("all"))
     hashed = df.withColumn("_class", group).withColumn(
         "_draw", F.md5(F.concat_ws("_", quoted(key).cast("string"), F.lit(str(seed)))))
     placed = dense_index(hashed, [F.col("_class"), F.col("_draw"), quoted(key)], "_position")
-    classes = placed.groupBy("_class").agg(F.count(F.lit(1)).alias("_n"), F.min("_position").alias("_start"))
-    joined = placed.join(classes, "_class")
-    test = (F.col("_position") - F.col("_start")) < F.ceil(F.lit(share) * F.col("_n"))
-    return joined.withColumn("is_test", test).drop("_class", "_draw", "_position", "_n", "_start")
+    spans = placed.groupBy("_class").agg(
+        F.min("_position").alias("_start"), F.count(F.lit(1)).alias("_size"), F.count(F.lit(1)).alias("n"))
+    sizes = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    joined = lookup_join(placed, Lookup(spans, *sizes), F.col("_class"), "_class", ["_start", "_size"])
+    test = (F.col("_position") - F.col("_start")) < F.ceil(F.lit(share) * F.col("_size"))
+    return joined.withColumn("is_test", test).drop("_class", "_draw", "_position", "_size", "_start")
 
 
 def prepare(df: DataFrame, target: str, features: list[str], task: str, key: list[str] | None = None) -> DataFrame:

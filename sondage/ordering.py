@@ -32,22 +32,18 @@ def _stamped(df: DataFrame, order: list[Column]) -> DataFrame:
     )
 
 
-def _offset_column(offsets: dict[int, int]) -> Column:
-    """Offset of the row's partition; the array has one entry per partition."""
-    size = max(offsets, default=0) + 1
-    values = F.array(*[F.lit(offsets.get(i, 0)).cast("bigint") for i in range(size)])
-    return F.get(values, F.col("_part"))
-
-
 def dense_index(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """Add the 0-based position of each row in the given total order."""
     stamped = _stamped(df, order)
     counts = stamped.groupBy("_part").count().orderBy("_part").collect()
-    offsets, total = {}, 0
+    offsets, total = [], 0
     for row in counts:
-        offsets[row["_part"]] = total
+        offsets.append((row["_part"], total))
         total += row["count"]
-    return stamped.withColumn(name, _offset_column(offsets) + F.col("_place")).drop("_stamp", "_part", "_place")
+    # One row per partition, so it is small whatever the table holds.
+    start = df.sparkSession.createDataFrame(offsets, "_part int, _before bigint")
+    placed = stamped.join(F.broadcast(start), "_part").withColumn(name, F.col("_before") + F.col("_place"))
+    return placed.drop("_stamp", "_part", "_place", "_before")
 
 
 @dataclass(frozen=True)
@@ -97,12 +93,12 @@ def lookup_join(df: DataFrame, lookup: Lookup, key: Column, table_key: str, valu
     serves the others: they are spread over its tasks by a hash of the row.
     """
     names = df.columns
-    table = lookup.table.select(F.col(table_key).alias("_key"), *values, n)
+    table = lookup.table.select(F.col(table_key).alias("_key"), *values, F.col(n).alias("_rows"))
     keyed = df.withColumn("_key", key)
     if lookup.rows <= _BROADCAST_ROWS:
-        return keyed.join(F.broadcast(table.drop(n)), "_key", "left").drop("_key")
-    hot = table.where(F.col(n) * _HOT_SHARE > lookup.total)
-    cold = table.where(F.col(n) * _HOT_SHARE <= lookup.total)
+        return keyed.join(F.broadcast(table.drop("_rows")), "_key", "left").drop("_key")
+    hot = table.where(F.col("_rows") * _HOT_SHARE > lookup.total)
+    cold = table.where(F.col("_rows") * _HOT_SHARE <= lookup.total)
     served = keyed.join(F.broadcast(hot.select("_key", F.struct(*values).alias("_hot"))), "_key", "left")
     done = F.col("_hot").isNotNull() | F.col("_key").isNull()
     spread = F.pmod(F.xxhash64(*names), F.lit(_SALTS)).cast("int")

@@ -226,6 +226,24 @@ def test_dates_and_stems(spark):
         ("March 05, 2024", "b.tar"), ("soon", ".hidden")]
 
 
+def test_long_runs_come_in_parts(spark, monkeypatch):
+    from sondage.operators import insights
+
+    monkeypatch.setattr(insights, "SUMMARIES_PER_PART", 4)
+    df = spark.range(10).select(F.lit("r").alias("run"), "id", F.lit("success").alias("status"), F.col("id").cast("string").alias("summary"))
+    failed = spark.createDataFrame([("s", 1, "failed", "x")], "run string, id long, status string, summary string")
+    found = rows(insights.combine_summaries(df.unionByName(failed), ["run"], "id"), "run", "part", "n_summaries", "combined")
+    assert found == [("r", 0, 4, "0 1 2 3"), ("r", 1, 4, "4 5 6 7"), ("r", 2, 2, "8 9"),
+                     ("s", 0, 0, "No dataset summaries available.")]
+
+
+def test_rows_without_a_label_stay(spark):
+    df = spark.range(30).withColumn("y", F.when(F.col("id") % 3 > 0, F.col("id") % 3))
+    assert models.stratified_kfold_assign(df, "id", "y").count() == 30
+    split = models.stratified_split(df, "id", "y")
+    assert split.count() == 30 and split.where("is_test").groupBy("y").count().select("count").distinct().collect() == [(2,)]
+
+
 def test_failed_results_and_missing_status(spark):
     df = spark.createDataFrame([("a", "failed"), ("b", None), ("c", "success")], "stage string, status string")
     assert rows(catalog.stage_not_failed(df), "stage") == [("b",), ("c",)]
