@@ -228,8 +228,9 @@ def t_test_ind(spark, sf_dir):
     return rounded_groups(stats.t_test_ind(table(spark, sf_dir, "lineitem"), _GROUP_NUMERIC, _GROUP_CATEGORIES))
 
 
-@case("pick_grouping_column", """
-    SELECT 'l_linenumber' AS "column", COUNT(DISTINCT l_linenumber) AS n_distinct FROM lineitem""")
+@case("pick_grouping_column", 'SELECT "column", n_distinct FROM (' + " UNION ALL ".join(
+    f"SELECT {i} AS i, '{c}' AS \"column\", COUNT(DISTINCT {c}) AS n_distinct FROM lineitem" for i, c in enumerate(_NUMERIC))
+      + ") WHERE n_distinct BETWEEN 2 AND 10 ORDER BY i LIMIT 1")
 def pick_grouping_column(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select(*_NUMERIC)
     chosen = profile.pick_grouping_column(df)
