@@ -65,9 +65,6 @@ def best_model(spark, sf_dir):
     return rounded(models.best_model(with_metrics(spark, sf_dir)), "score")
 
 
-_MEANS_SQL = f"""(SELECT table_id, MAX(score) AS new_score, AVG(score) AS old_score FROM {sql_shape('scores')} GROUP BY table_id)"""
-
-
 def _tuned(spark, sf_dir):
     means = shape(spark, sf_dir, "scores").groupBy("table_id").agg(
         F.max("score").cast("double").alias("best"), F.avg("score").cast("double").alias("mean"), F.max("fold").alias("fold"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sondage.functions.parsing import as_datetime, as_number
 from sondage.operators import clean, features
 
 from .aggregates import rounded
@@ -91,9 +90,6 @@ def cleaning_summary(spark, sf_dir):
     return clean.cleaning_summary(shape(spark, sf_dir, "messy"), "messy")
 
 
-_MODE = "(SELECT {c} FROM {t} GROUP BY {c} ORDER BY COUNT(*) DESC, {c} LIMIT 1)"
-
-
 @case("encode_binary", f"""
     SELECT event_id, CAST(parity = 'even' AND (SELECT COUNT(*) FILTER (parity = 'even') >= COUNT(*) FILTER (parity = 'odd') FROM {sql_shape('gappy')})
              OR parity = 'odd' AND (SELECT COUNT(*) FILTER (parity = 'even') < COUNT(*) FILTER (parity = 'odd') FROM {sql_shape('gappy')}) AS INT) AS parity
@@ -103,7 +99,7 @@ def encode_binary(spark, sf_dir):
 
 
 @case("encode_label", f"""
-    SELECT event_id, dense_rank() OVER (ORDER BY COALESCE(kind, 'nan') COLLATE "binary") - 1 AS kind FROM {sql_shape('gappy')}""".replace(' COLLATE "binary"', ''))
+    SELECT event_id, dense_rank() OVER (ORDER BY COALESCE(kind, 'nan')) - 1 AS kind FROM {sql_shape('gappy')}""")
 def encode_label(spark, sf_dir):
     return features.encode_label(shape(spark, sf_dir, "gappy"), ["kind"]).select("event_id", "kind")
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import functions as F
-
 from sondage.operators import models
 
 from .registry import case, table

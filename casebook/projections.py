@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sondage import schema
-from sondage.operators import catalog, clean, insights, profile, search, stats, tasks
+from sondage.operators import catalog, clean, profile, search, stats, tasks
 from sondage.operators.models import data_characteristics, task_type
 
 from .fixtures import shape, sql_shape

@@ -8,7 +8,7 @@ from sondage.operators import catalog, clean, insights, models, search, tasks
 
 from .fixtures import shape, sql_shape
 from .registry import case, table
-from .statistics import _UNION_CATEGORIES, _UNION_NUMERIC, ALL_TESTS_SQL, all_tests
+from .statistics import ALL_TESTS_SQL, all_tests
 
 _AS_OF = "TIMESTAMP '2024-01-15 00:00:00'"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sondage.operators import clean, profile, stats
+from sondage.operators import profile, stats
 
 from .fixtures import shape, sql_shape
 from .registry import case, table

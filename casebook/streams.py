@@ -9,7 +9,7 @@ from sondage.streaming import bus, totals
 
 from .aggregates import rounded
 from .fixtures import sql_shape
-from .registry import case, table
+from .registry import case
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,7 +207,3 @@ def complete_pairs(df: DataFrame, a: str, b: str, least: int = 3) -> DataFrame:
     both = present(df, a).isNotNull() & present(df, b).isNotNull()
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(both).alias("n_complete")).withColumn(
         "testable", F.col("n_complete") >= least)
-
-
-def keep_complete(df: DataFrame, columns: list[str]) -> DataFrame:
-    return nan_to_null(df).dropna(subset=columns)

@@ -194,8 +194,9 @@ def column_roles(df: DataFrame) -> DataFrame:
 
 def pick_grouping_column(df: DataFrame, low: int = 2, high: int = 10) -> str | None:
     """First column in schema order with ``low`` to ``high`` distinct values."""
-    counts = small_cardinalities(df, df.columns, high)
-    return next((c for c in df.columns if counts[c] is not None and counts[c] >= low), None)
+    plain = [c for c in df.columns if family(df.schema[c].dataType) != "other"]  # no arrays, maps or structs
+    counts = small_cardinalities(df, plain, high)
+    return next((c for c in plain if counts[c] is not None and counts[c] >= low), None)
 
 
 def dtype_families(df: DataFrame) -> DataFrame:
@@ -234,14 +235,3 @@ def required_fields_valid(df: DataFrame, required: list[str]) -> DataFrame:
         F.lit(", ".join(absent)).alias("absent"), "n_rows", "failing_rows",
         (F.lit(not absent) & (F.col("failing_rows") == 0)).alias("valid"),
     )
-
-
-def quality_profile(df: DataFrame) -> dict[str, int]:
-    """Row, column, duplicate and missing totals as one driver-side record."""
-    missing = [F.count_if(present(df, c).isNull()) for c in df.columns]
-    total = missing[0]
-    for m in missing[1:]:
-        total = total + m
-    row = df.agg(F.count(F.lit(1)).alias("rows"), total.alias("missing")).first()
-    return {"rows": row["rows"], "columns": len(df.columns), "missing": row["missing"],
-            "duplicates": duplicate_count(df).first()[0]}

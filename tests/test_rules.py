@@ -1,6 +1,5 @@
 """The rules that are easy to get wrong, on frames of a few rows."""
 
-import datetime
 import math
 
 import pytest
