@@ -2,14 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from .folds import fold
 from .registry import case, table
 from .toxicity import score, train
 
 
-def fold(doc_id: str, folds: int):
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds))
-
-
 @case("op9_toxicity")
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

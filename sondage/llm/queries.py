@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from . import op1, op2, op4, op9  # noqa: F401  (importing registers the cases)
+from . import op1, op10, op2, op4, op6, op8, op9  # noqa: F401  (importing registers the cases)
 from .registry import CASES, ORACLES  # noqa: F401
