@@ -8,14 +8,15 @@ parts, so one part has at most ``k2`` differences; that part is partitioned agai
 ``n2``, and each choice of ``n2 - k2`` of these gives a signature, one of which is free
 of differences. Small ``k`` enumerate choices, large ones take ``n1 = k + 1``.
 
-Equal sets are one class from the start. Classes that share a signature form a bucket.
-Buckets are resolved in rounds: the most central members of each unresolved
-bucket are compared with its members of other components, verified links merge
-components, compared members leave, and a bucket of one component is done. So a group
-of near copies costs as many comparisons as it has members, not their square; only
-members that stay unlinked are compared among each other, in ever larger rounds.
-A pair is verified on its whole sets; before that its sizes, and a parity sketch of
-which the difference never exceeds the sets', rule out what cannot be similar.
+Equal sets are one class from the start. Classes that share a signature form a bucket,
+which is resolved in two rounds. First its members are gathered around centres: each is
+paired with the first centre it may be similar to, and the pairs are verified. That
+joins what belongs together with as many pairs as there are members, not their square.
+Then those pairs of members that may be similar and are still in different components
+are verified too; no link is left out. Inside a task "may be similar" is decided on
+sizes and on parity sketches, which never differ in more cells than the sets differ in
+elements; pairs that fail are never emitted. A bucket of more than ``BLOCK`` members is
+compared block by block, in tasks of their own.
 
 Defined results: a null or wordless text has the empty set and links with nothing
 (its component is its own id); a text of one or two words is one shingle; rows with
@@ -40,7 +41,8 @@ NUMERATOR, DENOMINATOR = 9, 10  # similarity of at least 9 / 10
 ENUMERATED = 3  # up to this many differences, choices of parts are enumerated over the whole set
 SPARE = 2
 BROADCAST_BYTES = 32 << 20
-SKETCH = 16  # words of 64 bits
+BLOCK = 4096
+LEAST_CELLS, MOST_CELLS = 1 << 10, 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -161,9 +163,63 @@ def fingerprint(elements: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """Parity of the elements in each of SKETCH x 64 cells: no more cells differ than elements do."""
-    cells = np.bincount((_mix(elements + np.uint64(77)) % np.uint64(SKETCH * 64)).astype(np.int64), minlength=SKETCH * 64) & 1
-    return np.packbits(cells.astype(np.uint8), bitorder="little").view(np.int64)
+    """Parity of the elements in each cell: no more cells differ than elements do. About one cell per element."""
+    cells = 1 << int(np.clip(int(len(elements) - 1).bit_length(), LEAST_CELLS.bit_length() - 1, MOST_CELLS.bit_length() - 1))
+    odd = np.bincount((_mix(elements + np.uint64(77)) % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same set in fewer cells."""
+    while len(sketch) > words:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
+
+
+class Bucket:
+    """Members of one bucket, or of two of its blocks, with what decides whether two may be similar."""
+
+    def __init__(self, rows: list[tuple], numerator: int, denominator: int):
+        rows.sort(key=lambda r: (r[3], r[0]))
+        self.cls = np.array([r[0] for r in rows], np.int64)
+        self.n = np.array([r[1] for r in rows], np.int64)
+        words = min(len(r[2]) for r in rows) // 8
+        self.sketch = np.array([folded(np.frombuffer(r[2], np.uint64), words) for r in rows])
+        self.block = np.array([r[3] for r in rows])
+        self.root = np.array([r[4] for r in rows], np.int64)
+        self.num, self.den = numerator, denominator
+
+    def near(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others may be similar to this one."""
+        cells = np.bitwise_count(self.sketch[others] ^ self.sketch[one]).sum(axis=1, dtype=np.int64)
+        sizes = self.n[others]
+        return ((self.den + self.num) * cells <= (self.den - self.num) * (sizes + self.n[one])) & (
+            self.den * np.minimum(sizes, self.n[one]) >= self.num * np.maximum(sizes, self.n[one]))
+
+    def stars(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(centre, members): each member once, with the first centre it may be similar to."""
+        found, rest = [], np.arange(len(self.cls))
+        while len(rest) > 1:
+            centre, rest = rest[0], rest[1:]
+            near = self.near(centre, rest)
+            if near.any():
+                found.append((np.full(near.sum(), self.cls[centre]), self.cls[rest[near]]))
+            rest = rest[~near]
+        return found
+
+    def apart(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Pairs that may be similar and are in different components; of two blocks, pairs across."""
+        found = []
+        split = int(np.searchsorted(self.block, self.block[-1])) if self.block[0] != self.block[-1] else 0
+        for one in range(split or len(self.cls)):
+            rest = np.arange(max(split, one + 1), len(self.cls))
+            rest = rest[self.root[rest] != self.root[one]]
+            if len(rest):
+                near = self.near(one, rest)
+                if near.any():
+                    found.append((np.full(near.sum(), self.cls[one]), self.cls[rest[near]]))
+        return found
 
 
 def _small(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -226,28 +282,51 @@ class Join:
             return pa.RecordBatch.from_arrays(
                 [pa.array([fingerprint(s)[0] for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()),
                  pa.array([s.tobytes() for s in found], pa.binary()),
-                 pa.array([sketch(s) for s in found], pa.list_(pa.int64()))], ["cls", "n", "elements", "sketch"])
+                 pa.array([sketch(s).tobytes() for s in found], pa.binary())], ["cls", "n", "elements", "sketch"])
 
-        frame = map_slices(docs, "text", work, "cls bigint, n bigint, elements binary, sketch array<bigint>")
+        frame = map_slices(docs, "text", work, "cls bigint, n bigint, elements binary, sketch binary")
         wanted = frame.join(_small(ids.select("cls"), 16), "cls", "left_semi")
         return saved(wanted, "shingle-sets")
 
+    def candidates(self, rows: DataFrame, star: bool) -> DataFrame:
+        """Pairs (a, b), a below b, of bucket rows with their sketches and components."""
+        num, den = self.numerator, self.denominator
+        others = F.sequence(F.lit(0), F.col("blocks") - 1)
+        spread = rows.withColumn("other", F.explode(others)).select(
+            "sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+            "cls", "n", "sketch", "block", "root")
+        dealt = spread.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+
+        def pairs(held: list[tuple]) -> pa.RecordBatch:
+            bucket = Bucket(held, num, den)
+            found = bucket.stars() if star else bucket.apart()
+            a, b = (np.concatenate([np.zeros(0, np.int64), *[f[k] for f in found]]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, held = None, []
+            for batch in batches:
+                keys = list(zip(*[batch.column(n).to_numpy().tolist() for n in ("sig", "i", "j")]))
+                values = zip(*[batch.column(n).to_numpy(zero_copy_only=False).tolist()
+                               for n in ("cls", "n", "sketch", "block", "root")])
+                for this, value in zip(keys, values):
+                    if this != key:
+                        if len(held) > 1:
+                            yield pairs(held)
+                        key, held = this, []
+                    held.append(value)
+            if len(held) > 1:
+                yield pairs(held)
+
+        return dealt.mapInArrow(task, "a bigint, b bigint").distinct()
+
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar enough."""
         num, den = self.numerator, self.denominator
-        few = sets.select("cls", "n", "sketch")
-        cells = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        rough = (pairs
-                 .join(few.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
-                 .join(few.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
-                 .where((den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-                        & ((den + num) * cells <= (den - num) * (F.col("n_a") + F.col("n_b"))))
-                 .select("a", "b").distinct())
-        rough = saved(rough, "rough-pairs")
         left = sets.select(F.col("cls").alias("a"), F.col("elements").alias("set_a"))
         right = sets.select(F.col("cls").alias("b"), F.col("elements").alias("set_b"))
-        firsts = left.join(_small(rough.select("a").distinct(), 16), "a", "left_semi")
-        both = right.join(_small(rough, 32), "b").join(firsts, "a").select("a", "b", "set_a", "set_b")
+        firsts = left.join(_small(pairs.select("a").distinct(), 16), "a", "left_semi")
+        both = right.join(_small(pairs, 32), "b").join(firsts, "a").select("a", "b", "set_a", "set_b")
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -262,36 +341,22 @@ class Join:
 
     def rooted(self, members: DataFrame) -> DataFrame:
         """``cls, root``: the component of every class that has a link."""
-        rows = self.buckets()
-        classes = rows.select("cls").distinct()
-        sets = self.sets(classes, members)
-        sizes = rows.groupBy("sig").agg((F.count(F.lit(1)) - 1).alias("others"))
-        weight = rows.join(sizes, "sig").groupBy("cls").agg(F.sum("others").alias("weight"))
-        rows = saved(rows.join(weight, "cls"), "bucket-rows")
-        roots = None
-        links = None
-        take = 1
-        while True:
-            known = rows.withColumn("root", F.col("cls")) if roots is None else rows.join(roots, "cls", "left").withColumn(
-                "root", F.coalesce("root", "cls"))
-            ends = Window.partitionBy("sig")
-            place = F.row_number().over(ends.orderBy(F.desc("weight"), "cls"))
-            open_rows = known.withColumns({"lo": F.min("root").over(ends), "hi": F.max("root").over(ends), "place": place}
-                                          ).where("lo != hi").drop("lo", "hi")
-            open_rows = saved(open_rows, "open-buckets")
-            if open_rows.isEmpty():
-                break
-            pivots = open_rows.where(F.col("place") <= take).select(
-                "sig", F.col("cls").alias("a"), F.col("root").alias("root_a"), F.col("place").alias("place_a"))
-            pairs = open_rows.select("sig", F.col("cls").alias("b"), "root", "place").join(pivots, "sig").where(
-                "place > place_a and root != root_a").select("a", "b").distinct()
-            found = self.verified(pairs, sets)
-            links = found if links is None else links.unionByName(found)
-            roots = saved(components(links).select(F.col("node").alias("cls"), "root"), "roots")
-            # Compared members leave their bucket: all their links in it are known.
-            rows = open_rows.where(F.col("place") > take).select("sig", "cls", "weight")
-            take *= 4
-        return roots if roots is not None else rows.select("cls", F.col("cls").alias("root")).limit(0)
+        shared = self.buckets()
+        sets = self.sets(shared.select("cls").distinct(), members)
+        ends = Window.partitionBy("sig")
+        placed = shared.withColumns({
+            "block": F.floor((F.row_number().over(ends.orderBy("cls")) - 1) / BLOCK).cast("int"),
+            "blocks": F.ceil(F.count(F.lit(1)).over(ends) / BLOCK).cast("int")})
+        rows = placed.join(sets.select("cls", "n", "sketch"), "cls")
+        first = saved(self.candidates(rows.withColumn("root", F.col("cls")), star=True), "pairs")
+        links = self.verified(first, sets)
+        roots = saved(components(links).select(F.col("node").alias("cls"), "root"), "roots")
+        known = rows.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        rest = saved(self.candidates(known, star=False).join(first, ["a", "b"], "left_anti"), "pairs")
+        more = self.verified(rest, sets)
+        if more.isEmpty():
+            return roots
+        return components(links.unionByName(more)).select(F.col("node").alias("cls"), "root")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", numerator: int = NUMERATOR,
