@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import map_slices, pick, text_buffer
+from .frames import column, map_slices, pick, text_buffer
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
@@ -141,7 +141,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
     blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
     source = pick(docs, doc_id=doc_id, text=text)
     if len(blocks) > 1:
-        source = source.withColumn("row", F.monotonically_increasing_id())
+        source = source.withColumn("_row", F.monotonically_increasing_id())
     keys = [name for name in source.columns if name != "text"]
     schema = (", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in keys)
               + f", n_words bigint, spans array<{SPAN}>, items array<string>")
@@ -164,7 +164,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
     for part in parts[1:]:
         whole = whole.unionByName(part)
     # One row per document and block: groups are as small as the number of blocks.
-    merged = whole.groupBy("row").agg(
+    merged = whole.groupBy("_row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -192,3 +192,16 @@ def hit_words(spans: str) -> Column:
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
     """At least one word in twenty lies in a window of a test item."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id",
+                      item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows that are not contaminated, with their own columns only.
+
+    The row itself travels as the id, so nothing is joined back.
+    """
+    carried = docs.select(F.struct(*[column(n) for n in docs.columns]).alias("row"), column(text).alias("text"))
+    found = find_items(carried, benchmark, doc_id="row", item_id=item_id, item_text=item_text, window=window,
+                       block_bytes=block_bytes)
+    clean = found.where(~is_contaminated(hit_words("spans"), F.col("n_words")))
+    return clean.select("doc_id.*")

@@ -30,7 +30,7 @@ from .frames import column, map_slices, pick, saved, text_buffer
 BITS = 13
 SAMPLE = 1000
 CENTROIDS = 4
-SLACK = 1.2
+SLACK = 1.5
 LENGTHS = 40  # powers of two of a text's number of 3-grams
 SLICE = 512 << 10
 _PLAIN = np.full(256, 32, np.uint8)

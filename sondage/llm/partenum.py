@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .frames import map_slices, pick, saved, text_buffer
+from .frames import column, map_slices, pick, saved, text_buffer
 
 WORDS = 3
 NUMERATOR, DENOMINATOR = 9, 10  # similarity of at least 9 / 10
@@ -379,3 +379,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return members.join(named, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", numerator: int = NUMERATOR,
+             denominator: int = DENOMINATOR, words: int = WORDS) -> DataFrame:
+    """The rows whose document is the first of its component by id, with their own columns only.
+
+    Documents without words, or without an id, are not copies of anything and stay.
+    """
+    named = near_duplicates(docs, doc_id=doc_id, text=text, numerator=numerator, denominator=denominator, words=words)
+    copies = named.where("doc_id != component_id").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(copies, column(doc_id) == F.col("_copy"), "left_anti")

@@ -70,8 +70,10 @@ def counts(df: DataFrame, text: str = "text") -> DataFrame:
         "n_stop_words": F.size(F.filter("_q_words", lambda word: F.lower(word).isin(STOP_WORDS))),
         "n_capitals": F.length(joined) - F.length(F.translate(joined, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
     }
-    return staged.select(*[column(n) for n in names],
-                         F.struct(*[c.cast("long").alias(n) for n, c in measured.items()]).alias("counts"))
+    whole = F.struct(*[c.cast("long").alias(n) for n, c in measured.items()])
+    # The row number is a barrier: a filter on the counts must not be pushed below the steps above, where each of its
+    # references would compute them again, once per word.
+    return staged.select(*[column(n) for n in names], F.when(F.monotonically_increasing_id() >= 0, whole).alias("counts"))
 
 
 def measures(c: Column) -> dict[str, Column]:
