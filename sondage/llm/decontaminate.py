@@ -21,7 +21,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .frames import column, map_slices, pick, text_buffer
 
@@ -143,8 +143,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
     if len(blocks) > 1:
         source = source.withColumn("_row", F.monotonically_increasing_id())
     keys = [name for name in source.columns if name != "text"]
-    schema = (", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in keys)
-              + f", n_words bigint, spans array<{SPAN}>, items array<string>")
+    span = T.StructType([T.StructField(n, T.LongType()) for n in ("first", "stop", "start_char", "stop_char")])
+    schema = T.StructType([*[source.schema[n] for n in keys], T.StructField("n_words", T.LongType()),
+                           T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType()))])
     parts = []
     for block in blocks:
         patterns = windows([(r["item"], r["text"]) for r in block.collect()], window)
