@@ -22,7 +22,7 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = HISTO
     One aggregate finds the ranges; the counts are combined on the map side, so
     only bins are shuffled. Empty bins have no row.
     """
-    columns = columns or numeric_columns(df)[:HISTOGRAM_COLUMNS]
+    columns = numeric_columns(df)[:HISTOGRAM_COLUMNS] if columns is None else columns
     values = {c: present(df, c).cast("double") for c in columns}
     ends = df.agg(*[e for c in columns for e in (F.min(values[c]), F.max(values[c]))]).first()
     bins_of, starts, widths = [], [], []
@@ -47,7 +47,7 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = HISTO
 
 def box_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 IQR) and outlier count per numeric column."""
-    columns = columns or numeric_columns(df)[:HISTOGRAM_COLUMNS]
+    columns = numeric_columns(df)[:HISTOGRAM_COLUMNS] if columns is None else columns
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     entries = []
     for c in columns:

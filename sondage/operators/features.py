@@ -12,8 +12,6 @@ from ..quantiles import exact_quantiles
 from ..schema import numeric_columns, present, quoted, string_columns
 from .profile import column_modes, small_cardinalities
 
-RATIO_COLUMN_LIMIT = 40  # 780 ratio columns; wider tables name the columns to combine
-
 
 @dataclass
 class FeaturePlan:
@@ -63,7 +61,7 @@ def scaling_moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[float,
 
 
 def scale_standard(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    moments = scaling_moments(df, columns or numeric_columns(df))
+    moments = scaling_moments(df, numeric_columns(df) if columns is None else columns)
     return df.withColumns({
         c: (present(df, c).cast("double") - F.lit(float(mean))) / F.lit(float(std)) for c, (mean, std) in moments.items()
     })
@@ -74,17 +72,15 @@ scale_normalize = scale_standard  # the preprocessing step "normalize_numeric" i
 
 def ratio_features(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, dict[str, list[str]]]:
     """``a_div_b`` for every i < j whose divisor never comes to 0."""
-    columns = columns or numeric_columns(df)
-    if len(columns) > RATIO_COLUMN_LIMIT:
-        raise ValueError(f"{len(columns)} columns give {len(columns) * (len(columns) - 1) // 2} ratios; "
-                         f"name at most {RATIO_COLUMN_LIMIT} columns to combine")
+    columns = numeric_columns(df) if columns is None else columns
     if len(columns) < 2:
         return df, {}
     row = df.agg(*[F.min(F.abs(present(df, c))) for c in columns]).first()
     smallest = dict(zip(columns, row))
     pairs = [(a, b) for a, b in combinations(columns, 2) if smallest[b] is not None and smallest[b] > 0]
     made = {f"{a}_div_{b}": [a, b] for a, b in pairs}
-    return df.withColumns({n: quoted(a) / quoted(b) for n, (a, b) in made.items()}), made
+    kept = [quoted(c) for c in df.columns if c not in made]
+    return df.select(*kept, *[(quoted(a) / quoted(b)).alias(n) for n, (a, b) in made.items()]), made
 
 
 def square_feature(df: DataFrame, column: str | None = None) -> tuple[DataFrame, dict[str, list[str]]]:

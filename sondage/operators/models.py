@@ -193,7 +193,7 @@ def cross_validate(data: DataFrame, models: dict[str, Estimator], task: str, fol
             value = evaluator.evaluate(fitted.transform(cached.where(F.col("fold") == fold)))
             return name, fold, float(value), None
         except Exception as error:  # recorded, so that the other models still run
-            return name, fold, None, str(error).splitlines()[0][:500]
+            return name, fold, None, str(error)
 
     jobs = [(name, model, fold) for name, model in models.items() for fold in range(folds)]
     pool = ThreadPool(parallelism)

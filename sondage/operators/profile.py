@@ -37,7 +37,9 @@ def _text(df: DataFrame, name: str) -> Column:
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column, value, n)`` of every column at once, values as text."""
-    columns = columns or df.columns
+    columns = df.columns if columns is None else columns
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
     texts = df.select(*[_text(df, c).alias(c) for c in columns])
     long = texts.unpivot([], [quoted(c) for c in columns], "column", "value")
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -50,7 +52,9 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     floats are hashed as such and only the remaining kinds are turned to text.
     Each branch reads its own columns alone.
     """
-    columns = columns or df.columns
+    columns = df.columns if columns is None else columns
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, rows bigint, n_missing bigint, n_distinct bigint")
 
     def kind(name: str) -> str:
         dtype = df.schema[name].dataType
@@ -138,7 +142,7 @@ def top_values(df: DataFrame, k: int = 5, columns: list[str] | None = None) -> D
     The rank filter is applied before the shuffle as well (window group limit),
     so a column with very many values sends at most k of them per task.
     """
-    counts = value_counts(df, columns or string_columns(df)).where("value is not null")
+    counts = value_counts(df, string_columns(df) if columns is None else columns).where("value is not null")
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
     ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("column", "rank", "value", "n", (F.col("rank") == 1).alias("most_common"))

@@ -44,7 +44,7 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
     side gives null. ``known`` (row count and common mean, no gaps) saves the
     first pass, as for ranks.
     """
-    columns = columns or numeric_columns(df)
+    columns = numeric_columns(df) if columns is None else columns
     pairs = list(combinations(columns, 2))
     names = ["variable1", "variable2", "n", "correlation"]
     if not pairs:
@@ -77,8 +77,8 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
     spread_y = F.greatest(F.col("yy") - F.try_divide(F.col("y") * F.col("y"), n), F.lit(0.0))
     joint = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), n)
     r = F.try_divide(joint, F.sqrt(spread_x) * F.sqrt(spread_y))
-    # least and greatest pass over nulls, so an undefined r is kept apart.
-    bounded = F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    # least and greatest pass over nulls and sort NaN last, so an undefined r (a column holds an infinity) is kept apart.
+    bounded = F.when(r.isNotNull() & ~F.isnan(r), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
     return total.select("variable1", "variable2", "n", bounded.alias("correlation"))
 
 
@@ -86,14 +86,14 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     """The full matrix in long form: both triangles and the diagonal."""
     half = correlation_pairs(df, columns).select("variable1", "variable2", "correlation")
     other = half.select(F.col("variable2").alias("variable1"), F.col("variable1").alias("variable2"), "correlation")
-    names = columns or numeric_columns(df)
+    names = numeric_columns(df) if columns is None else columns
     entries = [[F.lit(c), F.lit(c), F.when(F.var_pop(present(df, c).cast("double")) > 0, 1.0)] for c in names]
     return half.unionByName(other).unionByName(rows_from_aggregates(df, entries, half.columns))
 
 
 def correlation_wide(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column, one field per column."""
-    names = columns or numeric_columns(df)
+    names = numeric_columns(df) if columns is None else columns
     return correlation_matrix(df, names).groupBy("variable1").pivot("variable2", names).agg(F.first("correlation"))
 
 
@@ -176,7 +176,7 @@ def _gap_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 def spearman_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson on average ranks. Columns without gaps share one ranking."""
-    columns = columns or numeric_columns(df)
+    columns = numeric_columns(df) if columns is None else columns
     *gaps, rows = df.agg(*[F.count_if(present(df, c).isNull()) for c in columns], F.count(F.lit(1))).first()
     full = [c for i, c in enumerate(columns) if gaps[i] == 0]
     partial = [(a, b) for a, b in combinations(columns, 2) if a not in full or b not in full]

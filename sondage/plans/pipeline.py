@@ -39,7 +39,7 @@ class Analysis:
             try:
                 status, payload = "success", getattr(self, name)()
             except Exception as error:  # recorded; later stages still run
-                status, payload = "failed", {"error": f"{type(error).__name__}: {str(error).splitlines()[0][:400]}"}
+                status, payload = "failed", {"error": f"{type(error).__name__}: {error}"}
             self.rows.append((self.run_id, name, datetime.now(timezone.utc), status, json.dumps(payload, default=str)))
         results = self.source.sparkSession.createDataFrame(self.rows, STAGE_SCHEMA)
         if self.out:

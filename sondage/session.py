@@ -21,6 +21,8 @@ def build_session(app: str = "sondage", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Checkpoints go when nothing refers to them any more, not never.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Recording the call site of every column expression makes wide plans slow to build.
         "spark.python.sql.dataFrameDebugging.enabled": "false",

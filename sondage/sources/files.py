@@ -122,5 +122,5 @@ def read_all(spark: SparkSession, paths: list[str],
             tables[path] = use(table) if use else table
             rows.append((path, "success", None))
         except Exception as error:  # a bad file is recorded and the others go on
-            rows.append((path, "failed", str(error).splitlines()[0][:500]))
+            rows.append((path, "failed", str(error)))
     return tables, spark.createDataFrame(rows, "path string, status string, error string")

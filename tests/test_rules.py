@@ -251,3 +251,20 @@ def test_failed_results_and_missing_status(spark):
 def test_best_model_with_only_bad_scores(spark):
     stats_table = spark.createDataFrame([("A", -3.0, 0.1), ("B", -2.0, 0.1), ("C", None, None)], "model string, mean_score double, std_score double")
     assert models.recommend_model(stats_table, "regression").first()["model_name"] == "B"
+
+
+def test_many_columns_give_ratios(spark):
+    df = spark.range(3).select(*[(F.col("id") + k + 1).cast("double").alias(f"c{k}") for k in range(41)])
+    wide, made = features.ratio_features(df)
+    assert len(made) == 41 * 40 // 2 and len(wide.columns) == 41 + len(made)
+
+
+def test_infinity_has_no_correlation(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, float("inf")), (3.0, 5.0)], "a double, b double")
+    rows = stats.pearson_test(df).collect()
+    assert all(r["correlation"] is None for r in rows)
+
+
+def test_no_text_columns_give_no_values(spark):
+    df = spark.range(3).select(F.col("id").cast("double").alias("x"))
+    assert profile.top_values(df).count() == 0
