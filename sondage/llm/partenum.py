@@ -42,6 +42,8 @@ ENUMERATED = 3  # up to this many differences, choices of parts are enumerated o
 SPARE = 2
 BROADCAST_BYTES = 32 << 20
 BLOCK = 4096
+FEW = 16  # members up to which a bucket is compared pair by pair on whole numbers rather than on arrays
+SENT = 1 << 16  # pairs a task gathers before it sends them on
 LEAST_CELLS, MOST_CELLS = 1 << 10, 1 << 16
 
 
@@ -177,6 +179,42 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
+def few_pairs(rows: list[tuple], numerator: int, denominator: int, star: bool) -> list[tuple[int, int]]:
+    """What ``Bucket`` finds, for a handful of members, without arrays."""
+    rows.sort(key=lambda r: (r[3], r[0]))
+    cells = min(len(r[2]) for r in rows) * 8
+    members = []
+    for cls, n, held, block, root in rows:
+        bits, width = int.from_bytes(held, "little"), len(held) * 8
+        while width > cells:
+            width //= 2
+            bits = (bits >> width) ^ (bits & ((1 << width) - 1))
+        members.append((cls, n, bits, block, root))
+
+    def near(x: tuple, y: tuple) -> bool:
+        low, high = (x[1], y[1]) if x[1] < y[1] else (y[1], x[1])
+        return denominator * low >= numerator * high and (
+            (denominator + numerator) * (x[2] ^ y[2]).bit_count() <= (denominator - numerator) * (low + high))
+
+    found = []
+    if star:
+        while len(members) > 1:
+            centre, rest = members[0], []
+            for other in members[1:]:
+                if near(centre, other):
+                    found.append((centre[0], other[0]))
+                else:
+                    rest.append(other)
+            members = rest
+        return found
+    across = members[0][3] != members[-1][3]
+    for i, x in enumerate(members):
+        for y in members[i + 1:]:
+            if x[4] != y[4] and not (across and x[3] == y[3]) and near(x, y):
+                found.append((x[0], y[0]))
+    return found
+
+
 class Bucket:
     """Members of one bucket, or of two of its blocks, with what decides whether two may be similar."""
 
@@ -297,26 +335,42 @@ class Join:
             "cls", "n", "sketch", "block", "root")
         dealt = spread.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
-        def pairs(held: list[tuple]) -> pa.RecordBatch:
+        def pairs(held: list[tuple]) -> np.ndarray:
+            if not star and len({row[4] for row in held}) == 1:
+                return np.zeros((0, 2), np.int64)
+            if len(held) <= FEW:
+                return np.array(few_pairs(held, num, den, star), np.int64).reshape(-1, 2)
             bucket = Bucket(held, num, den)
             found = bucket.stars() if star else bucket.apart()
-            a, b = (np.concatenate([np.zeros(0, np.int64), *[f[k] for f in found]]) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            return np.concatenate([np.zeros((0, 2), np.int64), *[np.column_stack(f) for f in found]])
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, held = None, []
+            key, held, found, waiting = None, [], [], 0
+
+            def sent() -> pa.RecordBatch:
+                both = np.concatenate([np.zeros((0, 2), np.int64), *found])
+                both = np.unique(np.sort(both, axis=1), axis=0)
+                return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
             for batch in batches:
-                keys = list(zip(*[batch.column(n).to_numpy().tolist() for n in ("sig", "i", "j")]))
+                keys = zip(*[batch.column(n).to_numpy().tolist() for n in ("sig", "i", "j")])
                 values = zip(*[batch.column(n).to_numpy(zero_copy_only=False).tolist()
                                for n in ("cls", "n", "sketch", "block", "root")])
                 for this, value in zip(keys, values):
                     if this != key:
                         if len(held) > 1:
-                            yield pairs(held)
+                            found.append(pairs(held))
+                            waiting += len(found[-1])
+                            if not len(found[-1]):
+                                found.pop()
+                        if waiting > SENT:
+                            yield sent()
+                            found, waiting = [], 0
                         key, held = this, []
                     held.append(value)
             if len(held) > 1:
-                yield pairs(held)
+                found.append(pairs(held))
+            yield sent()
 
         return dealt.mapInArrow(task, "a bigint, b bigint").distinct()
 
@@ -346,12 +400,13 @@ class Join:
         ends = Window.partitionBy("sig")
         placed = shared.withColumns({
             "block": F.floor((F.row_number().over(ends.orderBy("cls")) - 1) / BLOCK).cast("int"),
-            "blocks": F.ceil(F.count(F.lit(1)).over(ends) / BLOCK).cast("int")})
+            "size": F.count(F.lit(1)).over(ends)}).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         rows = placed.join(sets.select("cls", "n", "sketch"), "cls")
         first = saved(self.candidates(rows.withColumn("root", F.col("cls")), star=True), "pairs")
         links = self.verified(first, sets)
         roots = saved(components(links).select(F.col("node").alias("cls"), "root"), "roots")
-        known = rows.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        # Of two members the first round has compared all there is.
+        known = rows.where("size > 2").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         rest = saved(self.candidates(known, star=False).join(first, ["a", "b"], "left_anti"), "pairs")
         more = self.verified(rest, sets)
         if more.isEmpty():
