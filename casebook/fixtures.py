@@ -104,14 +104,14 @@ SHAPES = {
                CASE doc_id % 3 WHEN 0 THEN 'PK12' WHEN 1 THEN '{{{{"a": 1' ELSE SUBSTRING(text, 1, 10) END AS head
         FROM {{documents}}""",
     "candidates": """
-        SELECT doc_id, CONCAT(source, '/', CAST(doc_id AS STRING)) AS ref, SUBSTRING(text, 1, 40) AS title,
-               CASE WHEN doc_id % 6 = 0 THEN '' ELSE SUBSTRING(text, 1, 200) END AS description,
+        SELECT doc_id, CONCAT(source, '/', CAST(doc_id AS STRING)) AS ref, text AS title,
+               CASE WHEN doc_id % 6 = 0 THEN '' ELSE text END AS description,
                lang, source, n_chars AS download_count, doc_id % 20 AS vote_count, doc_id % 11 AS usability_rating
         FROM {documents}""",
     # Several searches that return the same records at different places and scores.
     "search_results": """
         SELECT doc_id % 97 AS query_no, doc_id AS position, CONCAT(source, '/', lang) AS ref,
-               (doc_id * 7919) % 1000 / 1000.0 AS relevance_score, SUBSTRING(text, 1, 40) AS title
+               (doc_id * 7919) % 1000 / 1000.0 AS relevance_score, text AS title
         FROM {documents}""",
     "file_summaries": """
         SELECT user_id AS run_id, event_id, CONCAT('file', CAST(event_id AS STRING), '.csv') AS original_path,
@@ -149,8 +149,8 @@ SHAPES = {
                CASE doc_id % 5
                  WHEN 0 THEN CONCAT('{{"score": 0.', LPAD(CAST(doc_id % 100 AS STRING), 2, '0'), ', "reasoning": "r', CAST(doc_id AS STRING),
                                     '", "confidence": 0.25, "recommendations": ["a', CAST(doc_id AS STRING), '", "b"]}}')
-                 WHEN 1 THEN CONCAT('Relevance Score: 0.', CAST(doc_id % 10 AS STRING), ' because ', SUBSTRING(text, 1, 60))
-                 WHEN 2 THEN CONCAT('Intro ', SUBSTRING(text, 1, 20), NL[], '```python', NL[], ' x = ', CAST(doc_id AS STRING), ' ', NL[], '```', NL[],
+                 WHEN 1 THEN CONCAT('Relevance Score: 0.', CAST(doc_id % 10 AS STRING), ' because ', text)
+                 WHEN 2 THEN CONCAT('Intro ', text, NL[], '```python', NL[], ' x = ', CAST(doc_id AS STRING), ' ', NL[], '```', NL[],
                                     'then', NL[], '```', NL[], 'y = 2', NL[], '```', NL[], ' end ')
                  WHEN 3 THEN CONCAT(' first line ', NL[], NL[], '   ', NL[], 'second ', CAST(doc_id AS STRING), NL[], ' third')
                  ELSE text END AS reply
@@ -159,7 +159,7 @@ SHAPES = {
     "synthesis": """
         SELECT turn AS part_no, CASE conv_id % 3 WHEN 0 THEN 'insights' WHEN 1 THEN 'recommendations' ELSE 'documentation' END AS kind,
                CASE WHEN conv_id % 3 = 2 THEN CONCAT('doc', CAST(conv_id % 10 AS STRING)) ELSE '' END AS key,
-               conv_id % 2 = 0 AS is_list, conv_id AS item_no, SUBSTRING(text, 1, 50) AS item
+               conv_id % 2 = 0 AS is_list, conv_id AS item_no, text AS item
         FROM {conversations}""",
     "sections": f"""
         SELECT CONCAT('d', CAST(event_id % 50 AS STRING)) AS dataset_id,

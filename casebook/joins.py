@@ -43,13 +43,12 @@ def join_params_to_model(spark, sf_dir):
     hits AS (SELECT e.vec_id AS insight_id, row_number() OVER (ORDER BY ROUND(list_cosine_similarity(
                list_transform(e.embedding, lambda x: x::DOUBLE), q.v), 9) DESC, e.vec_id) AS rank FROM embeddings e, q
              QUALIFY rank <= 50)
-    SELECT h.insight_id, CAST(h.rank AS INT) AS rank, d.source AS title FROM hits h JOIN documents d ON d.doc_id = h.insight_id
-    WHERE d.doc_id % 3 <> 0""")
+    SELECT h.insight_id, CAST(h.rank AS INT) AS rank, d.source AS title FROM hits h JOIN documents d ON d.doc_id = h.insight_id""")
 def join_hits_to_records(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     question = list(vectors.where("vec_id = 3").first()["embedding"])
     hits = search.topk_per_question(vectors, [(0, question)], 50, "vec_id").select(F.col("vec_id").alias("insight_id"), "rank")
-    records = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(
+    records = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("insight_id"), F.col("source").alias("title"))
     return search.join_hits_to_records(hits, records, "insight_id").select("insight_id", "rank", "title")
 

@@ -134,11 +134,11 @@ def execution_stats_filter(spark, sf_dir):
 
 
 @case("capability_lookup", """
-    SELECT user_id AS agent_id, COUNT(DISTINCT event_type) AS n_capabilities FROM events WHERE value > 150 GROUP BY user_id
+    SELECT user_id AS agent_id, COUNT(DISTINCT event_type) AS n_capabilities FROM events GROUP BY user_id
     HAVING COUNT(*) FILTER (event_type = 'purchase') > 0""")
 def capability_lookup(spark, sf_dir):
-    # An agent can do what it has done: the few distinct event types of its larger events.
-    agents = table(spark, sf_dir, "events").where("value > 150").groupBy(F.col("user_id").alias("agent_id")).agg(
+    # An agent can do what it has done: the few distinct types of its events.
+    agents = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("agent_id")).agg(
         F.collect_set("event_type").alias("capabilities"))
     return catalog.capability_lookup(agents, "purchase").select(
         "agent_id", F.size("capabilities").cast("bigint").alias("n_capabilities"))

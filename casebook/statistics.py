@@ -101,7 +101,7 @@ def pairs_sql(columns: list[str], source: str, extra: str = "") -> str:
         for i, a in enumerate(columns) for b in columns[i + 1:])
 
 
-_MATRIX = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+_MATRIX = _NUMERIC
 
 
 @case("correlation_matrix", f"""
@@ -144,7 +144,7 @@ def beta_cte(tests: str, passes: int = 600) -> str:
              JOIN steps t ON t.id = s.id AND t.m = {passes})"""
 
 
-_TEST_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+_TEST_COLUMNS = _NUMERIC
 
 
 def correlation_tests_sql(pairs: str, kind: str) -> str:
@@ -208,7 +208,7 @@ def group_tests_sql(numeric: list[str], categories: list[str], source: str) -> s
     found AS (SELECT ready.*, p FROM ready JOIN tail ON tail.id = test_type || '/' || dep || '/' || ind)"""
 
 
-_GROUP_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_GROUP_NUMERIC = _NUMERIC
 _GROUP_CATEGORIES = ["l_returnflag", "l_linestatus"]
 _GROUP_SELECT = """SELECT test_type, dep AS dependent_variable, ind AS independent_variable, k AS groups, ROUND(f, 6) AS f_statistic,
     ROUND(t, 6) AS t_statistic, ROUND(p, 6) AS p_value, p < 0.05 AS significant FROM found"""

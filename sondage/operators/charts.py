@@ -20,10 +20,15 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = HISTO
     """``(column, bin, lower, upper, n)`` of the first four numeric columns; the last bin is closed.
 
     One aggregate finds the ranges; the counts are combined on the map side, so
-    only bins are shuffled. Empty bins have no row.
+    only bins are shuffled. Empty bins have no row. Infinite values lie in no bin,
+    as missing ones do, and do not stretch the range.
     """
     columns = numeric_columns(df)[:HISTOGRAM_COLUMNS] if columns is None else columns
-    values = {c: present(df, c).cast("double") for c in columns}
+    none = df.sparkSession.createDataFrame([], "column string, bin int, lower double, upper double, n bigint")
+    if not columns:
+        return none
+    numbers = {c: present(df, c).cast("double") for c in columns}
+    values = {c: F.when(F.abs(v) != float("inf"), v) for c, v in numbers.items()}
     ends = df.agg(*[e for c in columns for e in (F.min(values[c]), F.max(values[c]))]).first()
     bins_of, starts, widths = [], [], []
     for i, c in enumerate(columns):
@@ -36,6 +41,8 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = HISTO
         bins_of.append(F.when(values[c].isNotNull(), place).alias(c))  # least() passes over nulls
         starts += [F.lit(c), F.lit(low)]
         widths += [F.lit(c), F.lit((high - low) / bins)]
+    if not bins_of:
+        return none
     placed = df.select(*bins_of)
     long = placed.unpivot([], [quoted(c) for c in placed.columns], "column", "bin").where("bin is not null")
     counted = long.groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -48,6 +55,9 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = HISTO
 def box_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 IQR) and outlier count per numeric column."""
     columns = numeric_columns(df)[:HISTOGRAM_COLUMNS] if columns is None else columns
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, q1 double, median double, q3 double, "
+                                                   "whisker_low double, whisker_high double, n_outliers bigint")
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     entries = []
     for c in columns:

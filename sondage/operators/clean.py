@@ -63,6 +63,8 @@ def _with_kinds(df: DataFrame, texts: list[str]) -> tuple[DataFrame, list[Column
 def suggest_types(df: DataFrame) -> DataFrame:
     """numeric, datetime (with its format) or object for every string column, in one pass."""
     texts = string_columns(df)
+    if not texts:
+        return df.sparkSession.createDataFrame([], "column string, suggested_dtype string, format string")
     marked, bad = _with_kinds(df.select(*[quoted(c) for c in texts]), texts)
     checked = rows_from_aggregates(marked, [[F.lit(c), b] for c, b in zip(texts, bad)], ["column", "bad"])
     formats = F.array(*[F.lit(f) for f in DATETIME_FORMATS])

@@ -123,6 +123,9 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
 def numeric_describe(df: DataFrame) -> DataFrame:
     """count, mean, std (sample), min, quartiles, max per numeric column."""
     columns = numeric_columns(df)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, n bigint, mean double, std double, min double, "
+                                                   "p25 double, p50 double, p75 double, max double")
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     entries = []
     for c in columns:
@@ -161,6 +164,8 @@ def column_modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
 def datetime_range(df: DataFrame) -> DataFrame:
     entries = [[F.lit(c), F.min(quoted(c)).cast("timestamp_ntz"), F.max(quoted(c)).cast("timestamp_ntz")]
                for c in columns_of(df, "datetime")]
+    if not entries:
+        return df.sparkSession.createDataFrame([], "column string, min_date timestamp_ntz, max_date timestamp_ntz")
     return rows_from_aggregates(df, entries, ["column", "min_date", "max_date"])
 
 

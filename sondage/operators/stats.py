@@ -24,6 +24,8 @@ def column_pairs(df: DataFrame) -> DataFrame:
     """Numeric columns i < j with the number of rows present in both."""
     both = [[F.lit(a), F.lit(b), F.count_if(present(df, a).isNotNull() & present(df, b).isNotNull())]
             for a, b in combinations(numeric_columns(df), 2)]
+    if not both:
+        return df.sparkSession.createDataFrame([], "variable1 string, variable2 string, n bigint")
     return rows_from_aggregates(df, both, ["variable1", "variable2", "n"])
 
 
@@ -31,6 +33,8 @@ def num_by_cat_grid(df: DataFrame) -> DataFrame:
     """Numeric by category columns with the number of rows present in both."""
     both = [[F.lit(n), F.lit(c), F.count_if(present(df, n).isNotNull() & quoted(c).isNotNull())]
             for n in numeric_columns(df) for c in string_columns(df)]
+    if not both:
+        return df.sparkSession.createDataFrame([], "dependent_variable string, independent_variable string, n bigint")
     return rows_from_aggregates(df, both, ["dependent_variable", "independent_variable", "n"])
 
 
@@ -83,10 +87,12 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """The full matrix in long form: both triangles and the diagonal."""
+    """The full matrix in long form: both triangles and the diagonal; empty below two columns."""
     half = correlation_pairs(df, columns).select("variable1", "variable2", "correlation")
     other = half.select(F.col("variable2").alias("variable1"), F.col("variable1").alias("variable2"), "correlation")
     names = numeric_columns(df) if columns is None else columns
+    if len(names) < 2:
+        return half
     entries = [[F.lit(c), F.lit(c), F.when(F.var_pop(present(df, c).cast("double")) > 0, 1.0)] for c in names]
     return half.unionByName(other).unionByName(rows_from_aggregates(df, entries, half.columns))
 
@@ -230,8 +236,8 @@ def group_size_filter(moments: DataFrame) -> DataFrame:
 
 
 def _grid(df: DataFrame, numeric: list[str] | None, categories: list[str] | None) -> DataFrame | None:
-    numeric = numeric or numeric_columns(df)
-    categories = categories or string_columns(df)
+    numeric = numeric_columns(df) if numeric is None else numeric
+    categories = string_columns(df) if categories is None else categories
     if not categories:
         fallback = pick_grouping_column(df)
         categories = [fallback] if fallback else []

@@ -268,3 +268,19 @@ def test_infinity_has_no_correlation(spark):
 def test_no_text_columns_give_no_values(spark):
     df = spark.range(3).select(F.col("id").cast("double").alias("x"))
     assert profile.top_values(df).count() == 0
+
+
+def test_missing_families_give_empty_tables(spark):
+    text = spark.createDataFrame([("a",)], "s string")
+    numbers = spark.createDataFrame([(1.0,)], "x double")
+    for operator in (profile.numeric_describe, profile.numeric_minmax, profile.datetime_range, stats.column_pairs,
+                     stats.num_by_cat_grid, stats.correlation_matrix, charts.histogram, charts.box_stats):
+        assert operator(text).count() == 0
+    assert clean.suggest_types(numbers).count() == 0
+    assert stats.correlation_matrix(numbers).count() == 0
+
+
+def test_infinities_have_no_bin(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,), (3.0,), (float("inf"),), (float("-inf"),)], "x double")
+    found = charts.histogram(df, bins=3).orderBy("bin").collect()
+    assert [(r["bin"], r["lower"], r["upper"], r["n"]) for r in found] == [(0, 0.0, 1.0, 1), (1, 1.0, 2.0, 1), (2, 2.0, 3.0, 1)]
