@@ -190,9 +190,10 @@ def near_texts():
     return texts + ["", None, "  "]
 
 
-@pytest.mark.parametrize("num,den,words,block", [(9, 10, 3, 4096), (8, 10, 5, 3)])
-def test_jaccard_join_against_all_pairs(spark, monkeypatch, num, den, words, block):
+@pytest.mark.parametrize("num,den,words,block,few", [(9, 10, 3, 4096, 16), (8, 10, 5, 3, 16), (8, 10, 5, 3, 0)])
+def test_jaccard_join_against_all_pairs(spark, monkeypatch, num, den, words, block, few):
     monkeypatch.setattr(partenum, "BLOCK", block)
+    monkeypatch.setattr(partenum, "FEW", few)
     texts = near_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     sets = []
