@@ -37,9 +37,15 @@ SPAN = "struct<first:bigint,stop:bigint,start_char:bigint,stop_char:bigint>"
 _SPANS = pa.list_(pa.struct([(n, pa.int64()) for n in ("first", "stop", "start_char", "stop_char")]))
 
 
+def joined_words(normal: np.ndarray) -> str:
+    """Words of normalised bytes with one space between. Cut as bytes: str.split() counts 85 and A0, parts of characters, as white space."""
+    return b" ".join(normal.tobytes().split()).decode("latin-1")
+
+
 def item_words(text: str | None) -> list[str]:
     """The normalised words of one item; bytes beyond ASCII stay as they are, one character each."""
-    return _NORMAL[np.frombuffer((text or "").encode(), np.uint8)].tobytes().decode("latin-1").split()
+    joined = joined_words(_NORMAL[np.frombuffer((text or "").encode(), np.uint8)])
+    return joined.split(" ") if joined else []
 
 
 def windows(items: list[tuple[str, str | None]], size: int = WINDOW) -> list[tuple[str, int, list[str]]]:
@@ -92,10 +98,9 @@ class Scanner:
         items: list[list[str]] = [[] for _ in n_words]
         if machine is None:
             return n_words, spans, items
-        plain = normal.tobytes().decode("latin-1")
         for i in np.flatnonzero(n_words):
             a, b = offsets[i], offsets[i + 1]
-            found = list(machine.iter(f" {' '.join(plain[a:b].split())} "))
+            found = list(machine.iter(f" {joined_words(normal[a:b])} "))
             if found:
                 spans[i], items[i] = self._mapped(found, patterns, raw[a:b], solid[a:b], begin[a:b])
         return n_words, spans, items
