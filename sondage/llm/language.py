@@ -3,9 +3,12 @@
 A text becomes a vector of hashed byte 3-grams (ASCII letters in lower case, other
 ASCII as a space), weighted log(1 + count) x idf and normalised. Each language has up
 to ``CENTROIDS`` centroids from spherical k-means. A text takes the language of the
-centroid with the largest cosine; it is rejected if it lies further from it than
-``SLACK`` times the furthest training text of that language that is no shorter (short
-texts lie further out than long ones; lengths count by powers of two).
+centroid with the largest cosine. It is rejected if that cosine is below what the
+language's training texts of about its length have (short texts lie further out than long
+ones; lengths count by powers of two): below their 1st percentile over ``SLACK``, or below
+a quarter of their median. Neither is set by single outliers, and the median still holds
+where junk with a label makes the percentile loose. Likewise a centroid needs ``LEAST`` of
+its language's texts: one text far from all others is no centroid.
 
 Training takes about ``SAMPLE`` texts per language, chosen by a hash of the text, and
 fits each language in one bounded task; prediction is a projection over Arrow batches
@@ -31,6 +34,10 @@ BITS = 13
 SAMPLE = 1000
 CENTROIDS = 4
 SLACK = 1.5
+TAIL = 0.01
+FAR = 4.0  # a text whose cosine is so many times smaller than the median is rejected
+LEAST = 0.02
+POOL = 100  # texts that a length class needs; with fewer its neighbours count too
 LENGTHS = 40  # powers of two of a text's number of 3-grams
 SLICE = 512 << 10
 _PLAIN = np.full(256, 32, np.uint8)
@@ -71,7 +78,7 @@ def size_class(counts: np.ndarray) -> np.ndarray:
 
 
 def cluster(vectors: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means with furthest-first seeds: centroids, and each vector's distance to the nearest."""
+    """Spherical k-means with furthest-first seeds: centroids that hold enough vectors, and each vector's cosine to the nearest."""
     def unit(v: np.ndarray) -> np.ndarray:
         norm = np.linalg.norm(v)
         return v / norm if norm else v
@@ -85,17 +92,24 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray,
         mine = (vectors @ centres.T).argmax(axis=1)
         centres = np.array([unit(vectors[mine == c].mean(axis=0)) if (mine == c).any() else centres[c]
                             for c in range(len(centres))])
-    return centres, 1 - (vectors @ centres.T).max(axis=1)
-
-
-def radii_by_length(distance: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each length class the largest distance of texts that are no shorter; 1 below the shortest text seen."""
-    radii = np.zeros(LENGTHS)
-    np.maximum.at(radii, lengths, distance)
-    radii = np.maximum.accumulate(radii[::-1])[::-1]
-    radii[lengths.max() + 1:] = radii[lengths.max()]
-    radii[:lengths.min()] = 1.0
-    return radii
+    held = np.bincount((vectors @ centres.T).argmax(axis=1), minlength=len(centres))
+    centres = centres[held >= LEAST * len(vectors)]
+    return centres, (vectors @ centres.T).max(axis=1)
+
+
+def floors_by_length(cosines: np.ndarray, lengths: np.ndarray, slack: float) -> np.ndarray:
+    """For each length class the least cosine of a text that is not rejected; falling by the root of the length below the shortest text seen."""
+    n = np.bincount(lengths, minlength=LENGTHS)
+    floors = np.zeros(LENGTHS)
+    shortest = int(lengths.min())
+    for k in range(shortest, LENGTHS):
+        width = 0
+        while n[max(0, k - width):k + width + 1].sum() < min(POOL, len(lengths)):
+            width += 1
+        near = cosines[np.abs(lengths - k) <= width]
+        floors[k] = max(np.quantile(near, TAIL) / slack, np.median(near) / FAR)
+    floors[:shortest] = floors[shortest] / np.sqrt(2.0) ** np.arange(shortest, 0, -1)
+    return floors
 
 
 @dataclass
@@ -103,8 +117,7 @@ class Model:
     idf: np.ndarray
     centres: np.ndarray  # a row per centroid, by language
     names: list[str]
-    radii: np.ndarray  # of the centroid's language, by length class
-    slack: float
+    floors: np.ndarray  # least cosine of the centroid's language, by length class
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine and rejection of each text."""
@@ -115,7 +128,7 @@ class Model:
         cosines = weighted(counts, self.idf) @ self.centres.T
         best = cosines.argmax(axis=1)
         score = np.clip(cosines[np.arange(len(best)), best], 0, 1).astype(float)
-        far = 1 - score > self.slack * self.radii[best, lengths]
+        far = score < self.floors[best, lengths]
         return ([self.names[b] if ok else "und" for b, ok in zip(best, letter)],
                 np.where(letter, score, 0.0), far | ~letter)
 
@@ -128,7 +141,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample: in
     names = sorted(totals)
     if not names:
         return Model(np.ones(1 << BITS, np.float32), np.zeros((0, 1 << BITS), np.float32), [],
-                     np.zeros((0, LENGTHS)), slack)
+                     np.zeros((0, LENGTHS)))
     share = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) / (1 << 20)
     wanted = F.create_map(*[F.lit(x) for n in names for x in (n, sample / totals[n])])
     picked = rows.where(share < wanted[F.col("lang")])
@@ -155,16 +168,16 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample: in
             counts, _ = gram_counts(texts.slice(i, 200))
             lengths.append(size_class(counts))
             parts.append(weighted(counts, idf))
-        centres, distance = cluster(np.concatenate(parts), centroids)
-        radii = radii_by_length(distance, np.concatenate(lengths))
+        centres, cosines = cluster(np.concatenate(parts), centroids)
+        floors = floors_by_length(cosines, np.concatenate(lengths), slack)
         return pd.DataFrame({"lang": key[0], "place": range(len(centres)), "centre": list(centres.astype(float)),
-                             "radii": [radii] * len(centres)})
+                             "floors": [floors] * len(centres)})
 
     fitted = picked.groupBy("lang").applyInPandas(
-        fit, "lang string, place int, centre array<double>, radii array<double>").collect()
+        fit, "lang string, place int, centre array<double>, floors array<double>").collect()
     fitted.sort(key=lambda r: (r["lang"], r["place"]))
     return Model(idf, np.array([r["centre"] for r in fitted], np.float32), [r["lang"] for r in fitted],
-                 np.array([r["radii"] for r in fitted]), slack)
+                 np.array([r["floors"] for r in fitted]))
 
 
 def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

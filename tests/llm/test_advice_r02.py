@@ -1,8 +1,10 @@
 """Cases of the second review: each failed before its finding was settled."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from sondage.llm import decontaminate
+from sondage.llm import decontaminate, language
 from sondage.llm.queries import CASES, ORACLES
 from tools.compare import compare
 
@@ -27,3 +29,24 @@ def test_decontamination_keeps_the_bytes_85_and_a0_in_words(spark, tmp_path):
         spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     for i, start, stop in ((1, 0, len(french)), (2, 13, 13 + len(french)), (6, 2, 13), (8, 0, 12)):
         assert [(s["start_char"], s["stop_char"]) for s in found[i]] == [(start, stop)]
+
+
+def test_language_rejects_foreign_texts_although_junk_trains(spark):
+    rnd = random.Random(3)
+
+    def letters(n):
+        return " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 10))) for _ in range(n))
+
+    russian = "время человек работа город жизнь большой новый дом рука дело слово место вода земля река погода".split()
+    italian = "il che di per non sono della più come anche nel questo gli città vita uomo giorno strada lavoro libro".split()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = [(-i, text, lang) for i, (lang, text) in enumerate(
+        (lang, text) for lang in ("en", "fr", "de", "es") for text in (
+            "x", "A.", "zq " * 3000, "qx. " * 300, letters(200), "".join(rnd.choice("бгджз") for _ in range(500))))]
+    model = language.train(docs.unionByName(spark.createDataFrame(junk, docs.schema)))
+    texts = [make(n) for n in (60, 300, 1000) for make in (
+        letters, lambda n: " ".join(rnd.choices(russian, k=n)), lambda n: " ".join(rnd.choices(italian, k=n)))]
+    foreign = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert language.identify(foreign, model).where("not rejected").count() == 0
+    own = language.identify(docs, model)
+    assert own.where("rejected").count() <= 0.01 * own.count()
