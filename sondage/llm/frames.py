@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import shared_path
 
@@ -35,6 +35,35 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_hash(seed: int) -> Column:
+    return F.xxhash64("text", F.lit(seed)).alias("_hash")
+
+
+def drawn_hashes(hashes: DataFrame, label: str, per_label: int) -> DataFrame:
+    """Of rows (label, _hash) about ``per_label`` distinct hashes of each label, never more than twice that: the smallest."""
+    size = 1 << 20
+    distinct = hashes.select(label, "_hash").distinct()
+    totals = {r[label]: r["count"] for r in distinct.groupBy(label).count().collect()}
+    if not totals:
+        return hashes.select(label, "_hash").limit(0)
+    draw = F.pmod("_hash", F.lit(size))
+    wanted = F.create_map(*[F.lit(x) for name in sorted(totals) for x in (name, size * per_label / totals[name])])
+    place = F.row_number().over(Window.partitionBy(label).orderBy(draw, "_hash"))
+    picked = distinct.where(draw < wanted[F.col(label)]).withColumn("_place", place)
+    return saved(picked.where(F.col("_place") <= 2 * per_label).select(label, "_hash"), "sample-hashes")
+
+
+def drawn_texts(texts: DataFrame, chosen: DataFrame, label: str, seed: int) -> DataFrame:
+    """``label, text``: the texts of the drawn hashes, which are few and broadcast; each once."""
+    return texts.select("text", text_hash(seed)).join(F.broadcast(chosen), "_hash").select(label, "text").distinct()
+
+
+def distinct_sample(rows: DataFrame, label: str, per_label: int, seed: int) -> DataFrame:
+    """``label, text``: a bounded sample by text hash. Copies count once, so they cannot leave a sample of one text."""
+    chosen = drawn_hashes(rows.select(label, text_hash(seed)), label, per_label)
+    return drawn_texts(rows, chosen, label, seed)
+
+
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row and the offsets between them; a null text has no bytes."""
     if texts.null_count:

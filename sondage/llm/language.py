@@ -10,7 +10,7 @@ a quarter of their median. Neither is set by single outliers, and the median sti
 where junk with a label makes the percentile loose. Likewise a centroid needs ``LEAST`` of
 its language's texts: one text far from all others is no centroid.
 
-Training takes about ``SAMPLE`` texts per language, chosen by a hash of the text, and
+Training takes about ``SAMPLE`` distinct texts per language, chosen by a hash of the text, and
 fits each language in one bounded task; prediction is a projection over Arrow batches
 of whole texts.
 
@@ -26,9 +26,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame
 
-from .frames import column, map_slices, pick, saved, text_buffer
+from .frames import column, distinct_sample, map_slices, pick, saved, text_buffer
 
 BITS = 13
 SAMPLE = 1000
@@ -137,16 +137,10 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample: in
           slack: float = SLACK) -> Model:
     """The model of the texts whose language is known."""
     rows = pick(docs, text=text, lang=lang).where("lang is not null and text is not null")
-    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    names = sorted(totals)
-    if not names:
+    picked = saved(distinct_sample(rows, "lang", sample, 3), "language-sample")
+    if picked.isEmpty():
         return Model(np.ones(1 << BITS, np.float32), np.zeros((0, 1 << BITS), np.float32), [],
                      np.zeros((0, LENGTHS)))
-    share = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) / (1 << 20)
-    wanted = F.create_map(*[F.lit(x) for n in names for x in (n, sample / totals[n])])
-    picked = rows.where(share < wanted[F.col("lang")])
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text")))
-    picked = saved(picked.withColumn("_place", place).where(F.col("_place") <= 2 * sample).drop("_place"), "language-sample")
 
     def presence(batches):
         total, n = np.zeros(1 << BITS, np.int64), 0

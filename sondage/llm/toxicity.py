@@ -5,7 +5,7 @@ in lower case, runs of other ASCII signs as one space), present or not. A
 feature's scale is its log-count ratio between the two labels; weights of the
 scaled features come from logistic regression with an L2 penalty.
 
-Training takes up to ``SAMPLE`` labelled texts of each label, chosen by a hash of
+Training takes up to ``SAMPLE`` distinct labelled texts of each label, chosen by a hash of
 the text, so the fit is one bounded task; scoring is a projection over Arrow
 batches of whole texts. Features whose ratio is weak, or that too few texts have,
 get no weight.
@@ -24,11 +24,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import map_slices, pick, saved, text_buffer
+from .frames import distinct_sample, drawn_hashes, drawn_texts, map_slices, pick, saved, text_buffer, text_hash
 
 BITS = 20
 GRAMS = (4, 5, 6)
 SAMPLE = 4000
+SEED = 7
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[65:91] = np.arange(97, 123)
 _PLAIN[97:123] = np.arange(97, 123)
@@ -134,24 +135,29 @@ def fit(frame: pd.DataFrame, bits: int = BITS, least: int = 4, ratio: float = 1.
 
 
 def sample_by_label(rows: DataFrame, per_label: int) -> DataFrame:
-    """About ``per_label`` rows of each label, never more than twice that: those with the smallest text hashes."""
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    share = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20)) / (1 << 20)
-    chosen = [rows.where((F.col("label") == label) & (share < per_label / n)).limit(2 * per_label)
-              for label, n in counts.items()]
-    if not chosen:
-        return rows.limit(0)
-    whole = chosen[0]
-    for part in chosen[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    """About ``per_label`` distinct texts of each label, never more than twice that."""
+    return distinct_sample(rows, "label", per_label, SEED)
 
 
 def train(labelled: DataFrame, *, text: str = "text", label: str = "label", sample: int = SAMPLE) -> Model:
     """The model of labelled texts (label above 0: toxic)."""
     rows = pick(labelled, text=text, label=label).where("label is not null")
     rows = rows.select("text", (F.col("label") > 0).cast("int").alias("label"))
-    chosen = sample_by_label(rows, sample)
+    return fitted(sample_by_label(rows, sample))
+
+
+def train_by_id(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "label",
+                sample: int = SAMPLE) -> Model:
+    """The model of texts whose labels are in a table of their own: only ids and hashes are joined, never whole texts."""
+    source = pick(docs, doc_id=doc_id, text=text)
+    known = pick(labels, doc_id=doc_id, label=label).where("label is not null")
+    known = known.select("doc_id", (F.col("label") > 0).cast("int").alias("label"))
+    chosen = drawn_hashes(source.select("doc_id", text_hash(SEED)).join(known, "doc_id"), "label", sample)
+    return fitted(drawn_texts(source, chosen, "label", SEED))
+
+
+def fitted(chosen: DataFrame) -> Model:
+    """The model of a bounded sample (label, text), in one task."""
 
     def task(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(text=frame["text"].fillna("")).sort_values(["label", "text"], ignore_index=True)

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sondage.llm import decontaminate, language
+from sondage.llm import decontaminate, language, toxicity
 from sondage.llm.queries import CASES, ORACLES
 from tools.compare import compare
 
@@ -50,3 +50,16 @@ def test_language_rejects_foreign_texts_although_junk_trains(spark):
     assert language.identify(foreign, model).where("not rejected").count() == 0
     own = language.identify(docs, model)
     assert own.where("rejected").count() <= 0.01 * own.count()
+
+
+def test_samples_hold_distinct_texts_whatever_the_copies(spark):
+    texts = spark.range(400).select((F.col("id") % 2).cast("int").alias("label"), F.concat(F.lit("text "), "id").alias("text"))
+    draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20))
+    hot = texts.orderBy(draw).limit(1)
+    rows = texts.unionByName(hot.crossJoin(spark.range(3000)).drop("id")).repartition(7)
+    found = toxicity.sample_by_label(rows, 40)
+    counts = {r["label"]: (r["n"], r["d"]) for r in found.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("d")).collect()}
+    assert set(counts) == {0, 1} and all(n == d and 20 <= n <= 80 for n, d in counts.values())
+    again = toxicity.sample_by_label(rows.repartition(3), 40)
+    assert sorted(found.collect()) == sorted(again.collect())
