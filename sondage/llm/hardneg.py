@@ -21,7 +21,7 @@ at the end of their range; sums are formed without bound. Other columns are igno
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,6 @@ BLOCK = 4096  # candidates packed side by side
 GROUP = 16384  # anchors that meet a block in one task
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
-Cell = Callable[[dict, np.ndarray, dict], Iterator[tuple[int, np.ndarray]]]
-
 
 class Packed:
     """Candidates of one length, packed for anchors whose components are within ``reach``."""
@@ -142,7 +140,7 @@ def top(found: DataFrame, most: int) -> DataFrame:
 
 def mine(rows: DataFrame, anchors: Callable[[Column], Column], *, vec_id: str = "vec_id", embedding: str = "embedding",
          label: str = "label", scale: int = 256, positives: int = 5, negatives: int = 3,
-         band: tuple[int, int, int] = (50, 95, 100)) -> DataFrame:
+         band: tuple[int, int, int] = (50, 95, 100), block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score``.
 
     ``anchors`` says of an id whether its row is an anchor. Components become floor(scale * x).
@@ -156,7 +154,7 @@ def mine(rows: DataFrame, anchors: Callable[[Column], Column], *, vec_id: str =
         F.monotonically_increasing_id().alias("row"), "id", F.col("label").cast("bigint").alias("label"), whole.alias("vec"),
         F.coalesce(anchors(F.col("id")), F.lit(False)).alias("is_anchor")), "vectors")
     counted = points.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_anchor").alias("a")).first()
-    blocks, groups = -(-counted["n"] // BLOCK) or 1, -(-counted["a"] // GROUP) or 1
+    blocks, groups = -(-counted["n"] // block) or 1, -(-counted["a"] // group) or 1
     spread = lambda name, n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias(name)
     every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     held = ["id", "row", "label", "vec"]
