@@ -12,7 +12,7 @@ Constancy cannot tell a varying advert or menu from an article, nor an article t
 has only copies of from a template. So elements that are by name, role, class or id a menu,
 header, footer, sidebar, notice, advert, form or comment are left out, whatever they hold;
 inside an ``article`` or ``main`` more titles have to agree before a text is template; and a
-page that the template would take more than half of is taken for a copy and keeps its text.
+page that the template would take more than four fifths of is a copy and keeps its text.
 On pages without such an element the text is what lies in the smallest element that holds
 two thirds of the unlinked text left, without lists of links, and the first heading.
 
@@ -42,6 +42,7 @@ from .urlrules import host
 OUTSIDE, INSIDE = (3, 0.9), (8, 0.95)
 REGION = 2 / 3  # of a page's unlinked text, where no element says which is the article
 BROADCAST_BYTES = 32 << 20
+COPY = 0.8  # a page with more of its text in template than this is a copy of other pages
 CELLS = 1 << 20  # cells of a table of two lists of children; longer lists are halved first
 KNOWN = 1 << 18  # kinds of subtrees, or pairs of them, that a task remembers
 
@@ -209,7 +210,7 @@ def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
     page = Page(html)
     blocks = usable(page)
     total = sum(len(t) for _, t in blocks)
-    if template and 2 * sum(len(t) for i, t in blocks if i in template) <= total:
+    if template and sum(len(t) for i, t in blocks if i in template) <= COPY * total:
         blocks = [(i, t) for i, t in blocks if i not in template]
     if any(page.article[page.blocks[i].node] for i, _ in blocks):
         first = next((i for i, t in blocks if page.tags[page.blocks[i].node] == "h1"), -1)
