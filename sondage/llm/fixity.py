@@ -1,24 +1,30 @@
 """Merkle fixity audit of WARC records.
 
-Each record is laid out as WARC bytes and hashed. Records in id order are the leaves of
-a tree whose nodes hash ``FAN`` children and carry the bytes below them, so a node stands
-for an ordered range of offsets. Two replicas' roots are compared; where they differ only
-the children of mismatching nodes are compared, down to the records. A record's offset
-comes from the sizes of what stands before it on the way down.
-
-A replica's records take the places of the primary's with the same id, so a lost record
-does not shift what follows; records the primary lacks are reported apart.
-
-Defined results: records with the same id (or none) are one leaf that hashes their number
-and hashes; null url or html are empty; two empty tables agree.
+Each replica has a tree of its own over its own records. A leaf stands for records of one
+id and one content: it hashes the record's bytes, how many copies there are, their length
+and their place, as an offset from the first byte of its node. Nodes divide the ids: the
+primary's every ``FAN``-th leaf begins one, and a replica's leaves fall where their ids do,
+so lost or added records disturb their own node only. A node hashes its leaves in order, a
+parent hashes its ``FAN`` children each with its first offset, from the parent's, and its
+length. Roots are compared; where they differ only the children of mismatching nodes are,
+and leaves are read only below nodes that still differ.
+
+Without ``order`` a file holds its records by id, then hash. With it, the column gives the
+records' places in each replica's file: records that stand in another order, within a node
+or as whole nodes, are then found as moved.
+
+Defined results: null url or html are empty; records may share an id, or have none, and are
+told apart by content; of one id, lost contents pair with added ones as changed, in order of
+their hashes; two empty tables agree; against an empty primary every record is extra. Other
+columns are ignored. A node that holds very many leaves of a replica is hashed in rounds of
+``FAN``, so no group grows with the data.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..ordering import dense_index
-from .frames import pick, saved
+from .frames import pick, running, saved
 
 FAN = 64
 
@@ -33,60 +39,149 @@ def warc_record(record_id: Column, uri: Column, payload: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n")).cast("binary")
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """``id, hash, bytes``: one row per id of a frame (id, uri, payload)."""
+def by_id(*more: Column) -> list[Column]:
+    return [F.asc_nulls_first("id"), F.asc("hash"), *more]
+
+
+def leaves(records: DataFrame, placed: bool) -> DataFrame:
+    """``id, hash, bytes, n`` of the distinct records of (id, uri, payload, at), and if placed ``first, last``: offsets of the
+    first and last copy."""
     record = warc_record(F.col("id"), F.col("uri"), F.col("payload"))
-    hashed = records.select("id", F.sha2(record, 256).alias("hash"), F.octet_length(record).cast("long").alias("bytes"))
-    one = hashed.groupBy("id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("hash").alias("lo"), F.max("hash").alias("hi"),
-        F.expr("bit_xor(xxhash64(hash))").alias("mix"), F.sum("bytes").alias("bytes"))
-    many = F.sha2(F.concat_ws(",", "n", "lo", "hi", "mix"), 256)
-    return one.select("id", F.when(F.col("n") == 1, F.col("lo")).otherwise(many).alias("hash"), "bytes")
-
-
-def tree(level: DataFrame, fan: int = FAN) -> list[DataFrame]:
-    """Levels of (node, hash, bytes) from the leaves up to one root."""
-    levels = [level]
-    while levels[-1].count() > 1:
-        children = levels[-1].withColumn("parent", F.floor(F.col("node") / fan).cast("long"))
-        ordered = F.array_sort(F.collect_list(F.struct("node", "hash")))  # at most ``fan`` of them
-        levels.append(saved(children.groupBy("parent").agg(
-            F.sha2(F.concat_ws("", F.transform(ordered, lambda c: F.coalesce(c["hash"], F.lit("-")))), 256).alias("hash"),
-            F.sum("bytes").alias("bytes")).withColumnRenamed("parent", "node"), "merkle"))
-    return levels
+    hashed = records.select("id", F.sha2(record, 256).alias("hash"), F.octet_length(record).cast("long").alias("bytes"),
+                            *(["at"] if placed else []))
+    if not placed:
+        return hashed.groupBy("id", "hash", "bytes").agg(F.count(F.lit(1)).alias("n"))
+    laid = running(hashed, [F.asc_nulls_first("at"), *by_id()], {"offset": F.col("bytes")})
+    return laid.groupBy("id", "hash", "bytes").agg(
+        F.count(F.lit(1)).alias("n"), F.min("offset").alias("first"), F.max("offset").alias("last"))
+
+
+def located(leaves: DataFrame, splits: DataFrame | None, placed: bool, fan: int) -> DataFrame:
+    """Leaves with their ``node``, their ``position`` by id, and offsets. Without splits the leaves make the nodes."""
+    marked = leaves.withColumn("split", F.lit(0).cast("long"))
+    if splits is not None:
+        marked = marked.unionByName(splits.withColumn("split", F.lit(1).cast("long")), allowMissingColumns=True)
+    sums = {"opened": F.col("split")}
+    if not placed:
+        sums["first"] = F.coalesce(F.col("n") * F.col("bytes"), F.lit(0))
+    found = running(marked, by_id(F.desc("split")), sums).where("split = 0")
+    if splits is not None:
+        node = F.greatest(F.col("opened") - 1, F.lit(0)).cast("long")
+        found = found.withColumn("position", F.col("position") - F.col("opened"))
+    else:
+        node = F.floor(F.col("position") / fan).cast("long")
+    if not placed:
+        found = found.withColumn("last", F.col("first") + (F.col("n") - 1) * F.col("bytes"))
+    return saved(found.select(node.alias("node"), "position", "id", "hash", "bytes", "n", "first", "last"), "leaves")
+
+
+def _digest(group: list[str], parts: DataFrame, *totals: Column) -> DataFrame:
+    """One hash over the ``part`` strings of each group, at most a fan of them, in order of ``place``."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda p: p["part"])
+    return parts.groupBy(*group).agg(F.sha2(F.concat_ws("\n", ordered), 256).alias("hash"), *totals)
+
+
+def tree(leaves: DataFrame, levels: int, fan: int) -> list[DataFrame]:
+    """Levels of (node, hash, first, length), from the nodes over leaves up to the root."""
+    spans = saved(leaves.groupBy("node").agg(F.min("position").alias("from"), F.min("first").alias("begin"),
+                                             F.sum(F.col("n") * F.col("bytes")).alias("length")), "node-spans")
+    part = F.concat_ws(" ", F.col("first") - F.col("begin"), F.col("last") - F.col("first"), "n", "bytes", "hash")
+    runs = leaves.join(spans, "node").select("node", (F.col("position") - F.col("from")).alias("place"), part.alias("part"))
+    while True:
+        parts = runs.withColumn("run", F.floor(F.col("place") / fan).cast("long"))
+        runs = saved(_digest(["node", "run"], parts).select("node", F.col("run").alias("place"), F.col("hash").alias("part")), "merkle")
+        if runs.where("place > 0").isEmpty():
+            break
+    nodes = runs.join(spans, "node").select("node", F.col("part").alias("hash"), F.col("begin").alias("first"), "length")
+    out = [saved(nodes, "merkle")]
+    for _ in range(levels):
+        children = out[-1].withColumn("parent", F.floor(F.col("node") / fan).cast("long"))
+        kids = F.array_sort(F.collect_list(F.struct("node", "first", "length", "hash")))  # at most ``fan`` of them
+        parents = children.groupBy("parent").agg(kids.alias("kids"), F.min("first").alias("first"), F.sum("length").alias("length"))
+        lines = F.transform("kids", lambda k: F.concat_ws(" ", k["node"], k["first"] - F.col("first"), k["length"], k["hash"]))
+        out.append(saved(parents.select(F.col("parent").alias("node"), F.sha2(F.concat_ws("\n", lines), 256).alias("hash"),
+                                        "first", "length"), "merkle"))
+    return out
+
+
+def _moved(rows: DataFrame, group: str) -> DataFrame:
+    """The rows whose place among those of their group, at most a fan, differs between ``first`` and ``there``."""
+    ours = F.row_number().over(Window.partitionBy(group).orderBy("first"))
+    theirs = F.row_number().over(Window.partitionBy(group).orderBy("there"))
+    return rows.withColumns({"_a": ours, "_b": theirs}).where("_a != _b").drop("_a", "_b")
 
 
 def audit(primary: DataFrame, replica: DataFrame, *, record_id: str = "page_id", uri: str = "url", payload: str = "html",
-          fan: int = FAN) -> DataFrame:
-    """``record_id, kind, offset, length`` of what differs: changed, missing or extra in the replica.
+          order: str | None = None, fan: int = FAN) -> DataFrame:
+    """``record_id, kind, offset, length, replica_offset, copies`` of what differs.
 
-    ``offset`` and ``length`` place the record in the primary's file; extra records have none.
+    ``kind`` is missing, extra, changed or moved. ``offset`` and ``length`` place the record, or for moved nodes the range
+    of records (record_id is null then), in the primary's file, ``replica_offset`` in the replica's; each is null where
+    there is none. ``copies`` are the records that a row stands for, at these places first of all.
     """
-    names = {"id": record_id, "uri": uri, "payload": payload}
-    ours = leaves(pick(primary, **names))
-    theirs = leaves(pick(replica, **names)).select(F.col("id").alias("other"), F.col("hash").alias("copy"))
-    placed = dense_index(ours, [F.col("id").asc_nulls_first()], "node")
-    both = saved(placed.join(theirs, F.col("id").eqNullSafe(F.col("other")), "full").select(
-        "node", F.when(F.col("node").isNull(), F.col("other")).otherwise(F.col("id")).alias("id"), "hash", "copy", "bytes"), "fixity")
-    known = both.where("node is not null")
-    left = tree(known.select("node", "hash", "bytes"), fan)
-    right = tree(known.select("node", F.col("copy").alias("hash"), "bytes"), fan)
-    bad = None
-    for mine, copy in zip(reversed(left), reversed(right)):
-        nodes = mine.withColumn("parent", F.floor(F.col("node") / fan).cast("long"))
-        if bad is None:
-            nodes = nodes.withColumn("base", F.lit(0).cast("long"))
-        else:
-            nodes = nodes.join(bad, "parent")
-        before = F.sum("bytes").over(Window.partitionBy("parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1))
-        nodes = nodes.withColumn("base", F.col("base") + F.coalesce(before, F.lit(0)))
-        differing = nodes.join(copy.select("node", F.col("hash").alias("copy")), "node").where(~F.col("hash").eqNullSafe(F.col("copy")))
-        found = saved(differing.select("node", "base", "bytes", "copy"), "mismatches")
-        bad = found.select(F.col("node").alias("parent"), "base")
-    located = known.select("node", "id").join(found, "node").select(
-        F.col("id").alias("record_id"), F.when(F.col("copy").isNull(), "missing").otherwise("changed").alias("kind"),
-        F.col("base").alias("offset"), F.col("bytes").alias("length"))
-    extra = both.where("node is null").select(
-        F.col("id").alias("record_id"), F.lit("extra").alias("kind"), F.lit(None).cast("long").alias("offset"),
-        F.lit(None).cast("long").alias("length"))
-    return located.unionByName(extra)
+    names = {"id": record_id, "uri": uri, "payload": payload, **({"at": order} if order else {})}
+    placed = order is not None
+    ours = located(leaves(pick(primary, **names), placed), None, placed, fan)
+    splits = ours.where(F.col("position") % fan == 0).select("id", "hash")
+    theirs = located(leaves(pick(replica, **names), placed), splits, placed, fan)
+    nodes, levels = (ours.agg(F.max("node")).first()[0] or 0) + 1, 0
+    while nodes > 1:
+        nodes, levels = -(-nodes // fan), levels + 1
+    bad, moved = None, None
+    for mine, copy in zip(reversed(tree(ours, levels, fan)), reversed(tree(theirs, levels, fan))):
+        sides = []
+        for side in (mine, copy):
+            side = side.withColumn("parent", F.floor(F.col("node") / fan).cast("long"))
+            sides.append(side if bad is None else side.join(bad, "parent", "left_semi"))
+        other = sides[1].select("node", F.col("parent").alias("parent2"), F.col("hash").alias("copy"), F.col("first").alias("there"))
+        both = saved(sides[0].join(other, "node", "full").withColumn("parent", F.coalesce("parent", "parent2")), "compared")
+        if placed:
+            shifted = _moved(both.where("hash = copy"), "parent").select(
+                F.lit(None).cast(primary.schema[record_id].dataType).alias("record_id"), F.lit("moved").alias("kind"),
+                F.col("first").alias("offset"), "length", F.col("there").alias("replica_offset"), F.lit(1).cast("long").alias("copies"))
+            moved = shifted if moved is None else moved.unionByName(shifted)
+        bad = saved(both.where(~F.col("hash").eqNullSafe(F.col("copy"))).select(F.col("node").alias("parent")), "mismatches")
+    below = [side.join(bad.withColumnRenamed("parent", "node"), "node", "left_semi") for side in (ours, theirs)]
+    copy = below[1].select("hash", F.col("id").alias("id2"), F.col("bytes").alias("bytes2"), F.col("n").alias("n2"),
+                           F.col("first").alias("there"))
+    both = saved(below[0].join(copy.withColumnRenamed("hash", "hash2"), (F.col("hash") == F.col("hash2"))
+                               & F.col("id").eqNullSafe(F.col("id2")), "full"), "leaves-compared")
+    more = F.coalesce("n", F.lit(0)) - F.coalesce("n2", F.lit(0))
+    lost = both.where(more > 0).select("id", "hash", "bytes", F.col("first").alias("offset"), more.alias("copies"))
+    added = both.where(more < 0).select(F.col("id2").alias("id"), F.col("hash2").alias("hash"), F.col("bytes2").alias("bytes"),
+                                        F.col("there"), (-more).alias("copies"))
+    # Of one id, contents that went and contents that came, copy by copy, are changed records.
+    turn = Window.partitionBy("id").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
+
+    def spans(side: DataFrame) -> DataFrame:
+        begin = F.coalesce(F.sum("copies").over(turn), F.lit(0))
+        return side.withColumn("from", begin).withColumn("to", F.col("from") + F.col("copies"))
+
+    gone, come = spans(lost), spans(added).select(
+        F.col("id").alias("id2"), F.col("hash").alias("hash2"), "there", F.col("from").alias("from2"), F.col("to").alias("to2"))
+    overlap = F.least("to", "to2") - F.greatest("from", "from2")
+    met = saved(gone.join(come, F.col("id").eqNullSafe(F.col("id2")) & (F.col("from") < F.col("to2")) & (F.col("from2") < F.col("to")))
+                .withColumn("both", overlap), "changed")
+
+    def row(kind: str, copies: Column, offset: Column, length: Column, there: Column, name: str = "id") -> list[Column]:
+        return [F.col(name).alias("record_id"), F.lit(kind).alias("kind"), offset.cast("long").alias("offset"),
+                length.cast("long").alias("length"), there.cast("long").alias("replica_offset"), copies.cast("long").alias("copies")]
+
+    none = F.lit(None)
+    changed = met.select(*row("changed", F.col("both"), F.col("offset"), F.col("bytes"), F.col("there")))
+    paired = met.groupBy("id", "hash").agg(F.sum("both").alias("met"))
+    paired2 = met.groupBy("id2", "hash2").agg(F.sum("both").alias("met"))
+
+    def unpaired(side: DataFrame, done: DataFrame, name: str, hash_name: str) -> DataFrame:
+        done = done.select(F.col(name).alias("_id"), F.col(hash_name).alias("_hash"), "met")
+        left = F.col("copies") - F.coalesce("met", F.lit(0))
+        return side.join(done, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left").withColumn(
+            "left", left).where("left > 0")
+
+    missing = unpaired(lost, paired, "id", "hash").select(*row("missing", F.col("left"), F.col("offset"), F.col("bytes"), none))
+    extra = unpaired(added, paired2, "id2", "hash2").select(*row("extra", F.col("left"), none, none, F.col("there")))
+    out = changed.unionByName(missing).unionByName(extra)
+    if placed:
+        same = _moved(both.where("n is not null and n2 is not null"), "node")
+        out = out.unionByName(same.select(*row("moved", F.least("n", "n2"), F.col("first"), F.col("bytes"), F.col("there")))).unionByName(moved)
+    return out

@@ -100,3 +100,25 @@ def map_slices(df: DataFrame, text: str, work: Callable[[pa.RecordBatch], pa.Rec
                 yield work(piece)
 
     return df.mapInArrow(task, schema)
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None) -> DataFrame:
+    """The frame with each row's ``position`` in the order and, by name, the sums of what stands before it.
+
+    Spark range-sorts; one row of totals per partition reaches the driver.
+    """
+    sums = {"position": F.lit(1).cast("long"), **(sums or {})}
+    valued = df.select("*", *[value.alias(f"_v_{name}") for name, value in sums.items()])
+    stamped = saved(valued.orderBy(*order).withColumn("_stamp", F.monotonically_increasing_id()), "ordered").withColumn(
+        "_part", F.shiftright("_stamp", 33).cast("int"))
+    totals = stamped.groupBy("_part").agg(*[F.sum(f"_v_{name}").alias(name) for name in sums]).orderBy("_part").collect()
+    offsets, before = [], {name: 0 for name in sums}
+    for row in totals:
+        offsets.append((row["_part"], *before.values()))
+        before = {name: total + row[name] for name, total in before.items()}
+    schema = "_part int, " + ", ".join(f"_b_{name} bigint" for name in sums)
+    start = df.sparkSession.createDataFrame(offsets, schema)  # one row per partition, whatever the table holds
+    within = Window.partitionBy("_part").orderBy("_stamp").rowsBetween(Window.unboundedPreceding, -1)
+    placed = {name: F.col(f"_b_{name}") + F.coalesce(F.sum(f"_v_{name}").over(within), F.lit(0)) for name in sums}
+    return stamped.join(F.broadcast(start), "_part").withColumns(placed).drop(
+        "_part", "_stamp", *[f"_{kind}_{name}" for kind in "vb" for name in sums])
