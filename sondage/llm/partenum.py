@@ -6,7 +6,9 @@ next, so two similar sets always sign for one band together. In a band, similar
 differ in at most ``k`` elements: the domain is partitioned by hash into ``n1``
 parts, so one part has at most ``k2`` differences; that part is partitioned again into
 ``n2``, and each choice of ``n2 - k2`` of these gives a signature, one of which is free
-of differences. Small ``k`` enumerate choices, large ones take ``n1 = k + 1``.
+of differences. Up to ``ENUMERATED`` differences (sets of 37 elements at 0.9, of 17 at 0.8) choices
+are enumerated; above, ``n1 = k + 1`` and the choice is one part. Choosing two of three parts
+there too was measured (README): half as many signatures again, about as many shared ones.
 
 Equal sets are one class from the start. Classes that share a signature form a bucket,
 which is resolved in two rounds. First its members are gathered around centres: each is
@@ -33,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..ordering import Lookup, lookup_join
 from .components import components
 from .frames import column, map_slices, pick, saved, text_buffer
 
@@ -269,23 +272,23 @@ class Join:
     """One run of the join over a table of documents."""
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, numerator: int, denominator: int, words: int, seed: int):
-        self.source = pick(docs, doc_id=doc_id, text=text)
+        self.source = pick(docs, doc_id=doc_id, text=text).withColumn("text_hash", F.xxhash64("text"))
         self.numerator, self.denominator, self.words, self.seed = numerator, denominator, words, seed
         self.kind = self.source.schema["doc_id"].dataType.simpleString()
 
     def documents(self) -> DataFrame:
-        """``doc_id, n, cls, other`` of every row."""
+        """``doc_id, text_hash, n, cls, other`` of every row."""
         words, seed = self.words, self.seed
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets(batch.column("text"), words, seed)
             names = [fingerprint(s) for s in sets]
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64())],
-                ["doc_id", "n", "cls", "other"])
+                ["doc_id", "text_hash", "n", "cls", "other"])
 
-        frame = map_slices(self.source, "text", work, f"doc_id {self.kind}, n bigint, cls bigint, other bigint")
+        frame = map_slices(self.source, "text", work, f"doc_id {self.kind}, text_hash bigint, n bigint, cls bigint, other bigint")
         return saved(frame, "shingle-classes")
 
     def signed(self) -> DataFrame:
@@ -309,11 +312,15 @@ class Join:
         return saved(shared.select("sig", "cls").distinct(), "shared-signatures")
 
     def sets(self, classes: DataFrame, members: DataFrame) -> DataFrame:
-        """``cls, n, elements, sketch`` of the given classes, from one document of each."""
+        """``cls, n, elements, sketch`` of the given classes, one row of each, from one document of each."""
         words, seed = self.words, self.seed
-        chosen = members.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-        ids = saved(chosen, "set-documents")
-        docs = self.source.join(_small(ids.select("rep").distinct(), 32), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+        wanted = members.join(classes, "cls", "left_semi")
+        chosen = wanted.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"))
+        ids = saved(chosen.select("cls", F.col("at.doc_id").alias("rep"), F.col("at.text_hash").alias("rep_hash")), "set-documents")
+        size = ids.agg(F.sum(F.coalesce(F.octet_length(F.col("rep").cast("string")), F.lit(0)) + 48)).first()[0] or 0
+        same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))
+        picked = ids.select("rep", "rep_hash")
+        docs = self.source.join(F.broadcast(picked) if size <= BROADCAST_BYTES else picked, same, "left_semi")
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [s for s in shingle_sets(batch.column("text"), words, seed) if len(s)]
@@ -322,9 +329,10 @@ class Join:
                  pa.array([s.tobytes() for s in found], pa.binary()),
                  pa.array([sketch(s).tobytes() for s in found], pa.binary())], ["cls", "n", "elements", "sketch"])
 
-        frame = map_slices(docs, "text", work, "cls bigint, n bigint, elements binary, sketch binary")
-        wanted = frame.join(_small(ids.select("cls"), 16), "cls", "left_semi")
-        return saved(wanted, "shingle-sets")
+        frame = map_slices(docs.select("text"), "text", work, "cls bigint, n bigint, elements binary, sketch binary")
+        rows = members.join(picked, same, "left_semi").count()
+        # Rows of one id and text are all chosen; their class is kept once.
+        return saved(frame if rows == ids.count() else frame.dropDuplicates(["cls"]), "shingle-sets")
 
     def candidates(self, rows: DataFrame, star: bool) -> DataFrame:
         """Pairs (a, b), a below b, of bucket rows with their sketches and components."""
@@ -414,9 +422,11 @@ class Join:
         return components(links.unionByName(more)).select(F.col("node").alias("cls"), "root")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", numerator: int = NUMERATOR,
-                    denominator: int = DENOMINATOR, words: int = WORDS) -> DataFrame:
-    """Per row: ``doc_id, n_shingles, component_id``. Similarity is at least numerator / denominator."""
+def _components(docs: DataFrame, doc_id: str, text: str, numerator: int, denominator: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, text_hash, n, cls) and, of each class with words, ``cls, component_id, first_hash``.
+
+    The first of a component is the row with the smallest id, no id last, then the smallest text hash.
+    """
     seed = 0
     while True:
         run = Join(docs, doc_id, text, numerator, denominator, words, seed)
@@ -427,10 +437,21 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         seed += 1
     full = members.where("n > 0")
     roots = run.rooted(full)
-    classes = full.groupBy("cls").agg(F.min("doc_id").alias("rep")).join(roots, "cls", "left")
-    classes = classes.withColumn("root", F.coalesce("root", "cls"))
-    least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = saved(classes.join(least, "root").select("cls", "component_id"), "class-components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    classes = full.groupBy("cls").agg(first.alias("first")).join(roots, "cls", "left")
+    classes = saved(classes.withColumn("root", F.coalesce("root", "cls")), "classes")
+    least = classes.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
+    sums = least.agg(F.count(F.lit(1)), F.sum("n")).first()
+    # A component may hold very many classes: its root is then a hot key of this look-up.
+    named = lookup_join(classes.select("cls", "root"), Lookup(least, sums[0], sums[1] or 0), F.col("root"), "root", ["least"])
+    return members, saved(named.select("cls", F.col("least.doc_id").alias("component_id"),
+                                       F.col("least.text_hash").alias("first_hash")), "class-components")
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", numerator: int = NUMERATOR,
+                    denominator: int = DENOMINATOR, words: int = WORDS) -> DataFrame:
+    """Per row: ``doc_id, n_shingles, component_id``. Similarity is at least numerator / denominator."""
+    members, named = _components(docs, doc_id, text, numerator, denominator, words)
     return members.join(named, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -438,10 +459,25 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", numerator: int = NUMERATOR,
              denominator: int = DENOMINATOR, words: int = WORDS) -> DataFrame:
-    """The rows whose document is the first of its component by id, with their own columns only.
+    """One row of each component, the first by id (none last), then text hash, with its own columns only.
 
-    Documents without words, or without an id, are not copies of anything and stay.
+    Rows without words are not copies of anything and stay. Of rows with the same id and
+    text one stays, that with the smallest hash of all its columns.
     """
-    named = near_duplicates(docs, doc_id=doc_id, text=text, numerator=numerator, denominator=denominator, words=words)
-    copies = named.where("doc_id != component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, column(doc_id) == F.col("_copy"), "left_anti")
+    members, named = _components(docs, doc_id, text, numerator, denominator, words)
+    held = members.where("n > 0").join(named, "cls")
+    rows = held.groupBy("doc_id", "text_hash").agg(
+        F.min((F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))).cast("int")).alias("stays"),
+        F.count(F.lit(1)).alias("n"))
+    odd = saved(rows.where("stays = 0 or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "copies")
+    size = odd.agg(F.sum(F.coalesce(F.octet_length(F.col("_id").cast("string")), F.lit(0)) + 32)).first()[0] or 0
+    marks = F.broadcast(odd) if size <= BROADCAST_BYTES else odd
+    whole = docs.select(F.struct(*[column(n) for n in docs.columns]).alias("_row"), column(doc_id).alias("_doc"),
+                        F.xxhash64(column(text)).alias("_text"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
+    single = whole.join(marks, same, "left_anti").select("_row.*")
+    if odd.where("stays = 1").isEmpty():
+        return single
+    repeated = whole.join(F.broadcast(odd.where("stays = 1")) if size <= BROADCAST_BYTES else odd.where("stays = 1"), same, "left_semi")
+    one = repeated.groupBy("_doc", "_text").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    return single.unionByName(one.select("_row.*"))

@@ -63,3 +63,25 @@ def test_samples_hold_distinct_texts_whatever_the_copies(spark):
     assert set(counts) == {0, 1} and all(n == d and 20 <= n <= 80 for n, d in counts.values())
     again = toxicity.sample_by_label(rows.repartition(3), 40)
     assert sorted(found.collect()) == sorted(again.collect())
+
+
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    text = " ".join(f"word{k}" for k in range(100))
+    other = " ".join(f"thing{k}" for k in range(100))
+    rows = [(1, text, "a"), (5, text + " more", "b"), (5, other, "c"), (7, "one two three four five six", "d"),
+            (7, "one two three four five six", "e"), (None, text, "f"), (None, "nothing like the rest of it at all", "g"), (8, None, "h"),
+            (8, " ", "i")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, cls string").repartition(3)
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in partenum.keep_one(docs, numerator=8, denominator=10, words=5).collect())
+    assert got == sorted([(1, text), (5, other), (7, rows[3][1]), (0, rows[6][1]), (8, ""), (8, " ")])
+
+
+def test_sets_are_one_row_per_class(spark):
+    base = [f"word{k}" for k in range(100)]
+    texts = [" ".join(base), " ".join([*base, "end"])]
+    rows = [(None, texts[k % 2]) for k in range(60)] + [(3, texts[k % 2]) for k in range(40)]
+    run = partenum.Join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), "doc_id", "text", 9, 10, 3, 0)
+    members = run.documents()
+    assert run.sets(members.select("cls").distinct(), members).count() == 2
+    named = partenum.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r["component_id"] for r in named.collect()} == {3} and named.count() == 100
