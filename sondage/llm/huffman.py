@@ -2,16 +2,18 @@
 
 A store is a folder with two Parquet tables:
 
-``codebook``  ``id, length``: code lengths, at most ``LONGEST`` bits. Codes are
-              canonical: by length, then by id.
+``codebook``  ``id, length``: code lengths, at most ``LONGEST`` bits, or two more than
+              the occurring ids need (24 at most, so 4,194,304 ids). Codes are canonical:
+              by length, then by id.
 ``chunks``    one row per run of whole documents in ascending id order: the
               document ids and token counts, the ``payload``, the byte at which
               each block of ``BLOCK`` ids begins in it, and ``lanes``: the bit
               offset in its block of every ``LANE``-th id.
 
 A block begins at a byte and needs nothing from other blocks; a reader may enter it
-at any lane. Decoding follows all lanes of a chunk at once: per step one look-up of
-the next ``LONGEST`` bits in a table that gives id and length.
+at any lane, as ``read_span`` does. Decoding follows all lanes of a chunk at once: per step
+one look-up of the next bits, as many as the longest code has, in a table that gives id and
+length.
 
 Documents are range-partitioned and sorted by id before they are encoded, so a
 partition's files are a stretch of the order; one number per partition (its ids)
@@ -35,13 +37,18 @@ from ..session import shared_path
 from .frames import pick, sliced
 from .tokens import crc32, encoder, with_end
 
-LONGEST = 16
+LONGEST, WIDEST = 16, 24
 BLOCK = 4096
 LANE = 256
 CHUNK = 1 << 18  # ids; a longer document is a chunk of its own
 END_ID = 1
 
 
+def longest_for(used: int) -> int:
+    """Bits that codes may have when so many ids occur."""
+    return max(LONGEST, int(used - 1).bit_length() + 2 if used > 1 else 1)
+
+
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
     """Optimal code lengths of at most ``longest`` bits, by package-merge; 0 for what does not occur."""
     used = np.flatnonzero(counts)
@@ -51,7 +58,7 @@ def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
     if len(used) == 1:
         lengths[used] = 1
         return lengths
-    if len(used) > 1 << longest:
+    if len(used) > 1 << longest or longest > WIDEST:
         raise ValueError(f"{len(used)} ids do not fit codes of {longest} bits")
     order = used[np.argsort(counts[used], kind="stable")]
     weights = counts[order].astype(np.float64)
@@ -87,8 +94,8 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 class Codec:
     """Code lengths made into an encoder and a decoding table."""
 
-    def __init__(self, lengths: np.ndarray, longest: int = LONGEST):
-        self.lengths, self.longest = lengths, longest
+    def __init__(self, lengths: np.ndarray):
+        self.lengths, self.longest = lengths, max(LONGEST, int(lengths.max(initial=0)))
         self.codes = canonical(lengths)
         self._table = None
 
@@ -127,17 +134,18 @@ class Codec:
             self._table = np.pad(ids, (0, rest)).astype(np.int64), np.pad(sizes, (0, rest)).astype(np.int64)
         return self._table
 
-    def decode(self, payload: bytes, blocks: np.ndarray, lanes: np.ndarray, n: int) -> np.ndarray:
-        """All ``n`` ids, every lane a step at a time."""
+    def decode(self, payload: bytes, blocks: np.ndarray, lanes: np.ndarray, n: int, entry: int = 0) -> np.ndarray:
+        """The last ids of ``n``, from lane ``entry`` on, every lane a step at a time."""
         ids, sizes = self.table()
         raw = np.frombuffer(payload + b"\0\0\0\0", np.uint8).astype(np.int64)
         at = lanes.astype(np.int64) + np.repeat(blocks.astype(np.int64) * 8, BLOCK // LANE)[:len(lanes)]
-        out = np.zeros((LANE, len(lanes)), np.uint32)
+        at, n = at[entry:], max(n - entry * LANE, 0)
+        out = np.zeros((LANE, len(at)), np.uint32)
         shift = 24 - self.longest
         mask = (1 << self.longest) - 1
         full = n // LANE
         for step in range(LANE):
-            if step == n - full * LANE and full < len(lanes):
+            if step == n - full * LANE and full < len(at):
                 at = at[:full]  # the last lane is shorter
             byte = at >> 3
             window = raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]
@@ -208,7 +216,8 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, *, doc_id: str = "do
     docs = pick(docs, doc_id=doc_id, text=text)
     encoded = encode_in_order(docs, tokenizer, end, shared_path(spark, "token-ids"))
     vocabulary = max(encoder(tokenizer).tokenizer.get_vocab_size(), end + 1)
-    lengths = code_lengths(id_counts(encoded, vocabulary))
+    counts = id_counts(encoded, vocabulary)
+    lengths = code_lengths(counts, longest_for(np.count_nonzero(counts)))
     used = np.flatnonzero(lengths)
     book = spark.createDataFrame(list(zip(used.tolist(), lengths[used].tolist())), "id bigint, length int")
     book.coalesce(1).write.parquet(f"{path}/codebook")
@@ -258,17 +267,45 @@ def digest(spark, path: str) -> DataFrame:
     return _decoded(spark, path, lambda ids: pa.array([crc32(x) for x in ids], pa.int64()), "ids_crc32 bigint")
 
 
-def _decoded(spark, path: str, made, column: str) -> DataFrame:
+def read_span(spark, path: str, start: int, stop: int) -> DataFrame:
+    """``start, ids``: the ids at places ``start`` to ``stop`` of the whole, in the runs that the chunks hold.
+
+    Only chunks that reach into the span are decoded, from the lane that holds its first place.
+    """
+    codec, offsets, chunks = _opened(spark, path)
+    spark_offsets = F.create_map(*[F.lit(x) for pair in offsets.value.items() for x in pair]) if offsets.value else F.create_map()
+    total = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
+    placed = chunks.withColumn("at", F.element_at("starts", 1) + F.coalesce(F.try_element_at(spark_offsets, F.col("part").cast("int")), F.lit(0)))
+    wanted = placed.withColumn("n", total).where((F.col("at") < stop) & (F.col("at") + F.col("n") > start))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                begin, end = max(start - row["at"], 0), min(stop - row["at"], row["n"])
+                entry = begin // LANE
+                ids = codec.value.decode(row["payload"], np.array(row["blocks"], np.int64), np.array(row["lanes"], np.int64), row["n"], entry)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["at"] + begin]), pa.array([ids[begin - entry * LANE:end - entry * LANE]], pa.list_(pa.int64()))],
+                    ["start", "ids"])
+
+    return wanted.select("at", "n", "payload", "blocks", "lanes").mapInArrow(task, "start bigint, ids array<bigint>")
+
+
+def _opened(spark, path: str):
+    """The broadcast codec, the broadcast number of ids before each partition, and the chunks of a store."""
     book = spark.read.parquet(f"{path}/codebook").toArrow()
     lengths = np.zeros(int(max(book.column("id").to_pylist(), default=0)) + 1, np.int64)
     lengths[book.column("id").to_numpy()] = book.column("length").to_numpy()
-    shared = spark.sparkContext.broadcast(Codec(lengths))
     chunks = spark.read.parquet(f"{path}/chunks")
     # One number per partition of the ordered documents.
     sizes = chunks.groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     sizes = sorted((r["part"], r["n"]) for r in sizes.collect())
     before = dict(zip((p for p, _ in sizes), itertools.accumulate((n for _, n in sizes), initial=0)))
-    offsets = spark.sparkContext.broadcast(before)
+    return spark.sparkContext.broadcast(Codec(lengths)), spark.sparkContext.broadcast(before), chunks
+
+
+def _decoded(spark, path: str, made, column: str) -> DataFrame:
+    shared, offsets, chunks = _opened(spark, path)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

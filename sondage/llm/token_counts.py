@@ -10,8 +10,11 @@ that reaches over a boundary is allocated by ``rule``:
 ``overlapping`` counts the tokens that have a character in the field, so a
 boundary-crossing token counts in each of its fields there.
 
+``count_by_section`` does the same for sections of one text, runs of a fixed number of
+characters whose ends may lie inside a word.
+
 Defined results: a null field is an empty one; a document without tokens still has a
-row for each field; rows with the same or no id are counted each on its own.
+row for each field, and one section; rows with the same or no id are counted each on its own.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import column, map_slices
+from .frames import column, map_slices, pick
 from .tokens import encoder
 
 RULES = ("first", "most")
@@ -72,3 +75,30 @@ def count_by_field(docs: DataFrame, tokenizer: str, fields: list[str], *, doc_id
     kind = source.schema["doc_id"].dataType.simpleString()
     return map_slices(source, "text", work, f"doc_id {kind}, field string, start bigint, stop bigint, n_tokens bigint, "
                                             "overlapping bigint")
+
+
+def count_by_section(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", size: int = 1000,
+                     rule: str = "most") -> DataFrame:
+    """``doc_id, section, start, stop, n_tokens, overlapping``: a row per run of ``size`` characters of each whole text."""
+    if rule not in RULES:
+        raise ValueError(f"rule is one of {RULES}")
+    whole = pick(docs, doc_id=doc_id, text=text).withColumn("chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, bounds, starts, stops = encoder(tokenizer, True)(batch.column("text"))
+        chars = batch.column("chars").to_numpy()
+        sections = np.maximum(-(-chars // size), 1)
+        # All documents on one line, each as long as its text and one more.
+        base = np.cumsum(chars + 1) - chars - 1
+        owner = np.repeat(np.arange(len(chars)), sections)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(sections) - sections, sections)
+        first = number * size
+        last = np.minimum(first + size, chars[owner])
+        shift = np.repeat(base, np.diff(bounds))
+        counts, overlapping = attributed(starts + shift, stops + shift, first + base[owner], last + base[owner], rule)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(pa.array(owner)), pa.array(number, pa.int64()), pa.array(first), pa.array(last),
+             pa.array(counts), pa.array(overlapping)], ["doc_id", "section", "start", "stop", "n_tokens", "overlapping"])
+
+    kind = whole.schema["doc_id"].dataType.simpleString()
+    return map_slices(whole, "text", work, f"doc_id {kind}, section bigint, start bigint, stop bigint, n_tokens bigint, overlapping bigint")
