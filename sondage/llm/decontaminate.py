@@ -1,13 +1,18 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test items, one scan of each text.
 
 A text is normalised to its words (ASCII letters in lower case, digits, anything
-beyond ASCII) with one space around each. Every window of ``WINDOW`` consecutive
-words of an item becomes a pattern with its outer spaces, so a match always
-covers whole words. Matches are mapped back to word numbers and to characters of
-the original text.
-
-The items are broadcast in blocks of at most ``BLOCK_BYTES`` of text (plus one
-item): a benchmark of any size is matched, one block's automaton at a time.
+beyond ASCII). The items' distinct words are numbered and a text becomes a string of
+these numbers, one sentinel for every other word, so a match always covers whole
+words. Any ``WINDOW`` consecutive words of an item contain one of its blocks of
+``(WINDOW + 1) // 2`` words that begin at multiples of that length; these blocks, and
+items shorter than a window as they are, are the patterns. So the automaton has about a
+node per word of the benchmark, however many windows that has. Where a block occurs, the
+match is followed to both sides along the item; a run of a window or more is a hit, as
+all windows in it occur. Hits are mapped back to word numbers and to characters.
+
+The items are broadcast, up to ``BLOCK_BYTES`` of text (16 MB take about 300 MB in a
+worker). A larger benchmark is matched in blocks of that size, each by a scan of a
+numbered table of the texts, of which later blocks return hits only.
 
 Defined results: a null or wordless text has no words and no hits; a null or
 wordless item has no windows; items without an id are left out; rows of the same
@@ -23,10 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .frames import column, map_slices, pick, text_buffer
+from .frames import column, map_slices, pick, saved, text_buffer
 
 WINDOW = 13
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 _NORMAL = np.full(256, 32, np.uint8)
 _NORMAL[48:58] = np.arange(48, 58)
 _NORMAL[65:91] = np.arange(97, 123)
@@ -48,42 +53,99 @@ def item_words(text: str | None) -> list[str]:
     return joined.split(" ") if joined else []
 
 
-def windows(items: list[tuple[str, str | None]], size: int = WINDOW) -> list[tuple[str, int, list[str]]]:
-    """(pattern, words in it, ids of the items that hold it), each pattern once."""
-    found: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
-        words = item_words(text)
-        for i in range(max(len(words) - size + 1, min(len(words), 1))):
-            part = words[i:i + size]
-            found.setdefault(f" {' '.join(part)} ", (len(part), set()))[1].add(item)
-    return [(pattern, n, sorted(ids)) for pattern, (n, ids) in found.items()]
+class Items:
+    """The patterns of a benchmark and where each occurs in its items."""
 
+    #: Characters that stand for word numbers; 0 is every word that no item has. Surrogates are left out.
+    SIGNS = 0x110000 - 0x800 - 1
 
-class Scanner:
-    """Scans slices of texts for one block of windows. Sent to the tasks; builds its automaton there, once a worker."""
+    def __init__(self, items: list[tuple[str, str | None]], window: int):
+        import ahocorasick
 
-    _built: dict[str, tuple] = {}
+        words = [(item, item_words(text)) for item, text in items]
+        known = sorted({w for _, held in words for w in held})
+        self.window = window
+        self.width = 1 if len(known) < self.SIGNS else 2
+        self.signs = {w: self._sign(k + 1) for k, w in enumerate(known)}
+        self.other = self._sign(0)
+        self.names: list[str] = []
+        self.texts: list[str] = []
+        places: dict[str, list[tuple[int, int]]] = {}
+        block = (window + 1) // 2
+        for item, held in words:
+            if not held:
+                continue
+            number = len(self.names)
+            self.names.append(item)
+            text = "".join(map(self.signs.__getitem__, held))
+            self.texts.append(text)
+            if len(held) < window:
+                places.setdefault(text, []).append((number, 0))
+            else:
+                for start in range(0, len(held) - block + 1, block):
+                    places.setdefault(text[start * self.width:(start + block) * self.width], []).append((number, start))
+        self.machine = ahocorasick.Automaton()
+        for pattern, found in places.items():
+            self.machine.add_word(pattern, (len(pattern) // self.width, found))
+        self.empty = not places
+        if places:
+            self.machine.make_automaton()
+
+    def _sign(self, number: int) -> str:
+        digits = [number] if self.width == 1 else divmod(number, self.SIGNS)
+        return "".join(chr(d if d < 0xD800 else d + 0x800) for d in digits)
+
+    def runs(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """(first, stop, item) of the runs of words that windows of items cover, in any order; each run once."""
+        width, other = self.width, self.other
+        text = "".join([self.signs.get(w, other) for w in words])
+        found: set[tuple[int, int, int]] = set()
+        done: dict[tuple[int, int], int] = {}  # how far the run of an item on a diagonal has been followed
+        for end, (size, places) in self.machine.iter(text):
+            if (end + 1) % width:
+                continue
+            stop = (end + 1) // width
+            first = stop - size
+            for item, start in places:
+                line = self.texts[item]
+                if len(line) < self.window * width:
+                    found.add((first, stop, item))
+                    continue
+                if done.get((item, first - start), -1) >= stop:
+                    continue
+                a, b = first, stop
+                while a and a - first + start > 0 and self._same(text, a - 1, line, a - 1 - first + start):
+                    a -= 1
+                most = min(len(words), len(line) // width + first - start)
+                while b < most and self._same(text, b, line, b - first + start):
+                    b += 1
+                done[item, first - start] = b
+                if b - a >= self.window:
+                    found.add((a, b, item))
+        return list(found)
+
+    def _same(self, text: str, place: int, line: str, other: int) -> bool:
+        width = self.width
+        return text[place * width:(place + 1) * width] == line[other * width:(other + 1) * width]
 
-    def __init__(self, shared, name: str):
-        self.shared, self.name = shared, name
 
-    def automaton(self):
-        import ahocorasick
+class Scanner:
+    """Scans slices of texts for one block of items. Sent to the tasks; builds its automaton there, once a worker."""
+
+    _built: dict[str, Items] = {}
+
+    def __init__(self, shared, name: str, window: int):
+        self.shared, self.name, self.window = shared, name, window
 
+    def items(self) -> Items:
         if self.name not in self._built:
-            patterns = self.shared.value
-            machine = ahocorasick.Automaton()
-            for place, (pattern, _, _) in enumerate(patterns):
-                machine.add_word(pattern, place)
-            if patterns:
-                machine.make_automaton()
             self._built.clear()
-            self._built[self.name] = (machine if patterns else None, patterns)
+            self._built[self.name] = Items(self.shared.value, self.window)
         return self._built[self.name]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, list[list[dict]], list[list[str]]]:
         """Number of words, merged hit spans and found items of each text."""
-        machine, patterns = self.automaton()
+        known = self.items()
         raw, offsets = text_buffer(texts)
         normal = _NORMAL[raw]
         solid = normal != 32
@@ -96,32 +158,29 @@ class Scanner:
         n_words = total[offsets[1:]] - total[offsets[:-1]]
         spans: list[list[dict]] = [[] for _ in n_words]
         items: list[list[str]] = [[] for _ in n_words]
-        if machine is None:
+        if known.empty:
             return n_words, spans, items
         for i in np.flatnonzero(n_words):
             a, b = offsets[i], offsets[i + 1]
-            found = list(machine.iter(f" {joined_words(normal[a:b])} "))
+            found = known.runs(joined_words(normal[a:b]).split(" "))
             if found:
-                spans[i], items[i] = self._mapped(found, patterns, raw[a:b], solid[a:b], begin[a:b])
+                spans[i] = self._mapped(found, raw[a:b], solid[a:b], begin[a:b])
+                items[i] = sorted({known.names[item] for _, _, item in found})
         return n_words, spans, items
 
     @staticmethod
-    def _mapped(found, patterns, raw, solid, begin) -> tuple[list[dict], list[str]]:
+    def _mapped(found, raw, solid, begin) -> list[dict]:
         starts = np.flatnonzero(begin)
         last = np.append(~solid[1:], True) & solid
         stops = np.flatnonzero(last) + 1
-        # In the joined text, word k ends before the space at sum of the lengths up to it, plus k + 1.
-        spaces = np.cumsum(stops - starts) + np.arange(1, len(starts) + 1)
-        ends = np.searchsorted(spaces, [end for end, _ in found]) + 1
         change = np.zeros(len(starts) + 1, np.int64)
-        np.add.at(change, ends - [patterns[p][1] for _, p in found], 1)
-        np.add.at(change, ends, -1)
+        np.add.at(change, [first for first, _, _ in found], 1)
+        np.add.at(change, [stop for _, stop, _ in found], -1)
         hit = np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]])
         edges = np.flatnonzero(hit[1:] != hit[:-1])
         chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-        out = [{"first": int(x), "stop": int(y), "start_char": int(chars[starts[x]]), "stop_char": int(chars[stops[y - 1]])}
-               for x, y in zip(edges[::2], edges[1::2])]
-        return out, sorted({item for p in {p for _, p in found} for item in patterns[p][2]})
+        return [{"first": int(x), "stop": int(y), "start_char": int(chars[starts[x]]), "stop_char": int(chars[stops[y - 1]])}
+                for x, y in zip(edges[::2], edges[1::2])]
 
 
 def item_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[DataFrame]:
@@ -145,17 +204,16 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
     spark = docs.sparkSession
     blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
     source = pick(docs, doc_id=doc_id, text=text)
-    if len(blocks) > 1:
-        source = source.withColumn("_row", F.monotonically_increasing_id())
+    if len(blocks) > 1:  # numbered once: every block's scan reads the same numbers
+        source = saved(source.withColumn("_row", F.monotonically_increasing_id()), "numbered-texts")
     keys = [name for name in source.columns if name != "text"]
     span = T.StructType([T.StructField(n, T.LongType()) for n in ("first", "stop", "start_char", "stop_char")])
     schema = T.StructType([*[source.schema[n] for n in keys], T.StructField("n_words", T.LongType()),
                            T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType()))])
     parts = []
     for block in blocks:
-        patterns = windows([(r["item"], r["text"]) for r in block.collect()], window)
-        shared = spark.sparkContext.broadcast(patterns)
-        scan = Scanner(shared, uuid.uuid4().hex)
+        held = sorted({(r["item"], r["text"]) for r in block.collect()})  # at most ``block_bytes`` and one item
+        scan = Scanner(spark.sparkContext.broadcast(held), uuid.uuid4().hex, window)
 
         def work(batch: pa.RecordBatch, scan=scan) -> pa.RecordBatch:
             n_words, spans, items = scan(batch.column("text"))
@@ -168,7 +226,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
         return parts[0]
     whole = parts[0]
     for part in parts[1:]:
-        whole = whole.unionByName(part)
+        whole = whole.unionByName(part.where(F.size("items") > 0))
     # One row per document and block: groups are as small as the number of blocks.
     merged = whole.groupBy("_row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sondage.llm import huffman, token_counts
+from sondage.llm import decontaminate, huffman, token_counts
 from sondage.llm.queries import CASES
 from sondage.llm.registry import table, tokenizer_path
 from sondage.llm.tokens import Encoder
@@ -82,3 +82,47 @@ def test_a_span_is_read_from_its_lane(spark, monkeypatch):
     for start, stop in ((0, 1), (0, len(whole)), (255, 257), (1000, 9000), (len(whole) - 3, len(whole) + 5), (5, 5)):
         rows = sorted(huffman.read_span(spark, path, start, stop).collect(), key=lambda r: r["start"])
         assert [i for r in rows for i in r["ids"]] == whole[start:stop]
+
+
+def plain_hits(words, items, window):
+    """Words inside occurrences of windows, and the items, by trying every place."""
+    hit, found = set(), set()
+    for item, held in items:
+        size = min(window, len(held))
+        parts = {tuple(held[i:i + size]) for i in range(len(held) - size + 1)} if size else set()
+        for i in range(len(words) - size + 1 if size else 0):
+            if tuple(words[i:i + size]) in parts:
+                hit.update(range(i, i + size))
+                found.add(item)
+    return hit, sorted(found)
+
+
+@pytest.mark.parametrize("window,signs", [(13, None), (4, None), (5, 3), (1, None), (2, 4)])
+def test_runs_are_what_every_window_covers(monkeypatch, window, signs):
+    if signs:  # more words than signs: two characters a word
+        monkeypatch.setattr(decontaminate.Items, "SIGNS", signs)
+    rnd = random.Random(window)
+    for _ in range(60):
+        items = [(str(k), [rnd.choice("abc") for _ in range(rnd.randrange(30))]) for k in range(5)]
+        known = decontaminate.Items([(k, " ".join(w)) for k, w in items], window)
+        for _ in range(10):
+            words = [rnd.choice("abcx") if rnd.random() < 0.2 else rnd.choice("abc") for _ in range(rnd.randrange(40))]
+            if rnd.random() < 0.7:
+                held = rnd.choice(items)[1]
+                words[3:3] = held[rnd.randrange(5):]
+            runs = known.runs(words) if words and not known.empty else []
+            hit = {p for a, b, _ in runs for p in range(a, b)}
+            assert (hit, sorted({known.names[i] for _, _, i in runs})) == plain_hits(words, items, window)
+
+
+def test_sixteen_megabytes_of_items_are_one_automaton():
+    import resource
+    rnd = np.random.default_rng(5)
+    words = np.array([f"word{k}" for k in range(50_000)])
+    items = [(str(k), " ".join(words[rnd.integers(0, len(words), 200)])) for k in range(2000)]  # 3.7 MB
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    known = decontaminate.Items(items, 13)
+    assert known.machine.get_stats()["nodes_count"] <= 400_001
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 120_000  # KB, so below 500 MB for 16 MB
+    text = items[7][1].split()[20:60]
+    assert known.runs(["other", *text, "other"]) == [(1, 41, 7)]
