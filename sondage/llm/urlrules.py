@@ -3,7 +3,8 @@
 A URL becomes a set of tokens: its host's suffixes (``tld:``, ``site:``), the words
 of its host, the first and second directory of its path, the names of its query
 fields. FP-growth over the labelled URLs, each with its label as one more token,
-gives rules "tokens -> label"; those below ``SUPPORT`` or ``CONFIDENCE`` are pruned.
+gives rules "tokens -> label"; those below ``SUPPORT`` or ``CONFIDENCE`` are pruned, and
+so is a rule whose tokens hold those of another with its label and no less confidence.
 Matching goes through an inverted index: each rule stands under its rarest token, a
 URL looks up its own tokens and keeps the rules whose other tokens it also has. Of
 these the most confident wins, then the one with more tokens, then with more support,
@@ -21,6 +22,7 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..ordering import Lookup, lookup_join
 from .frames import pick, saved
 
 SUPPORT = 0.002
@@ -88,6 +90,19 @@ def mine(labelled: DataFrame, *, support: float = SUPPORT, confidence: float = C
         "tokens", F.substring_index("label", ":", -1).alias("verdict"), "confidence", "support", "key")
 
 
+def pruned(rules: DataFrame) -> DataFrame:
+    """Rules without those that say what a shorter one says with no less confidence.
+
+    A rule looks up the subsets of its own tokens, of which a URL has about ten at most.
+    """
+    subsets = F.aggregate("tokens", F.array(F.array().cast("array<string>")), lambda done, token: F.concat(
+        done, F.transform(done, lambda some: F.concat(some, F.array(token)))))
+    named = rules.withColumn("part", F.explode(F.filter(subsets, lambda some: F.size(some) < F.size("tokens"))))
+    shorter = rules.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("as_sure"))
+    repeated = named.join(shorter, ["part", "verdict"]).where("as_sure >= confidence").select("tokens", "verdict").distinct()
+    return rules.join(repeated, ["tokens", "verdict"], "left_anti")
+
+
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """The verdict and rule of each distinct ``tokens`` that a mined rule fits."""
     posted = rules.select("key", F.col("tokens").alias("need"), "verdict", "confidence", "support")
@@ -102,8 +117,8 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, *, page_id: str =
     """Per row: ``page_id, host, path, rule, verdict, mined`` (the token set of the mined rule, if one decided).
 
     ``labelled`` has columns ``url, label`` (allow or block). Without it the URLs that a
-    curated rule decides are the labelled ones, and mining carries their verdicts over
-    to the rest.
+    curated rule decides are the labelled ones; mining then says again what those rules say
+    of the tokens they look at.
     """
     def prepared(df: DataFrame) -> DataFrame:
         return df.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}).withColumns(
@@ -114,10 +129,13 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, *, page_id: str =
         known = rows.where("chosen is not null").select("tokens", F.col("chosen.verdict").alias("label"))
     else:
         known = prepared(pick(labelled, url="url", label="label")).select("tokens", "label")
-    mined = saved(mine(known, support=support, confidence=confidence), "url-rules")
-    sets = rows.where("chosen is null and size(tokens) > 0").select("tokens").distinct()
-    verdicts = match(sets, mined)
-    open_rows = rows.where("chosen is null").join(verdicts, "tokens", "left").select(
+    mined = saved(pruned(saved(mine(known, support=support, confidence=confidence), "url-rules")), "url-rules")
+    sets = saved(rows.where("chosen is null and size(tokens) > 0").groupBy("tokens").count(), "token-sets")
+    verdicts = saved(match(sets.select("tokens"), mined).join(sets, "tokens"), "url-verdicts")
+    sums = verdicts.agg(F.count(F.lit(1)), F.sum("count")).first()
+    # A host with very many pages of one kind is a hot key of this look-up.
+    open_rows = lookup_join(rows.where("chosen is null"), Lookup(verdicts, sums[0], sums[1] or 0), F.col("tokens"), "tokens",
+                            ["verdict", "mined"], "count").select(
         "page_id", "host", "path", F.lit(None).cast("string").alias("rule"),
         F.coalesce("verdict", F.lit("allow")).alias("verdict"), "mined")
     decided = rows.where("chosen is not null").select(
