@@ -1,8 +1,10 @@
 """Quality rules: a threshold table compiled into one Spark projection, without user functions.
 
 Counts of a text come from array expressions: words, symbols, repeated lines,
-words in repeated 3-word windows, stop words, capitals, table bars. The rules are
-rows of (name, measure, lowest, highest) and become one boolean column.
+words in repeated 3-word windows, stop words, capitals, letters of other languages. The
+rules are rows of (name, measure, lowest, highest, unless) and become one boolean column. A
+rule abstains where its ``unless``, a measure and the least of it, holds: stop words are
+asked for only of texts in the letters of the languages that the list knows.
 
 Windows are compared by their 64-bit hash, so two different windows of one text
 would have to collide (below 1e-9 for a text of a hundred thousand words) to be
@@ -31,13 +33,16 @@ de la le et les des en un du une que est pour qui dans a par plus pas au sur ne
 el los las del se una por con no su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando
 """.split()
 
-#: (rule, measure, lowest, highest); null means no bound. Ratios are per word, per line or per character.
+#: Characters that texts in those languages hold: Latin-1, the oe ligature, general punctuation, the euro sign.
+AT_HOME = r"[\x00-\xFF\x{152}\x{153}\x{2000}-\x{206F}\x{20AC}]+"
+
+#: (rule, measure, lowest, highest, unless); null means no bound. Ratios are per word, per line or per character.
 RULES = [
-    ("word_length", "mean_word_chars", 1.5, 20.0),
-    ("symbols", "symbols_per_word", None, 0.25),
-    ("repeated_lines", "repeated_line_share", None, 0.5),
-    ("stop_words", "stop_word_share", 0.005, None),
-    ("capitals", "capital_share", None, 0.4),
+    ("word_length", "mean_word_chars", 1.5, 20.0, None),
+    ("symbols", "symbols_per_word", None, 0.25, None),
+    ("repeated_lines", "repeated_line_share", None, 0.5, None),
+    ("stop_words", "stop_word_share", 0.005, None, ("foreign_share", 0.02)),
+    ("capitals", "capital_share", None, 0.4, None),
 ]
 
 
@@ -68,6 +73,7 @@ def counts(df: DataFrame, text: str = "text") -> DataFrame:
         "n_repeat_words": repeated,
         "n_lines": F.size("_q_lines"),
         "n_stop_words": F.size(F.filter("_q_words", lambda word: F.lower(word).isin(STOP_WORDS))),
+        "n_foreign": F.length(F.regexp_replace(joined, AT_HOME, "")),
         "n_capitals": F.length(joined) - F.length(F.translate(joined, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
     }
     whole = F.struct(*[c.cast("long").alias(n) for n, c in measured.items()])
@@ -87,6 +93,7 @@ def measures(c: Column) -> dict[str, Column]:
         "repeated_line_share": share(c["n_dup_lines"], c["n_lines"]),
         "stop_word_share": share(c["n_stop_words"], c["n_words"]),
         "capital_share": share(c["n_capitals"], c["word_chars"]),
+        "foreign_share": share(c["n_foreign"], c["word_chars"]),
     }
 
 
@@ -98,11 +105,15 @@ def passes(c: Column, rules: list[tuple] = RULES) -> Column:
     """The base rule and every row of the table."""
     values = measures(c)
     verdict = ~base_failed(c)
-    for _, measure, low, high in rules:
+    for _, measure, low, high, unless in rules:
+        holds = F.lit(True)
         if low is not None:
-            verdict &= F.coalesce(values[measure] >= low, F.lit(False))
+            holds &= F.coalesce(values[measure] >= low, F.lit(False))
         if high is not None:
-            verdict &= F.coalesce(values[measure] <= high, F.lit(False))
+            holds &= F.coalesce(values[measure] <= high, F.lit(False))
+        if unless is not None:
+            holds |= F.coalesce(values[unless[0]] >= unless[1], F.lit(False))
+        verdict &= holds
     return verdict
 
 

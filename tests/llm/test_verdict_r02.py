@@ -6,11 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sondage.llm import decontaminate, huffman, token_counts
+from sondage.llm import decontaminate, huffman, quality, token_counts, urlrules
 from sondage.llm.queries import CASES
 from sondage.llm.registry import table, tokenizer_path
 from sondage.llm.tokens import Encoder
 from sondage.session import shared_path
+from tools.compare import compare, connect
 
 
 def plain_counts(offsets, parts, rule):
@@ -126,3 +127,47 @@ def test_sixteen_megabytes_of_items_are_one_automaton():
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 120_000  # KB, so below 500 MB for 16 MB
     text = items[7][1].split()[20:60]
     assert known.runs(["other", *text, "other"]) == [(1, 41, 7)]
+
+
+def test_stop_words_are_asked_for_in_known_letters_only(spark):
+    russian = " ".join(f"слово{k} и дело" for k in range(40))
+    polish = " ".join(f"książka{k} będzie świeża" for k in range(40))
+    nothing = " ".join(f"alpha{k}x" for k in range(120))
+    texts = [russian, polish, nothing, nothing + " the café", nothing + " the the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(docs).collect()}
+    assert kept == {0: True, 1: True, 2: False, 3: True, 4: True}
+    assert quality.keep_good(docs).count() == 4
+
+
+def test_host_path_and_rule_of_every_page(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    sql = """
+        WITH p AS (SELECT page_id, translate(regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+          r(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+              ('com', '/fr/', 'allow'), ('com', '/de/', 'block'))
+        SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict FROM p LEFT JOIN r
+          ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+        QUALIFY row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) = 1"""
+    rows = CASES["op10_url_rules"](spark, sf_dir)
+    ruled = rows.withColumn("verdict", F.when(F.col("rule").isNotNull(), F.col("verdict"))).drop("mined")
+    assert compare(ruled, connect(sf_dir), sql) is None
+    assert rows.where("verdict not in ('allow', 'block') or verdict is null").count() == 0
+
+
+def test_rules_that_repeat_a_shorter_one_go(spark):
+    rows = [(["a"], "block", 0.9), (["a", "b"], "block", 0.9), (["a", "c"], "block", 0.95), (["a", "b", "c"], "block", 0.93),
+            (["a", "d"], "allow", 0.8), (["b"], "allow", 0.99)]
+    rules = spark.createDataFrame([(t, v, c, 0.1, t[0]) for t, v, c in rows],
+                                  "tokens array<string>, verdict string, confidence double, support double, key string")
+    assert sorted("".join(r["tokens"]) for r in urlrules.pruned(rules).collect()) == ["a", "ac", "ad", "b"]
+
+
+def test_odd_urls(spark):
+    urls = ["https://a.org/x", "https://a.org/x", None, "x" * 100_000, "https://" + "b." * 5000 + "net/" + "p/" * 5000 + "?a=1&b=2"]
+    pages = spark.createDataFrame([(1, u, "h", 2) for u in urls], "page_id bigint, url string, host string, tokens int")
+    known = spark.createDataFrame([(f"https://a.net/{k}", "block") for k in range(20)] + [(None, "allow"), ("no", None)],
+                                  "url string, label string")
+    rows = urlrules.judge(pages, known).collect()
+    assert len(rows) == 5 and {r["page_id"] for r in rows} == {1} and all(r["verdict"] in ("allow", "block") for r in rows)
