@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator
@@ -10,45 +11,25 @@ from pyspark.ml.classification import (
     LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import FMRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import registry
 from ..ordering import Lookup, dense_index, lookup_join
 from ..schema import family, numeric_columns, present, quoted, string_columns
 from .clean import impute_mean, impute_target
-from .features import scale_standard
+from .features import label_codes, scale_standard
 from .profile import small_cardinalities
 from .stats import high_corr_pairs
 
-SEED = 42
+SEED = registry.SEED
 FOLDS = 5
 CLASS_LIMIT = 10
 SCORE_SCHEMA = "model string, fold int, score double, error string"
 
-# The parameters that go with each recommended model.
-RECOMMENDED_PARAMS = {
-    ("classification", "Random Forest"): {
-        "model_type": "RandomForestClassifier", "n_estimators": "100", "max_depth": "10", "min_samples_split": "2",
-        "min_samples_leaf": "1", "random_state": "42"},
-    ("classification", "Logistic Regression"): {
-        "model_type": "LogisticRegression", "C": "1.0", "penalty": "l2", "solver": "lbfgs", "max_iter": "1000",
-        "random_state": "42"},
-    ("classification", "SVM"): {
-        "model_type": "SVC", "C": "1.0", "kernel": "rbf", "gamma": "scale", "random_state": "42"},
-    ("classification", "Neural Network"): {
-        "model_type": "MLPClassifier", "hidden_layer_sizes": "(100, 50)", "activation": "relu", "solver": "adam",
-        "alpha": "0.0001", "max_iter": "500", "random_state": "42"},
-    ("regression", "Random Forest"): {
-        "model_type": "RandomForestRegressor", "n_estimators": "100", "max_depth": "10", "min_samples_split": "2",
-        "min_samples_leaf": "1", "random_state": "42"},
-    ("regression", "Linear Regression"): {"model_type": "LinearRegression"},
-    ("regression", "SVR"): {"model_type": "SVR", "C": "1.0", "kernel": "rbf", "gamma": "scale"},
-    ("regression", "Neural Network"): {
-        "model_type": "MLPRegressor", "hidden_layer_sizes": "(100, 50)", "activation": "relu", "solver": "adam",
-        "alpha": "0.0001", "max_iter": "500", "random_state": "42"},
-}
+RECOMMENDED_PARAMS = {key: model.recommended for key, model in registry.MODELS.items()}
 RECOMMENDATION_REASON = "Best cross-validation performance among tested models"
 
 
@@ -145,8 +126,9 @@ def prepare(df: DataFrame, target: str, features: list[str], task: str, key: lis
     scaled = scale_standard(filled, [f for f in features if f != target])
     keyed = scaled.withColumn("fold", hash_fold(key or features))
     if family(df.schema[target].dataType) == "string" or task == "classification":
-        text = keyed.withColumn("_target", quoted(target).cast("string"))
-        keyed = StringIndexer(inputCol="_target", outputCol="label", stringOrderType="alphabetAsc").fit(text).transform(text)
+        codes = label_codes(keyed, target)  # stays a table, however many texts there are
+        codes = replace(codes, table=codes.table.withColumn("label", F.col("code").cast("double")))
+        keyed = lookup_join(keyed, codes, F.coalesce(quoted(target).cast("string"), F.lit("nan")), "value", ["label"])
     else:
         keyed = keyed.withColumn("label", quoted(target).cast("double"))
     assembled = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error").transform(keyed)
@@ -211,9 +193,7 @@ def compare_classifiers(data: DataFrame, n_features: int, n_classes: int, max_it
 
 def compare_regressors(data: DataFrame) -> DataFrame:
     """R² of every regressor. It is the same for a standardised label, which gradient solvers need."""
-    mean, std = data.agg(F.avg("label"), F.stddev_pop("label")).first()
-    scaled = data.withColumn("label", (F.col("label") - F.lit(float(mean))) / F.lit(float(std or 1.0)))
-    return cross_validate(scaled, regressors(), "regression")
+    return cross_validate(unit_label(data)[0], regressors(), "regression")
 
 
 def cv_score_stats(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -240,25 +220,13 @@ def recommend_model(stats: DataFrame, task: str, by: list[str] | None = None) ->
 
 
 def tuning_grid(name: str, model: Estimator, task: str, rows: int, n_features: int, n_classes: int) -> list[dict]:
-    """Parameter maps of one model; an empty list where there is nothing to tune.
+    """MLlib's parameter maps of one model; an empty list where there is nothing to tune.
 
     C is a weight per row, so it becomes ``1 / (C * rows)`` here; a depth of
     None becomes 30, the deepest MLlib grows.
     """
-    strengths = [0.1, 1.0, 10.0]
-    if name == "Random Forest":
-        return (ParamGridBuilder().addGrid(model.numTrees, [50, 100, 200]).addGrid(model.maxDepth, [5, 10, 15, 30])
-                .addGrid(model.minInstancesPerNode, [1, 2, 4]).build())
-    if name == "Logistic Regression":
-        return (ParamGridBuilder().addGrid(model.regParam, [1.0 / (c * rows) for c in strengths])
-                .addGrid(model.elasticNetParam, [1.0, 0.0]).build())
-    if name == "SVM":
-        svm = model.getClassifier() if isinstance(model, OneVsRest) else model
-        return ParamGridBuilder().addGrid(svm.regParam, [1.0 / (c * rows) for c in strengths]).build()
-    if name == "Neural Network":
-        hidden = [[50], [100], [50, 25], [100, 50]]
-        return ParamGridBuilder().addGrid(model.layers, [[n_features, *h, n_classes] for h in hidden]).build()
-    return []
+    sizes = registry.Sizes(rows, n_features, n_classes)
+    return [registry.param_map(registry.find(task, name), model, params, sizes) for params in registry.grid(task, name)]
 
 
 def _param_text(param_map: dict) -> str:
@@ -266,8 +234,11 @@ def _param_text(param_map: dict) -> str:
 
 
 def tune_grid(data: DataFrame, model: Estimator, grid: list[dict], task: str, old_score: float,
-              folds: int = FOLDS, parallelism: int = 4) -> tuple[DataFrame, dict]:
-    """Cross-validated score of every parameter map; the best map, or ``{}`` without a grid."""
+              folds: int = FOLDS, parallelism: int = 4, texts: list[str] | None = None) -> tuple[DataFrame, dict]:
+    """Cross-validated score of every parameter map; the best map, or ``{}`` without a grid.
+
+    ``texts`` are the maps' names in the result, else MLlib's own.
+    """
     schema = "params string, score double, best boolean, improvement double"
     if not grid:
         return data.sparkSession.createDataFrame([("", old_score, True, 0.0)], schema), {}
@@ -277,8 +248,8 @@ def tune_grid(data: DataFrame, model: Estimator, grid: list[dict], task: str, ol
         parallelism=parallelism, seed=SEED).fit(cached)
     cached.unpersist()
     best = max(range(len(grid)), key=lambda i: fitted.avgMetrics[i])
-    rows = [(_param_text(g), float(s), i == best, max(float(s) - old_score, 0.0))
-            for i, (g, s) in enumerate(zip(grid, fitted.avgMetrics))]
+    rows = [(text, float(s), i == best, max(float(s) - old_score, 0.0))
+            for i, (text, s) in enumerate(zip(texts or map(_param_text, grid), fitted.avgMetrics))]
     return data.sparkSession.createDataFrame(rows, schema), grid[best]
 
 
@@ -288,6 +259,31 @@ def tune_random(data: DataFrame, model: Estimator, grid: list[dict], task: str,
     return tune_grid(data, model, random.Random(seed).sample(grid, min(draws, len(grid))), task, old_score)
 
 
+def tune_model(data: DataFrame, task: str, name: str, old_score: float, n_features: int, n_classes: int = 0,
+               draws: int | None = None, folds: int = FOLDS) -> tuple[DataFrame, dict[str, str]]:
+    """Grid search of a model by name, or over a seeded draw of its grid.
+
+    Gives ``params, score, best, improvement`` with the parameters as text, and the best
+    map, which ``registry.estimator`` reads; ``{}`` for a model with nothing to tune.
+    """
+    grid = registry.grid(task, name)
+    if draws is not None:
+        grid = random.Random(SEED).sample(grid, min(draws, len(grid)))
+    sizes = registry.Sizes(data.count(), n_features, n_classes)
+    base = registry.estimator(task, name, {}, sizes)
+    maps = [registry.param_map(registry.find(task, name), base, params, sizes) for params in grid]
+    scaled = unit_label(data)[0] if task == "regression" else data
+    table, best = tune_grid(scaled, base, maps, task, old_score, folds, texts=[registry.as_text(p) for p in grid])
+    return table, grid[maps.index(best)] if grid else {}
+
+
+def unit_label(data: DataFrame) -> tuple[DataFrame, float, float]:
+    """The label less its mean in units of its deviation, and both; gradient solvers need that, R² does not notice."""
+    mean, std = data.agg(F.avg("label"), F.stddev_pop("label")).first()
+    mean, std = float(mean or 0.0), float(std or 1.0)
+    return data.withColumn("label", (F.col("label") - F.lit(mean)) / F.lit(std)), mean, std
+
+
 def improvement(scores: DataFrame, new: str, old: str) -> DataFrame:
     gain = F.col(new) - F.col(old)
     return scores.withColumn("improvement", F.when(gain.isNotNull(), F.greatest(gain, F.lit(0.0))))
@@ -345,14 +341,34 @@ def regression_metrics(predictions: DataFrame, label: str = "label", prediction:
 
 
 def validate_holdout(data: DataFrame, model: Estimator, task: str, key: str, params: dict | None = None) -> DataFrame:
-    """Fit on 80 %, predict the rest; metrics and the sizes of both parts as one row."""
+    """Fit on 80 %, predict the rest; metrics and the sizes of both parts as one row.
+
+    A regression is fitted to the training label in units of its deviation and measured in the label's own.
+    """
     marked = stratified_split(data, key, "label" if task == "classification" else None).persist()
-    train, test = marked.where(~F.col("is_test")), marked.where("is_test")
-    predictions = (model.fit(train, params) if params else model.fit(train)).transform(test)
-    measure = classification_metrics if task == "classification" else regression_metrics
-    sizes = marked.agg(F.count_if(~F.col("is_test")), F.count_if("is_test")).first()
-    return measure(predictions).select(
-        "*", F.lit(sizes[0]).cast("bigint").alias("train_size"), F.lit(sizes[1]).cast("bigint").alias("test_size"))
+    try:
+        train, test = marked.where(~F.col("is_test")), marked.where("is_test")
+        mean, std = 0.0, 1.0
+        if task == "regression":
+            train, mean, std = unit_label(train)
+        predictions = (model.fit(train, params) if params else model.fit(train)).transform(test)
+        if task == "regression":
+            predictions = predictions.withColumn("prediction", F.col("prediction") * F.lit(std) + F.lit(mean))
+        measure = classification_metrics if task == "classification" else regression_metrics
+        sizes = marked.agg(F.count_if(~F.col("is_test")), F.count_if("is_test")).first()
+        found = measure(predictions).select(
+            "*", F.lit(sizes[0]).cast("bigint").alias("train_size"), F.lit(sizes[1]).cast("bigint").alias("test_size"))
+        return data.sparkSession.createDataFrame(found.collect(), found.schema)  # one row; the parts can go
+    finally:
+        marked.unpersist()
+
+
+def validate_model(data: DataFrame, task: str, name: str, params: dict[str, str], key: str, n_features: int,
+                   n_classes: int = 0) -> DataFrame:
+    """The hold-out metrics of a model by name with parameters as text."""
+    model = registry.estimator(task, name, params, registry.Sizes(data.count(), n_features, n_classes))
+    return validate_holdout(data, model, task, key).select(
+        F.lit(name).alias("model_name"), F.lit(registry.as_text(params)).alias("params"), "*")
 
 
 def avg_metric_by_name(metrics: DataFrame, column: str = "metrics") -> DataFrame:

@@ -1,13 +1,15 @@
 """Models beat a constant guess; metrics agree with MLlib's; a failing model is recorded."""
 
+import json
+
 import pytest
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from sondage.operators import models
-from sondage.plans.pipeline import run_analysis
+from sondage.operators import models, registry
+from sondage.plans.pipeline import run_analysis, run_tables
 
 
 @pytest.fixture(scope="module")
@@ -62,13 +64,22 @@ def test_whole_analysis_records_every_stage(spark, tmp_path):
         (F.sin("id") * 4 + F.col("id") * 0.01).alias("y"))
 
     def one_model(data, task, n_features, n_classes):
-        return models.cross_validate(data, {"Linear Regression": LinearRegression()}, task, folds=3)
+        return models.cross_validate(data, {"Gradient-Boosted Trees": GBTRegressor(maxIter=3)}, task, folds=3)
 
-    results = run_analysis(df, "run1", "id", "y", str(tmp_path), compare=one_model)
+    results = run_analysis(df, "run1", "id", "y", str(tmp_path), compare=one_model, draws=2)
     status = {r["stage"]: (r["status"], r["payload"]) for r in results.collect()}
     assert {s for s, _ in status.values()} == {"success"}, status
-    assert len(status) == 9
+    assert len(status) == 11
     assert spark.read.parquet(f"{tmp_path}/run1_findings.parquet").count() >= 2
+    # What tuning found best is what validation fitted, and what was recommended is what was tuned.
+    tuned, checked = (json.loads(status[s][1]) for s in ("hyperparameter_optimization", "model_validation"))
+    best = spark.read.parquet(f"{tmp_path}/run1_tuning.parquet").where("best").collect()
+    assert len(best) == 1 and registry.from_text(best[0]["params"]) == tuned["optimized_params"] == json.loads(checked["params"])
+    assert tuned["model_name"] == checked["model_name"] == "Gradient-Boosted Trees"
+    assert set(tuned["optimized_params"]) == {"n_estimators", "max_depth", "learning_rate"}
+    report = {r["section"] for r in spark.read.parquet(f"{tmp_path}/run1_report.parquet").collect()}
+    assert {"stages", "findings", "recommendations", "models"} <= report
+    assert "significance_share" in json.loads(status["visualization"][1])["series"]
 
 
 def test_a_failing_stage_is_recorded_and_the_others_run(spark):
@@ -79,3 +90,57 @@ def test_a_failing_stage_is_recorded_and_the_others_run(spark):
 
     status = {r["stage"]: r["status"] for r in run_analysis(df, "r", "id", "y", compare=broken).collect()}
     assert status["model_architecture"] == "failed" and status["insight_synthesis"] == "success"
+    assert status["hyperparameter_optimization"] == status["model_validation"] == "failed" and status["visualization"] == "success"
+
+
+@pytest.mark.parametrize("task,name", sorted(registry.MODELS))
+def test_parameters_survive_the_way_to_mllib_and_back(spark, task, name):
+    sizes = registry.Sizes(1000, 7, 3 if task == "classification" else 0)
+    model = registry.find(task, name)
+    for params in [*registry.grid(task, name), model.recommended, {}]:
+        made = registry.estimator(task, name, params, sizes)
+        back = registry.described(task, name, made, sizes)
+        for key in set(params) & set(model.settings):
+            assert back[key] == params[key] or float(back[key]) == pytest.approx(float(params[key]))
+        again = registry.estimator(task, name, registry.from_text(registry.as_text(back)), sizes)
+        assert registry.described(task, name, again, sizes) == back
+    assert bool(registry.grid(task, name)) == (name != "Linear Regression")
+
+
+def test_names_without_an_mllib_model_have_stand_ins(spark):
+    assert registry.find("regression", "SVR").name == "Gradient-Boosted Trees"
+    assert registry.find("regression", "Neural Network").name == "Factorization Machine"
+    assert registry.find("classification", "who knows").name == "Random Forest"
+    stats = spark.createDataFrame([(n, 0.5 + 0.01 * len(n), 0.1) for n in registry.names("regression")],
+                                  "model string, mean_score double, std_score double")
+    for name in registry.names("regression"):
+        row = models.recommend_model(stats.where(F.col("model") == name), "regression").first()
+        assert row["params"] == registry.find("regression", name).recommended
+
+
+def test_a_tuned_model_is_validated_by_its_text(two_classes):
+    table, best = models.tune_model(two_classes, "classification", "Logistic Regression", 0.5, 2, 2)
+    assert table.count() == 6 and registry.from_text(table.where("best").first()["params"]) == best
+    row = models.validate_model(two_classes, "classification", "Logistic Regression", best, "id", 2, 2).first()
+    direct = models.validate_holdout(two_classes, registry.estimator(
+        "classification", "Logistic Regression", best, registry.Sizes(200, 2, 2)), "classification", "id").first()
+    assert row["accuracy"] == direct["accuracy"] > 0.8 and registry.from_text(row["params"]) == best
+    none, params = models.tune_model(two_classes.withColumn("label", F.col("label") + F.rand(1)), "regression", "Linear Regression", 0.25, 2)
+    assert params == {} and none.first()["score"] == 0.25
+
+
+def test_classes_are_coded_in_the_table(spark):
+    df = spark.range(60).select("id", F.sin("id").alias("a"), F.concat(F.lit("free text "), F.col("id") % 7).alias("y"))
+    data = models.prepare(df, "y", ["a"], "classification", ["id"])
+    assert sorted(r[0] for r in data.select("label").distinct().collect()) == [float(k) for k in range(7)]
+
+
+def test_several_tables_are_rolled_up(spark):
+    def none(*_):
+        raise RuntimeError("no models today")
+
+    df = spark.range(40).select("id", F.sin("id").alias("a"), F.cos("id").alias("y"))
+    results, rollup = run_tables({"one": (df, "id", "y"), "two": (df.union(df.limit(5)), "id", "y")}, compare=none)
+    assert results.count() == 22 and {r["run_id"] for r in results.select("run_id").distinct().collect()} == {"one", "two"}
+    row = rollup.first()
+    assert (row["total_files"], row["successful_files"], row["total_original_rows"], row["total_duplicates_removed"]) == (2, 2, 85, 5)
