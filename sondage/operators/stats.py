@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+import math
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.distributions import f_p_value, t_p_value
-from ..ordering import average_ranks, lookup_join
+from ..ordering import Lookup, lookup_join, running_sums
 from ..schema import numeric_columns, present, quoted, string_columns
+from ..session import shared_path
 from .profile import pick_grouping_column, rows_from_aggregates
 
 SIGNIFICANCE = 0.05
-_PAIRS_PER_AGG = 100
 
 CORRELATION_SCHEMA = ("test_type string, variable1 string, variable2 string, n bigint, correlation double, "
                       "p_value double, significant boolean, effect_size double")
@@ -38,44 +41,51 @@ def num_by_cat_grid(df: DataFrame) -> DataFrame:
     return rows_from_aggregates(df, both, ["dependent_variable", "independent_variable", "n"])
 
 
-def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
-                      known: tuple[int, float] | None = None) -> DataFrame:
-    """``(variable1, variable2, n, correlation)`` of all column pairs over the rows where both are present.
+def _sums(df: DataFrame, width: int, pairs: list[tuple[int, int]], places: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``pair, n, xy, x, y, xx, yy``: sums over the rows in which both sides of a pair are there.
 
-    A first pass finds each column's count and mean. The second sums products of
-    the centred values, 100 pairs per aggregate: one sum per pair where no value
-    is missing, and the sums over the common rows where some are. A constant
-    side gives null. ``known`` (row count and common mean, no gaps) saves the
-    first pass, as for ranks.
+    ``df`` has one column ``values``, an array of ``width`` numbers or nulls. Side x of pair k is
+    the number at ``places[0][k]``, side y that at ``places[1][k]``. Each task adds up all pairs
+    in one pass over its rows, as matrix products where the sides are whole columns, and sends
+    a row per pair.
     """
-    columns = numeric_columns(df) if columns is None else columns
-    pairs = list(combinations(columns, 2))
-    names = ["variable1", "variable2", "n", "correlation"]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "variable1 string, variable2 string, n bigint, correlation double")
-    values = {c: present(df, c).cast("double") for c in columns}
-    if known:
-        rows, counts, means = known[0], dict.fromkeys(columns, known[0]), dict.fromkeys(columns, known[1])
-    else:
-        first = df.agg(F.count(F.lit(1)), *[e for c in columns for e in (F.count(values[c]), F.avg(values[c]))]).first()
-        rows = first[0]
-        counts = {c: first[1 + 2 * i] for i, c in enumerate(columns)}
-        means = {c: first[2 + 2 * i] or 0.0 for i, c in enumerate(columns)}
-    at = {c: f"d{i}" for i, c in enumerate(columns)}
-    centred = df.select(*[(values[c] - F.lit(means[c])).alias(at[c]) for c in columns])
-
-    def sums(a: str, b: str) -> list[Column]:
-        x, y = F.col(at[a]), F.col(at[b])
-        if counts[a] == rows and counts[b] == rows:
-            return [F.count(F.lit(1)), F.sum(x * y), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y)]
-        u, v = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        return [F.count(u), F.sum(x * y), F.sum(u), F.sum(v), F.sum(u * u), F.sum(v * v)]
-
-    parts = []
-    for i in range(0, len(pairs), _PAIRS_PER_AGG):
-        entries = [[F.lit(a), F.lit(b), *sums(a, b)] for a, b in pairs[i:i + _PAIRS_PER_AGG]]
-        parts.append(rows_from_aggregates(centred, entries, ["variable1", "variable2", "n", "xy", "x", "y", "xx", "yy"]))
-    total = reduce(DataFrame.unionByName, parts)
+    left, right = places
+    square = np.array_equal(left, [a for a, _ in pairs]) and np.array_equal(right, [b for _, b in pairs])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(pairs)))
+        grams = np.zeros((4, width, width)) if square else None
+        size = max(1, 1 << 22 >> max(width if square else len(pairs), 1).bit_length())
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            rows = flat.reshape(-1, width)
+            for start in range(0, len(rows), size):
+                part = rows[start:start + size]
+                if square:
+                    there = (~np.isnan(part)).astype(np.float64)
+                    held = np.where(there > 0, part, 0.0)
+                    grams[0] += there.T @ there
+                    grams[1] += held.T @ held
+                    grams[2] += held.T @ there
+                    grams[3] += (held * held).T @ there
+                else:
+                    x, y = part[:, left], part[:, right]
+                    there = ~(np.isnan(x) | np.isnan(y))
+                    x, y = np.where(there, x, 0.0), np.where(there, y, 0.0)
+                    total += np.array([there.sum(0), (x * y).sum(0), x.sum(0), y.sum(0), (x * x).sum(0), (y * y).sum(0)])
+        if square:
+            total = np.array([grams[0][left, right], grams[1][left, right], grams[2][left, right], grams[2][right, left],
+                              grams[3][left, right], grams[3][right, left]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pairs), dtype=np.int32)), *[pa.array(t) for t in total]],
+                                         ["pair", "n", "xy", "x", "y", "xx", "yy"])
+
+    sums = ["n", "xy", "x", "y", "xx", "yy"]
+    parts = df.select("values").mapInArrow(task, "pair int, " + ", ".join(f"{s} double" for s in sums))
+    return parts.groupBy("pair").agg(*[F.sum(s).alias(s) for s in sums])
+
+
+def _correlations(sums: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
+    """``variable1, variable2, n, correlation`` from the sums of each pair; null where a side does not vary."""
     n = F.col("n")
     spread_x = F.greatest(F.col("xx") - F.try_divide(F.col("x") * F.col("x"), n), F.lit(0.0))
     spread_y = F.greatest(F.col("yy") - F.try_divide(F.col("y") * F.col("y"), n), F.lit(0.0))
@@ -83,18 +93,45 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
     r = F.try_divide(joint, F.sqrt(spread_x) * F.sqrt(spread_y))
     # least and greatest pass over nulls and sort NaN last, so an undefined r (a column holds an infinity) is kept apart.
     bounded = F.when(r.isNotNull() & ~F.isnan(r), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
-    return total.select("variable1", "variable2", "n", bounded.alias("correlation"))
+    named = sums.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(names)], "pair int, variable1 string, variable2 string")
+    return named.join(sums, "pair", "left").select(
+        "variable1", "variable2", F.coalesce(n, F.lit(0)).cast("bigint").alias("n"), bounded.alias("correlation"))
+
+
+def correlation_pairs(df: DataFrame, columns: list[str] | None = None, diagonal: bool = False) -> DataFrame:
+    """``(variable1, variable2, n, correlation)`` of all column pairs over the rows where both are present.
+
+    A first pass finds each column's mean. The second sums products of the centred values
+    for all pairs at once, whatever the number of columns. A constant side gives null, and
+    so does one that holds an infinity.
+    """
+    columns = numeric_columns(df) if columns is None else columns
+    places = [(i, j) for i in range(len(columns)) for j in range(i + (not diagonal), len(columns))]
+    if not places:
+        return df.sparkSession.createDataFrame([], "variable1 string, variable2 string, n bigint, correlation double")
+    values = [present(df, c).cast("double") for c in columns]
+    means = df.agg(*[F.avg(v) for v in values]).first()
+    # A mean that is not finite stays in: the column's sums are then undefined.
+    centred = df.select(F.array(*[v - F.lit(0.0 if m is None else float(m)) for v, m in zip(values, means)]).alias("values"))
+    endless = [F.lit(m is not None and not math.isfinite(m)) for m in means]
+    centred = centred.select(F.transform("values", lambda v, i: F.when(F.get(F.array(*endless), i) & v.isNotNull(), 0.0).otherwise(v))
+                             .alias("values")) if any(m is not None and not math.isfinite(m) for m in means) else centred
+    sides = np.array(places).T
+    return _correlations(_sums(centred, len(columns), places, (sides[0], sides[1])), [(columns[i], columns[j]) for i, j in places])
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The full matrix in long form: both triangles and the diagonal; empty below two columns."""
-    half = correlation_pairs(df, columns).select("variable1", "variable2", "correlation")
-    other = half.select(F.col("variable2").alias("variable1"), F.col("variable1").alias("variable2"), "correlation")
     names = numeric_columns(df) if columns is None else columns
     if len(names) < 2:
-        return half
-    entries = [[F.lit(c), F.lit(c), F.when(F.var_pop(present(df, c).cast("double")) > 0, 1.0)] for c in names]
-    return half.unionByName(other).unionByName(rows_from_aggregates(df, entries, half.columns))
+        return df.sparkSession.createDataFrame([], "variable1 string, variable2 string, correlation double")
+    half = correlation_pairs(df, names, diagonal=True)
+    # 1 where the column varies: its correlation with itself is defined then.
+    same = F.col("variable1") == F.col("variable2")
+    sides = F.array(F.struct("variable1", "variable2"), F.struct(F.col("variable2").alias("variable1"), F.col("variable1").alias("variable2")))
+    cells = half.select(F.explode(F.slice(sides, 1, F.when(same, 1).otherwise(2))).alias("cell"),
+                        F.when(same & F.col("correlation").isNotNull(), 1.0).otherwise(F.col("correlation")).alias("correlation"))
+    return cells.select("cell.variable1", "cell.variable2", "correlation")
 
 
 def correlation_wide(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -125,21 +162,58 @@ def pearson_test(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return _tested(correlation_pairs(df, columns), "pearson_correlation")
 
 
-def rank_columns(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
-    """Replace columns by their tie-averaged ranks; nulls keep no rank.
+def ranked_rows(df: DataFrame, columns: list[str], keep: list[str], gaps: list[int]) -> tuple[DataFrame, list[list[int]]]:
+    """Every row with the tie-averaged ranks of all its columns, from one sort whatever the number of columns.
 
-    Ranks are worked out on the distinct values only and joined back.
+    Gives ``_row``, the kept columns and ``ranks``: per column an array, null where the value is
+    missing. The first rank is among all values of the column, the next ones, per column of ``gaps`` (places in
+    ``columns``), among the rows that have that column too. Also gives how many rows each
+    of these rankings has, per column.
+
+    Values become rows (column, value); the distinct ones, with the numbers of rows behind
+    them, are range-sorted once. A rank is what stands before in the order, and leaving
+    rows out of a ranking takes off how many of them stand before. One join brings ranks back
+    to the values, one grouping back to the rows.
     """
+    spark = df.sparkSession
+    path = shared_path(spark, "values-to-rank")
+    held = [quoted(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    numbers = [present(df, c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
+    df.select(*held, *numbers).withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    base = spark.read.parquet(path)  # written, so that a row's number is the same in every use
+    long = base.select("_row", F.array(*[F.col(f"v{g}").isNull().cast("long") for g in gaps]).alias("lost") if gaps
+                       else F.array().cast("array<bigint>").alias("lost"),
+                       F.posexplode(F.array(*[f"v{i}" for i in range(len(columns))])).alias("column", "value")).where("value is not null")
+    # -0.0 and 0.0 are one value, as they are in comparisons.
+    long = long.withColumn("value", F.col("value") + F.lit(0.0))
+    counts = long.groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.get("lost", F.lit(k))).alias(f"l{k}") for k in range(len(gaps))])
+    sums = ["n", *[f"l{k}" for k in range(len(gaps))]]
+    placed, totals = running_sums(counts, [F.col("column"), F.col("value")], sums, "column")
+    own = F.col("_n") + (F.col("n") + 1) / 2
+    among = [F.col("_n") - F.col(f"_l{k}") + (F.col("n") - F.col(f"l{k}") + 1) / 2 for k in range(len(gaps))]
+    table = placed.select(F.struct("column", "value").alias("at"), "n", F.array(own, *among).alias("ranks"))
+    sizes = {row["column"]: [row["n"], *[row["n"] - row[f"l{k}"] for k in range(len(gaps))]] for row in totals}
+    lookup = Lookup(table, sum(row["rows"] for row in totals), sum(row["n"] for row in totals))
+    ranked = lookup_join(long.select("_row", "column", "value"), lookup, F.struct("column", "value"), "at", ["ranks"])
+    # A row of its own per input row keeps rows without any value.
+    whole = base.select("_row", *[f"k{i}" for i in range(len(keep))], F.lit(None).cast("int").alias("column"),
+                        F.lit(None).cast("array<double>").alias("ranks"), F.lit(True).alias("first"))
+    both = ranked.select("_row", "column", "ranks").unionByName(whole, allowMissingColumns=True)
+    gathered = both.groupBy("_row").agg(
+        *[F.max(F.when(F.col("first"), F.struct(f"k{i}")))[f"k{i}"].alias(keep[i]) for i in range(len(keep))],
+        F.map_from_entries(F.collect_list(F.when(F.col("column").isNotNull(), F.struct("column", "ranks")))).alias("_ranks"))
+    ordered = F.array(*[F.try_element_at("_ranks", F.lit(i)) for i in range(len(columns))])
+    return gathered.withColumn("ranks", ordered).drop("_ranks"), [
+        sizes.get(i, [0] * (1 + len(gaps))) for i in range(len(columns))]
+
+
+def rank_columns(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Replace columns by their tie-averaged ranks, beside the kept columns; nulls keep no rank."""
     keep = keep or []
-    values = df.select(*[quoted(c) for c in keep], *[present(df, c).cast("double").alias(c) for c in columns])
-    long = values.select(*[quoted(c) for c in columns]).unpivot([], [quoted(c) for c in columns], "column", "value")
-    counts = long.where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranks = average_ranks(counts, "column", "value", "n")
-    out = values
-    for i, c in enumerate(columns):
-        table = ranks.table.where(F.col("column") == c).withColumnRenamed("rank", f"_rank{i}")
-        out = lookup_join(out, replace(ranks, table=table, total=ranks.total // len(columns)), quoted(c), "value", [f"_rank{i}"])
-    return out.select(*[quoted(c) for c in keep], *[F.col(f"_rank{i}").alias(c) for i, c in enumerate(columns)])
+    ranked, _ = ranked_rows(df, columns, keep, [])
+    return ranked.select(*[quoted(c) for c in keep],
+                         *[F.get(F.get("ranks", F.lit(i)), F.lit(0)).alias(c) for i, c in enumerate(columns)])
 
 
 def average_rank(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
@@ -148,52 +222,26 @@ def average_rank(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     return ranked.withColumnRenamed("_value", "rank")
 
 
-def _gap_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Spearman of pairs with gaps, each ranked over its own complete rows, all in one job.
-
-    Rows collapse to ``(pair, a, b, n)`` before anything is joined, so equal
-    pairs of values count once. Ranks of N rows average (N + 1) / 2, which
-    centres the sums exactly.
-    """
-    parts = []
-    for i, (a, b) in enumerate(pairs):
-        both = df.select(present(df, a).cast("double").alias("a"), present(df, b).cast("double").alias("b")).dropna()
-        parts.append(both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("pair"), "a", "b", "n"))
-    combos = reduce(DataFrame.unionByName, parts)
-    sides = combos.select("n", F.inline(F.array(*[
-        F.struct(F.concat(F.col("pair").cast("string"), F.lit(s)).alias("side"), F.col(s).alias("value"))
-        for s in ("a", "b")])))
-    ranks = average_ranks(sides.groupBy("side", "value").agg(F.sum("n").alias("n")), "side", "value", "n")
-    table = ranks.table.withColumn("where", F.struct("side", "value"))
-    for s in ("a", "b"):
-        key = F.struct(F.concat(F.col("pair").cast("string"), F.lit(s)).alias("side"), F.col(s).alias("value"))
-        combos = lookup_join(combos, replace(ranks, table=table.withColumnRenamed("rank", f"rank_{s}")), key, "where",
-                             [f"rank_{s}"])
-    middle = F.get(F.array(*[F.lit((ranks.group_totals.get(f"{i}a", 0) + 1) / 2) for i in range(len(pairs))]), F.col("pair"))
-    x, y = F.col("rank_a") - middle, F.col("rank_b") - middle
-    n = F.col("n")
-    spread = F.sqrt(F.sum(n * x * x)) * F.sqrt(F.sum(n * y * y))
-    names = F.array(*[F.struct(F.lit(a).alias("variable1"), F.lit(b).alias("variable2")) for a, b in pairs])
-    found = combos.groupBy("pair").agg(
-        F.sum("n").alias("n"), F.try_divide(F.sum(n * x * y), spread).alias("correlation"))
-    return found.select(F.get(names, F.col("pair"))["variable1"].alias("variable1"),
-                        F.get(names, F.col("pair"))["variable2"].alias("variable2"), "n", "correlation")
-
-
 def spearman_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson on average ranks. Columns without gaps share one ranking."""
+    """Pearson on average ranks, each pair ranked over the rows where both are present."""
     columns = numeric_columns(df) if columns is None else columns
-    *gaps, rows = df.agg(*[F.count_if(present(df, c).isNull()) for c in columns], F.count(F.lit(1))).first()
-    full = [c for i, c in enumerate(columns) if gaps[i] == 0]
-    partial = [(a, b) for a, b in combinations(columns, 2) if a not in full or b not in full]
-    parts = []
-    if len(full) > 1:
-        parts.append(correlation_pairs(rank_columns(df, full), full, (rows, (rows + 1) / 2)))
-    if partial:
-        parts.append(_gap_pairs(df, partial))
-    if not parts:
+    pairs = list(combinations(range(len(columns)), 2))
+    if not pairs:
         return df.sparkSession.createDataFrame([], "variable1 string, variable2 string, n bigint, correlation double")
-    return reduce(DataFrame.unionByName, parts)
+    missing = df.agg(*[F.count_if(present(df, c).isNull()) for c in columns]).first()
+    gaps = [i for i, m in enumerate(missing) if m]
+    ranked, sizes = ranked_rows(df, columns, [], gaps)
+    width = 1 + len(gaps)
+    # Ranks of n rows average (n + 1) / 2, which centres each ranking exactly.
+    middles = F.array(*[F.array(*[F.lit((n + 1) / 2) for n in column]) for column in sizes])
+    centred = F.transform("ranks", lambda r, i: F.coalesce(
+        F.transform(r, lambda value, k: value - F.get(F.get(middles, i), k)), F.array_repeat(F.lit(None).cast("double"), width)))
+    rows = ranked.select(F.flatten(centred).alias("values"))
+    # Side x of a pair is its first column ranked among the rows that have the second.
+    among = {g: 1 + k for k, g in enumerate(gaps)}
+    left = np.array([i * width + among.get(j, 0) for i, j in pairs])
+    right = np.array([j * width + among.get(i, 0) for i, j in pairs])
+    return _correlations(_sums(rows, len(columns) * width, pairs, (left, right)), [(columns[i], columns[j]) for i, j in pairs])
 
 
 def spearman_test(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -203,31 +251,19 @@ def spearman_test(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def group_moments(df: DataFrame, numeric: list[str], categories: list[str]) -> DataFrame:
     """``(dependent_variable, independent_variable, category, n, mean, var)`` of every grid cell.
 
-    Grouping sets expand the rows once per category column, not once per pair;
-    partial aggregation leaves one row per category and task to shuffle.
+    Each row expands once per category column, however many these are; partial
+    aggregation leaves one row per category and task to shuffle. Its moments are mergeable.
     """
-    source = df.select(*[quoted(c).cast("string").alias(f"g{i}") for i, c in enumerate(categories)],
-                       *[present(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(numeric)])
-    keys = [f"g{i}" for i in range(len(categories))]
+    groups = F.array(*[F.struct(F.lit(c).alias("independent_variable"), quoted(c).cast("string").alias("category")) for c in categories])
+    source = df.select(F.explode(groups).alias("_g"), *[present(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(numeric)])
     moments = [
         F.struct(F.lit(c).alias("dependent_variable"), F.count(f"x{i}").alias("n"), F.avg(f"x{i}").alias("mean"),
                  F.var_samp(f"x{i}").alias("var")).alias(f"m{i}")
         for i, c in enumerate(numeric)
     ]
-    grouped = source.groupingSets([[F.col(k)] for k in keys], *[F.col(k) for k in keys]).agg(
-        F.grouping_id().alias("_set"), *moments)
-    last = len(keys) - 1
-    which = F.lit(None).cast("string")
-    category = F.lit(None).cast("string")
-    for i, c in enumerate(categories):
-        alone = (1 << len(keys)) - 1 - (1 << (last - i))  # grouping_id has a 0 bit for the column in use
-        which = F.when(F.col("_set") == alone, F.lit(c)).otherwise(which)
-        category = F.when(F.col("_set") == alone, F.col(f"g{i}")).otherwise(category)
-    return (
-        grouped.select(which.alias("independent_variable"), category.alias("category"),
-                       F.inline(F.array(*[F.col(f"m{i}") for i in range(len(numeric))])))
-        .where("category is not null and independent_variable <> dependent_variable")
-    )
+    grouped = source.where("_g.category is not null").groupBy("_g.independent_variable", "_g.category").agg(*moments)
+    return grouped.select("independent_variable", "category", F.inline(F.array(*[F.col(f"m{i}") for i in range(len(numeric))]))).where(
+        "independent_variable <> dependent_variable")
 
 
 def group_size_filter(moments: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ uses must read the same written rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -53,35 +53,30 @@ class Lookup:
     table: DataFrame
     rows: int
     total: int
-    group_totals: dict[str, int] = field(default_factory=dict)
 
 
-def average_ranks(counts: DataFrame, group: str, value: str, n: str) -> Lookup:
-    """Tie-averaged ranks of a ``(group, value, n)`` table of distinct values, as ``(group, value, n, rank)``.
+def running_sums(df: DataFrame, order: list[Column], sums: list[str], group: str) -> tuple[DataFrame, list]:
+    """Add, as ``_<name>``, what each of the sums comes to in the rows of the same group that stand before.
 
-    Ranks restart in each group; groups must be few (they are column names).
+    ``group`` is the first column of the order and has few values (they are column names or
+    places); its totals, ``group, rows`` and the sums, are given beside the table.
     """
-    stamped = _stamped(counts.select(group, value, n), [F.col(group), F.col(value)])
-    totals = (
-        stamped.groupBy("_part", group)
-        .agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("rows"))
-        .orderBy("_part")
-        .collect()
-    )
-    running: dict[str, int] = {}
-    offsets: list[tuple[int, str, int]] = []
+    stamped = _stamped(df, order)
+    totals = (stamped.groupBy("_part", group).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(s).alias(s) for s in sums])
+              .orderBy("_part").collect())
+    whole: dict[object, dict[str, int]] = {}
+    offsets = []
     for row in totals:
-        offsets.append((row["_part"], row[group], running.get(row[group], 0)))
-        running[row[group]] = running.get(row[group], 0) + row["n"]
-    spark = counts.sparkSession
-    start = spark.createDataFrame(offsets, f"_part int, {group} string, _before bigint")
-    within = Window.partitionBy("_part", group).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        stamped.join(F.broadcast(start), ["_part", group])
-        .withColumn("_upto", F.sum(n).over(within))
-        .select(group, value, n, (F.col("_before") + F.col("_upto") - F.col(n) + (F.col(n) + 1) / 2).alias("rank"))
-    )
-    return Lookup(ranked, sum(row["rows"] for row in totals), sum(running.values()), running)
+        done = whole.setdefault(row[group], {"rows": 0, **dict.fromkeys(sums, 0)})
+        offsets.append((row["_part"], row[group], *[done[s] for s in sums]))
+        for name in done:
+            done[name] += row[name]
+    kind = df.schema[group].dataType.simpleString()
+    start = df.sparkSession.createDataFrame(offsets, f"_part int, {group} {kind}, " + ", ".join(f"_b_{s} bigint" for s in sums))
+    within = Window.partitionBy("_part", group).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = stamped.join(F.broadcast(start), ["_part", group]).withColumns(
+        {f"_{s}": F.col(f"_b_{s}") + F.coalesce(F.sum(s).over(within), F.lit(0)) for s in sums})
+    return placed.drop("_stamp", "_part", "_place", *[f"_b_{s}" for s in sums]), [{group: k, **v} for k, v in whole.items()]
 
 
 def lookup_join(df: DataFrame, lookup: Lookup, key: Column, table_key: str, values: list[str], n: str = "n") -> DataFrame:
