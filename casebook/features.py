@@ -150,14 +150,16 @@ def bin_features(spark, sf_dir):
     return found.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_extendedprice_bin", "l_quantity_bin")
 
 
+_NUMBERS = ["c_custkey", "c_nationkey", "c_acctbal"]
+_RATIOS = [("c_custkey", "c_nationkey"), ("c_custkey", "c_acctbal"), ("c_nationkey", "c_acctbal")]
+
+
 @case("transform_features", f"""
-    WITH b AS (SELECT c_custkey AS id, c_custkey, c_acctbal, c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE 'y' END AS side FROM customer),
-    s AS (SELECT id, {scaled('c_custkey', 'customer')} AS c_custkey, {scaled('c_acctbal', 'customer')} AS c_acctbal,
-                 dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS c_mktsegment, CAST(side = 'y' AS INT) AS side FROM b)
-    SELECT ROUND(c_custkey, 6) AS c_custkey, ROUND(c_acctbal, 6) AS c_acctbal, c_mktsegment, side,
-           ROUND(c_custkey / c_acctbal, 4) AS c_custkey_div_c_acctbal, ROUND(c_custkey * c_custkey, 6) AS c_custkey_squared FROM s""")
+    WITH s AS (SELECT {", ".join(f"{scaled(c, 'customer')} AS {c}" for c in _NUMBERS)}, dense_rank() OVER (ORDER BY c_name) - 1 AS c_name,
+                 dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS c_mktsegment, CAST(c_custkey % 3 <> 0 AS INT) AS side FROM customer)
+    SELECT {", ".join(f"ROUND({c}, 6) AS {c}" for c in _NUMBERS)}, c_name, c_mktsegment, side,
+           {", ".join(f"ROUND({a} / {b}, 4) AS {a}_div_{b}" for a, b in _RATIOS)}, ROUND(c_custkey * c_custkey, 6) AS c_custkey_squared FROM s""")
 def transform_features(spark, sf_dir):
-    source = table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_acctbal", "c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, "x").otherwise("y").alias("side"))
+    source = table(spark, sf_dir, "customer").withColumn("side", F.when(F.col("c_custkey") % 3 == 0, "x").otherwise("y"))
     found, _ = features.transform_features(source)
-    return rounded(rounded(found, "c_custkey", "c_acctbal", "c_custkey_squared"), "c_custkey_div_c_acctbal", places=4)
+    return rounded(rounded(found, *_NUMBERS, "c_custkey_squared"), *[f"{a}_div_{b}" for a, b in _RATIOS], places=4)

@@ -159,15 +159,16 @@ def box_stats(spark, sf_dir):
     return rounded(charts.box_stats(shape(spark, sf_dir, "gappy")), "q1", "median", "q3")
 
 
-_HEAT = ["event_id", "user_id", "amount", "rare"]
+_HEAT = ["event_id", "user_id", "amount", "rare", "one"]
 
 
 @case("heatmap_cells", f"""
     WITH half AS ({pairs_sql(_HEAT, sql_shape('gappy'))})
-    SELECT variable1, variable2, ROUND(r, 6) AS correlation FROM half UNION ALL SELECT variable2, variable1, ROUND(r, 6) FROM half
-    UNION ALL {each(_HEAT, "SELECT '$C', '$C', 1.0")}""")
+    SELECT variable1, variable2, CASE WHEN isfinite(r) THEN ROUND(r, 6) END AS correlation FROM half
+    UNION ALL SELECT variable2, variable1, CASE WHEN isfinite(r) THEN ROUND(r, 6) END FROM half
+    UNION ALL {each(_HEAT, f"SELECT '$C', '$C', CASE WHEN MIN($C) < MAX($C) THEN 1.0::DOUBLE END FROM {sql_shape('gappy')}")}""")
 def heatmap_cells(spark, sf_dir):
-    return rounded(stats.correlation_matrix(shape(spark, sf_dir, "gappy").select(*_HEAT)), "correlation")
+    return rounded(stats.correlation_matrix(shape(spark, sf_dir, "gappy")), "correlation")
 
 
 @case("missing_bars", "SELECT * FROM (" + each(GAPPY, f"SELECT '$C' AS \"column\", COUNT(*) - COUNT($C) AS n_missing FROM {sql_shape('gappy')}")

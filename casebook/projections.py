@@ -48,16 +48,17 @@ def sample_rows(spark, sf_dir):
     return profile.sample_rows(table(spark, sf_dir, "orders"), ["o_orderkey"])
 
 
+_SAMPLED = ["event_id", "user_id", "amount", "kind", "rare", "parity", "one", "ts"]
+
+
 @case("sample_values", f"""
     WITH g AS (SELECT * FROM {sql_shape('gappy')}),
-    long AS (SELECT event_id, 'kind' AS "column", kind AS value FROM g UNION ALL SELECT event_id, 'parity', parity FROM g
-             UNION ALL SELECT event_id, 'user_id', CAST(user_id AS VARCHAR) FROM g
-             UNION ALL SELECT event_id, 'event_id', CAST(event_id AS VARCHAR) FROM g)
+    long AS ({" UNION ALL ".join(f"SELECT event_id, '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM g" for c in _SAMPLED)})
     SELECT "column", CAST(place AS INT) AS place, value FROM (
       SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY event_id) AS place FROM long WHERE value IS NOT NULL)
     WHERE place <= 3""")
 def sample_values(spark, sf_dir):
-    return profile.sample_values(shape(spark, sf_dir, "gappy").select("event_id", "user_id", "kind", "parity"), "event_id")
+    return profile.sample_values(shape(spark, sf_dir, "gappy"), "event_id")
 
 
 @case("drop_sparse_columns", f"SELECT event_id, user_id, amount, kind, parity, one, ts FROM {sql_shape('gappy')}")

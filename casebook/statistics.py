@@ -150,7 +150,7 @@ _TEST_COLUMNS = _NUMERIC
 def correlation_tests_sql(pairs: str, kind: str) -> str:
     """Rows of a correlation test over ``pairs(variable1, variable2, n, r)``."""
     return f"""
-    WITH RECURSIVE pairs AS MATERIALIZED ({pairs}),
+    WITH RECURSIVE pairs AS MATERIALIZED (SELECT * FROM ({pairs}) WHERE isfinite(r)),
     {beta_cte("SELECT variable1 || '/' || variable2 AS id, (n - 2) / 2.0::DOUBLE AS a, 0.5::DOUBLE AS b, 1 - r * r AS x FROM pairs")}
     SELECT '{kind}' AS test_type, variable1, variable2, n, ROUND(r, 6) AS correlation, ROUND(p, 6) AS p_value,
            p < 0.05 AS significant, ROUND(abs(r), 6) AS effect_size
@@ -177,9 +177,9 @@ def ranked_pairs_sql(columns: list[str], source: str) -> str:
 
 
 @case("spearman_test", correlation_tests_sql(
-    ranked_pairs_sql(["event_id", "user_id", "amount", "rare"], sql_shape("gappy")), "spearman_correlation"))
+    ranked_pairs_sql(["event_id", "user_id", "amount", "rare", "one"], sql_shape("gappy")), "spearman_correlation"))
 def spearman_test(spark, sf_dir):
-    return rounded_tests(stats.spearman_test(shape(spark, sf_dir, "gappy"), ["event_id", "user_id", "amount", "rare"]))
+    return rounded_tests(stats.spearman_test(shape(spark, sf_dir, "gappy")))
 
 
 def group_totals_sql(numeric: list[str], categories: list[str], source: str) -> str:
@@ -199,11 +199,11 @@ def group_tests_sql(numeric: list[str], categories: list[str], source: str) -> s
     """``found(test_type, dep, ind, k, f, t, p)`` of all F tests and two-group t tests, after a WITH RECURSIVE."""
     return f"""{group_totals_sql(numeric, categories, source)},
     ready AS MATERIALIZED (
-      SELECT 'anova' AS test_type, dep, ind, k, (ssb / (k - 1)) / (ssw / (total - k)) AS f, NULL::DOUBLE AS t,
-             (total - k) / 2.0::DOUBLE AS a, (k - 1) / 2.0::DOUBLE AS b, ssw / (ssw + ssb) AS x FROM sums WHERE k >= 2
+      SELECT 'anova' AS test_type, dep, ind, k, (ssb / (k - 1)) / NULLIF(ssw / (total - k), 0) AS f, NULL::DOUBLE AS t,
+             (total - k) / 2.0::DOUBLE AS a, (k - 1) / 2.0::DOUBLE AS b, ssw / NULLIF(ssw + ssb, 0) AS x FROM sums WHERE k >= 2
       UNION ALL
       SELECT 't_test', dep, ind, k, NULL, t, free / 2.0::DOUBLE, 0.5::DOUBLE, free / (free + t * t) FROM (
-        SELECT *, total - 2 AS free, (m1 - m2) / sqrt(ssw / (total - 2) * (1.0 / n1 + 1.0 / n2)) AS t FROM sums WHERE k = 2)),
+        SELECT *, total - 2 AS free, (m1 - m2) / NULLIF(sqrt(ssw / (total - 2) * (1.0 / n1 + 1.0 / n2)), 0) AS t FROM sums WHERE k = 2)),
     {beta_cte("SELECT test_type || '/' || dep || '/' || ind AS id, a::DOUBLE AS a, b::DOUBLE AS b, x::DOUBLE AS x FROM ready")},
     found AS (SELECT ready.*, p FROM ready JOIN tail ON tail.id = test_type || '/' || dep || '/' || ind)"""
 
@@ -237,16 +237,14 @@ def pick_grouping_column(spark, sf_dir):
     return df.agg(F.lit(chosen).alias("column"), F.count_distinct(chosen).alias("n_distinct"))
 
 
-_UNION_NUMERIC = ["user_id", "amount", "rare"]
+_UNION_NUMERIC = ["event_id", "user_id", "amount", "rare", "one"]
 _UNION_CATEGORIES = ["kind", "parity"]
 
 
 def all_tests(spark, sf_dir):
     """Pearson, Spearman, F and t tests of one table."""
     df = shape(spark, sf_dir, "gappy")
-    return stats.union_tests(
-        stats.pearson_test(df, _UNION_NUMERIC), stats.spearman_test(df, _UNION_NUMERIC),
-        stats.anova_oneway(df, _UNION_NUMERIC, _UNION_CATEGORIES), stats.t_test_ind(df, _UNION_NUMERIC, _UNION_CATEGORIES))
+    return stats.union_tests(stats.pearson_test(df), stats.spearman_test(df), stats.anova_oneway(df), stats.t_test_ind(df))
 
 
 ALL_TESTS_SQL = f"""
