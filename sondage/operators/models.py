@@ -17,7 +17,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import registry
-from ..ordering import Lookup, dense_index, lookup_join
+from ..ordering import Lookup, cut_keys, lookup_join, running_sums
 from ..schema import family, numeric_columns, present, quoted, string_columns
 from .clean import impute_mean, impute_target
 from .features import label_codes, scale_standard
@@ -61,15 +61,33 @@ def hash_fold(keys: list[str], folds: int = FOLDS) -> Column:
     return F.pmod(F.xxhash64(*[quoted(k) for k in keys]), F.lit(folds)).cast("int")
 
 
+def _row_key(df: DataFrame, *order: Column) -> Column:
+    """The order columns, then a hash of the whole row: only equal rows have equal keys, and these go together."""
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.xxhash64(*[quoted(c) for c in df.columns]).alias("row"))
+
+
+def _passed(df: DataFrame, group: Column, key: Column, wanted: DataFrame, sizes: tuple[int, int], name: str, as_fold: bool) -> DataFrame:
+    """Mark each row with how many of its group's cuts its key has reached (or whether it lies before the first).
+
+    The cuts are read off a sort of groups and keys alone; the marks are a look-up and a comparison.
+    """
+    table = cut_keys(df, group, key, wanted).join(wanted.groupBy("group").agg(F.first("n").alias("n")), "group")
+    held = F.struct(*[quoted(c) for c in df.columns])
+    marked = lookup_join(df.select(held.alias("held"), group.alias("of"), key.alias("key")), Lookup(table, *sizes), F.col("of"), "group", ["cuts"])
+    cuts = F.coalesce(F.map_values("cuts"), F.array())
+    reached = F.size(F.filter(cuts, lambda cut: F.col("key") >= cut))
+    mark = reached.cast("int") if as_fold else (reached == 0)
+    return marked.select("held.*", mark.alias(name))
+
+
 def kfold_assign(df: DataFrame, order: str, folds: int = FOLDS) -> DataFrame:
     """Contiguous folds in row order; the first ``n % folds`` folds hold one row more."""
     n = df.count()
     small, extra = divmod(n, folds)
-    cut = extra * (small + 1)
-    place = F.col("_position")
-    fold = F.when(place < cut, F.floor(F.try_divide(place, F.lit(small + 1)))).otherwise(
-        extra + F.floor(F.try_divide(place - cut, F.lit(small))))
-    return dense_index(df, [quoted(order)], "_position").withColumn("fold", fold.cast("int")).drop("_position")
+    starts = [f * small + min(f, extra) for f in range(1, folds)]
+    wanted = df.sparkSession.createDataFrame([("all", 0, f, start, n) for f, start in enumerate(starts) if start < n],
+                                             "group string, start bigint, number int, place bigint, n bigint")
+    return _passed(df, F.lit("all"), _row_key(df, quoted(order)), wanted, (1, n), "fold", True)
 
 
 def stratified_kfold_assign(df: DataFrame, order: str, label: str, folds: int = FOLDS) -> DataFrame:
@@ -79,45 +97,45 @@ def stratified_kfold_assign(df: DataFrame, order: str, label: str, folds: int =
     that dealing the sorted labels round-robin would give it.
     """
     # A struct around the label keeps rows without one as a class of their own.
-    marked = df.withColumn("_class", F.struct(quoted(label)))
-    firsts = marked.groupBy("_class").agg(F.min(quoted(order)).alias("_first"), F.count(F.lit(1)).alias("n"))
-    sizes = firsts.agg(F.count(F.lit(1)), F.sum("n")).first()
-    if not sizes[0]:
+    group = F.struct(quoted(label).alias("label"))
+    classes = df.groupBy(group.alias("group")).agg(F.min(_row_key(df, quoted(order))).alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = classes.withColumn("all", F.lit(0))
+    placed, totals = running_sums(classes, [F.col("all"), F.col("first")], ["n"], "all")
+    if not totals:
         return df.withColumn("fold", F.lit(0))
-    begun = lookup_join(marked, Lookup(firsts, *sizes), F.col("_class"), "_class", ["_first"])
-    placed = dense_index(begun, [F.col("_first"), quoted(order)], "_position")
-    spans = placed.groupBy("_class").agg(
-        F.min("_position").alias("_start"), F.count(F.lit(1)).alias("_size"), F.count(F.lit(1)).alias("n"))
 
     def dealt(upto: Column, fold: int) -> Column:
         """How many of the first ``upto`` sorted labels go to this fold."""
         return F.floor((upto - fold + (folds - 1)) / folds)
 
-    fold, end = F.lit(0), F.lit(0)
+    place, ends = F.lit(0), []
     for f in range(folds - 1):
-        end = end + dealt(F.col("_start") + F.col("_size"), f) - dealt(F.col("_start"), f)
-        fold = fold + F.when(F.col("_position") - F.col("_start") >= end, 1).otherwise(0)
-    joined = lookup_join(placed, Lookup(spans, *sizes), F.col("_class"), "_class", ["_start", "_size"])
-    return joined.withColumn("fold", fold.cast("int")).drop("_position", "_class", "_first", "_start", "_size")
+        place = place + dealt(F.col("_n") + F.col("n"), f) - dealt(F.col("_n"), f)
+        ends.append(F.struct(F.lit(f).alias("number"), place.cast("long").alias("place")))
+    # Keys are sorted by class, so a class begins after the smaller ones; folds go by first appearance.
+    sorted_classes, _ = running_sums(placed.select("group", "n", F.col("_n").alias("dealt"), F.lit(0).alias("all")),
+                                     [F.col("all"), F.col("group")], ["n"], "all")
+    begun = sorted_classes.select("group", F.col("_n").alias("start"), "n", F.col("dealt").alias("_n"))
+    wanted = begun.select("group", "start", "n", F.inline(F.array(*ends))).where("place < n")
+    return _passed(df, group, _row_key(df, quoted(order)), wanted, (totals[0]["rows"], totals[0]["n"]), "fold", True)
 
 
 def stratified_split(df: DataFrame, key: str, label: str | None = None, share: float = 0.2,
                      seed: int = SEED) -> DataFrame:
-    """Mark a hold-out of exactly ``ceil(share * n)`` rows per class as ``is_test``.
+    """Mark a hold-out of ``ceil(share * n)`` rows per class as ``is_test``.
 
-    Rows are ranked by a seeded hash of their key within their class, over a
-    range-sorted table, so one huge class is still spread over many tasks.
+    Rows are ranked by a seeded hash of their key within their class. Only rows that
+    are equal in all columns share a place.
     """
-    group = F.struct(quoted(label) if label else F.lit("all"))
-    hashed = df.withColumn("_class", group).withColumn(
-        "_draw", F.md5(F.concat_ws("_", quoted(key).cast("string"), F.lit(str(seed)))))
-    placed = dense_index(hashed, [F.col("_class"), F.col("_draw"), quoted(key)], "_position")
-    spans = placed.groupBy("_class").agg(
-        F.min("_position").alias("_start"), F.count(F.lit(1)).alias("_size"), F.count(F.lit(1)).alias("n"))
-    sizes = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    joined = lookup_join(placed, Lookup(spans, *sizes), F.col("_class"), "_class", ["_start", "_size"])
-    test = (F.col("_position") - F.col("_start")) < F.ceil(F.lit(share) * F.col("_size"))
-    return joined.withColumn("is_test", test).drop("_class", "_draw", "_position", "_size", "_start")
+    group = F.struct((quoted(label) if label else F.lit("all")).alias("label"))
+    draw = F.md5(F.concat_ws("_", quoted(key).cast("string"), F.lit(str(seed))))
+    classes = df.groupBy(group.alias("group")).agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(0))
+    placed, totals = running_sums(classes, [F.col("all"), F.col("group")], ["n"], "all")
+    if not totals:
+        return df.withColumn("is_test", F.lit(False))
+    wanted = placed.select("group", F.col("_n").alias("start"), F.lit(0).alias("number"),
+                           F.ceil(F.lit(share) * F.col("n")).alias("place"), "n").where("place < n")
+    return _passed(df, group, _row_key(df, draw, quoted(key)), wanted, (totals[0]["rows"], totals[0]["n"]), "is_test", False)
 
 
 def prepare(df: DataFrame, target: str, features: list[str], task: str, key: list[str] | None = None) -> DataFrame:

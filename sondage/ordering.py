@@ -46,6 +46,19 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "position") -> D
     return placed.drop("_stamp", "_part", "_place", "_before")
 
 
+def cut_keys(df: DataFrame, group: Column, key: Column, wanted: DataFrame) -> DataFrame:
+    """``group, cuts``: per group the keys that stand at given places of its order, as a map from a number to the key.
+
+    ``wanted`` has ``group``, ``start`` (rows in groups that sort before), ``number`` and ``place`` (from 0 in the
+    group). Only groups and keys are sorted, not the rows they come from.
+    """
+    placed = dense_index(df.select(group.alias("group"), key.alias("key")), [F.col("group"), F.col("key")], "_position")
+    at = wanted.select(F.col("group").alias("_group"), "number", (F.col("start") + F.col("place")).alias("_position"))
+    found = at.join(placed, "_position").select("_group", "number", "key")
+    return found.groupBy(F.col("_group").alias("group")).agg(
+        F.map_from_entries(F.collect_list(F.struct("number", "key"))).alias("cuts"))
+
+
 @dataclass(frozen=True)
 class Lookup:
     """A table of unique keys with the number of rows behind each, its own row count and their total."""
