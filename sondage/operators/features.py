@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..ordering import Lookup, dense_index, lookup_join
+from ..ordering import BROADCAST_BYTES, Lookup, lookup_join, running_sums
 from ..quantiles import exact_quantiles
 from ..schema import numeric_columns, present, quoted, string_columns
+from ..session import shared_path
 from .profile import column_modes, small_cardinalities
 
 
@@ -31,25 +32,66 @@ def encode_binary(df: DataFrame, columns: list[str]) -> DataFrame:
     })
 
 
+def _label(column: str) -> Column:
+    return F.coalesce(quoted(column).cast("string"), F.lit("nan"))
+
+
+def label_dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, value, n, code``: the place of each distinct value of each column in code point order.
+
+    ``column`` is the place in ``columns``. One grouping and one range sort of (column, value), whatever the number of
+    columns; the sorted dictionary is written, so it can be read by several look-ups.
+    """
+    values = F.array(*[F.struct(F.lit(i).alias("column"), _label(c).alias("value")) for i, c in enumerate(columns)])
+    counts = df.select(F.inline(values)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.lit(1).cast("bigint").alias("one"))
+    placed, _ = running_sums(counts, [F.col("column"), F.col("value")], ["one"], "column")
+    return placed.select("column", "value", "n", F.col("_one").alias("code"))
+
+
 def label_codes(df: DataFrame, column: str) -> Lookup:
     """``(value, n, code)``: the place of each distinct value in code point order."""
-    value = F.coalesce(quoted(column).cast("string"), F.lit("nan")).alias("value")
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    codes = dense_index(counts, [F.col("value")], "code")
+    codes = label_dictionary(df, [column]).drop("column")
     sizes = codes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     return Lookup(codes, sizes[0], sizes[1])
 
 
 def encode_label(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace values by their place among the sorted distinct values; null reads as ``nan``."""
-    order = df.columns
-    for c in columns:
-        codes = label_codes(df, c)
-        key = F.coalesce(quoted(c).cast("string"), F.lit("nan"))
-        renamed = replace(codes, table=codes.table.withColumnRenamed("code", "_code"))
-        joined = lookup_join(df, renamed, key, "value", ["_code"])
-        df = joined.drop(c).withColumnRenamed("_code", c).select(*[quoted(o) for o in order])
-    return df
+    """Replace values by their place among the sorted distinct values; null reads as ``nan``.
+
+    Columns whose dictionary is small enough, in bytes, get their codes from a broadcast, with no
+    shuffle of the rows. All others go through one join together: their values become rows
+    (row, column, value), which meet the dictionary and are grouped back by row.
+    """
+    if not columns:
+        return df
+    words = label_dictionary(df, columns)
+    sizes = {r["column"]: (r["bytes"], r["words"], r["n"]) for r in words.groupBy("column").agg(
+        F.sum(F.octet_length("value") + 32).alias("bytes"), F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()}
+    held, room = [], BROADCAST_BYTES
+    for i in sorted(sizes, key=lambda i: sizes[i][0]):
+        if sizes[i][0] > room:
+            break
+        room -= sizes[i][0]
+        held.append(i)
+    spread = [i for i in range(len(columns)) if i not in held]
+    row = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("_row")
+    out, codes = df.select(row, *[_label(c).alias(f"_value{i}") for i, c in enumerate(columns)]), {}
+    for i in held:
+        mine = words.where(F.col("column") == i).select(F.col("value").alias(f"_value{i}"), F.col("code").alias(f"_code{i}"))
+        out = out.join(F.broadcast(mine), f"_value{i}", "left")
+        codes[columns[i]] = F.col(f"_code{i}")
+    if spread:
+        path = shared_path(df.sparkSession, "rows-to-encode")
+        out.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+        out = df.sparkSession.read.parquet(path)  # written, so that a row's number is the same in both uses
+        long = out.select("_id", F.inline(F.array(*[F.struct(F.lit(i).alias("column"), F.col(f"_value{i}").alias("value")) for i in spread])))
+        at = words.where(F.col("column").isin(*spread)).select(F.struct("column", "value").alias("at"), "n", "code")
+        coded = lookup_join(long, Lookup(at, sum(sizes[i][1] for i in spread), sum(sizes[i][2] for i in spread)),
+                            F.struct("column", "value"), "at", ["code"])
+        gathered = coded.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("column", "code"))).alias("_codes"))
+        out = out.join(gathered, "_id")
+        codes |= {columns[i]: F.element_at("_codes", F.lit(i)) for i in spread}
+    return out.select(*[codes[c].alias(c) if c in codes else F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(df.columns)])
 
 
 def scaling_moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -118,8 +160,3 @@ def transform_features(df: DataFrame) -> tuple[DataFrame, FeaturePlan]:
         out, square = square_feature(out, plan.numeric[0])
         plan.lineage = {**ratios, **square}
     return out, plan
-
-
-def usable_features(df: DataFrame, plan: FeaturePlan, target: str) -> list[str]:
-    """Numeric columns that were not derived from the target."""
-    return [c for c in numeric_columns(df) if c != target and target not in plan.lineage.get(c, [])]

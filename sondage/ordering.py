@@ -14,10 +14,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .schema import quoted
 from .session import checkpoint_dir
 
 _PARTITION_SHIFT = 33  # monotonically_increasing_id keeps the partition above bit 33
 _BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 _HOT_SHARE = 1_000
 _SALTS = 1_024
 
@@ -95,22 +97,37 @@ def running_sums(df: DataFrame, order: list[Column], sums: list[str], group: str
 def lookup_join(df: DataFrame, lookup: Lookup, key: Column, table_key: str, values: list[str], n: str = "n") -> DataFrame:
     """Add the ``values`` of a lookup table to rows whose keys may be very uneven (left join).
 
-    A small table is broadcast. Of a larger one only the hot keys are, those
-    that hold more than a thousandth of the rows, so fewer than a thousand. Rows
-    they serve, and rows without a key, take no part in the shuffled join that
-    serves the others: they are spread over its tasks by a hash of the row.
+    A small table, in rows and in the bytes of its keys and values, is broadcast. Of a
+    larger one only the hot keys are, those that hold more than a thousandth of the rows, so
+    fewer than a thousand. Rows they serve, and rows without a key, take no part in the
+    shuffled join that serves the others: they are spread over its tasks by a hash of the
+    row. The rows travel as one value, so no column name of theirs can clash.
     """
-    names = df.columns
-    table = lookup.table.select(F.col(table_key).alias("_key"), *values, F.col(n).alias("_rows"))
-    keyed = df.withColumn("_key", key)
-    if lookup.rows <= _BROADCAST_ROWS:
-        return keyed.join(F.broadcast(table.drop("_rows")), "_key", "left").drop("_key")
+    held = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("_held")
+    back = [F.col(f"_held.c{i}").alias(c) for i, c in enumerate(df.columns)]
+    table = lookup.table.select(F.col(table_key).alias("_key"), F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+                                .alias("_found"), F.col(n).alias("_rows"))
+    keyed = df.select(held, key.alias("_key"))
+
+    def given(found: Column) -> list[Column]:
+        return [found[f"v{i}"].alias(v) for i, v in enumerate(values)]
+
+    if lookup.rows <= _BROADCAST_ROWS and _bytes(table) <= BROADCAST_BYTES:
+        return keyed.join(F.broadcast(table.drop("_rows")), "_key", "left").select(*back, *given(F.col("_found")))
     hot = table.where(F.col("_rows") * _HOT_SHARE > lookup.total)
     cold = table.where(F.col("_rows") * _HOT_SHARE <= lookup.total)
-    served = keyed.join(F.broadcast(hot.select("_key", F.struct(*values).alias("_hot"))), "_key", "left")
+    served = keyed.join(F.broadcast(hot.select("_key", F.col("_found").alias("_hot"))), "_key", "left")
     done = F.col("_hot").isNotNull() | F.col("_key").isNull()
-    spread = F.pmod(F.xxhash64(*names), F.lit(_SALTS)).cast("int")
+    spread = F.pmod(F.xxhash64("_held"), F.lit(_SALTS)).cast("int")
     rest = served.withColumns({"_salt": F.when(done, spread).otherwise(-1), "_key": F.when(~done, F.col("_key"))})
-    sparse = cold.select("_key", F.lit(-1).alias("_salt"), F.struct(*values).alias("_cold"))
+    sparse = cold.select("_key", F.lit(-1).alias("_salt"), F.col("_found").alias("_cold"))
     joined = rest.join(sparse, ["_key", "_salt"], "left")
-    return joined.select(*names, *[F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values])
+    return joined.select(*back, *given(F.coalesce("_hot", "_cold")))
+
+
+def _bytes(table: DataFrame) -> int:
+    """Bytes of a look-up table; only texts, arrays and the like are measured, numbers have a known size."""
+    kinds = [table.schema[c].dataType.simpleString() for c in ("_key", "_found")]
+    if not any(word in kind for kind in kinds for word in ("string", "binary", "array", "map")):
+        return 0
+    return table.agg(F.sum(F.octet_length(F.to_json(F.struct("_key", "_found"))))).first()[0] or 0

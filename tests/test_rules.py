@@ -163,7 +163,6 @@ def test_ratios_and_square_use_scaled_columns(spark):
     df = spark.createDataFrame([(1.0, 10.0), (3.0, 30.0)], "a double, b double")
     made, plan = features.transform_features(df)
     assert rows(made, "a_div_b", "a_squared") == [(1.0, 1.0), (1.0, 1.0)]
-    assert features.usable_features(made, plan, "a") == ["b"]
 
 
 def test_ratio_is_skipped_when_the_divisor_reaches_zero(spark):
@@ -353,3 +352,21 @@ def test_infinities_have_no_bin(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (3.0,), (float("inf"),), (float("-inf"),)], "x double")
     found = charts.histogram(df, bins=3).orderBy("bin").collect()
     assert [(r["bin"], r["lower"], r["upper"], r["n"]) for r in found] == [(0, 0.0, 1.0, 1), (1, 1.0, 2.0, 1), (2, 2.0, 3.0, 1)]
+
+
+@pytest.mark.parametrize("room", [32 << 20, 250, 0])
+def test_labels_are_the_same_by_broadcast_and_by_one_join(spark, monkeypatch, room):
+    monkeypatch.setattr(features, "BROADCAST_BYTES", room)
+    rows = [(k, f"k{k % 3}", f"value {k % 40}" if k % 7 else None, "hot" if k % 2 else str(k)) for k in range(300)]
+    df = spark.createDataFrame(rows, "code int, a string, `b.c` string, _key string").repartition(3)
+    got = {r["code"]: r for r in features.encode_label(df, ["a", "b.c", "_key"]).collect()}
+    for place, column in enumerate(["a", "b.c", "_key"], start=1):
+        words = sorted({r[place] or "nan" for r in rows})
+        assert all(got[r[0]][column] == words.index(r[place] or "nan") for r in rows)
+
+
+def test_look_ups_leave_other_columns_alone(spark):
+    df = spark.createDataFrame([(1, "x", 5), (2, "y", 6)], "_held int, _key string, _salt int")
+    table = spark.createDataFrame([("x", 10, 1)], "value string, code int, n bigint")
+    got = lookup_join(df, Lookup(table, 1, 1), F.col("_key"), "value", ["code"])
+    assert got.columns == ["_held", "_key", "_salt", "code"] and sorted(r["code"] or 0 for r in got.collect()) == [0, 10]
