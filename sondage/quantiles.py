@@ -1,139 +1,123 @@
-"""Exact, linearly interpolated quantiles that stay distributed.
-
-Spark's ``percentile`` keeps every distinct value of a group in one buffer, so
-it serves tables of a checked, small row count only. Beyond it the values of
-each column are counted in equal-width bins; the bin that holds a wanted rank
-is binned again until it holds few rows, and only those are put in order. A
-pass is one scan with map-side aggregation and shuffles bins, not rows. Bins
-are a monotone function of the value, so the result is exact.
+"""Exact, linearly interpolated quantiles in two scans, by one formula at every size.
+
+The first scan makes a KLL sketch of each column. A wanted rank lies, but for rare luck,
+between the sketch's quantiles a little below and above it; the second scan counts what
+lies below each such bracket and the distinct values inside, on the map side first. Those
+few per cent of the values are range-sorted and the ranks read off. Where the count shows
+that a rank is not in its bracket after all, it is looked for again in a wider one, so
+the result is exact whatever the sketch said.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .ordering import running_sums
 from .schema import present
 
-_SMALL_ROWS = 50_000
-_BINS = 2048
-_ORDERED_ROWS = 50_000
+SKETCH = 800  # a rank in a sketch of this size is off by about 0.55 % of the rows
+MARGIN = 0.012  # of the rows, to both sides
+WIDEN = 8
 
 
-@dataclass(frozen=True)
-class _Bracket:
-    """Values of one column between two bounds, and how many lie below and inside."""
-
-    column: int
-    low: float
-    high: float
-    below: int
-    inside: int
-
-
-def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float], small_rows: int = _SMALL_ROWS,
-                    ordered_rows: int = _ORDERED_ROWS) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float], sketch: int = SKETCH,
+                    margin: float = MARGIN) -> dict[str, list[float | None]]:
     """Quantiles per column, nulls and NaN left out; ``None`` for an empty column."""
     if not columns:
         return {}
     wide = df.select(*[present(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    infinite = float("inf")
-    ends = wide.agg(*[e.alias(f"{n}{i}") for i in range(len(columns)) for n, e in {
-        "n": F.count(f"c{i}"), "neg": F.count_if(F.col(f"c{i}") == -infinite), "pos": F.count_if(F.col(f"c{i}") == infinite),
-        "lo": F.min(F.when(F.abs(f"c{i}") < infinite, F.col(f"c{i}"))),
-        "hi": F.max(F.when(F.abs(f"c{i}") < infinite, F.col(f"c{i}"))),
+    endless = float("inf")
+    row = wide.agg(*[e.alias(f"{n}{i}") for i in range(len(columns)) for n, e in {
+        "n": F.count(f"c{i}"), "neg": F.count_if(F.col(f"c{i}") == -endless), "pos": F.count_if(F.col(f"c{i}") == endless),
+        "sketch": F.kll_sketch_agg_double(F.when(F.abs(f"c{i}") < endless, F.col(f"c{i}") + F.lit(0.0)), F.lit(sketch)),
     }.items()]).first()
-    if max(ends[f"n{i}"] for i in range(len(columns))) <= small_rows:
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = wide.agg(*[F.percentile(f"c{i}", wanted) for i in range(len(columns))]).first()
-        return {c: list(row[i]) if row[i] is not None else [None] * len(probabilities) for i, c in enumerate(columns)}
-
     found: dict[tuple[int, int], float] = {}
-    open_ranks: dict[tuple[int, int], _Bracket] = {}
+    wanted: dict[int, set[int]] = {}  # column -> ranks among its finite values
     for i in range(len(columns)):
-        n, neg, pos = ends[f"n{i}"], ends[f"neg{i}"], ends[f"pos{i}"]
-        for p in probabilities if n else []:
-            at = p * (n - 1)
-            for rank in {math.floor(at), math.ceil(at)}:
-                if rank < neg:
-                    found[(i, rank)] = -infinite
-                elif rank >= n - pos:
-                    found[(i, rank)] = infinite
-                else:
-                    open_ranks[(i, rank)] = _Bracket(i, ends[f"lo{i}"], ends[f"hi{i}"], neg, n - neg - pos)
-    while open_ranks:
-        for key in [k for k, b in open_ranks.items() if b.low == b.high]:
-            found[key] = open_ranks.pop(key).low
-        wide_brackets = sorted({b for b in open_ranks.values() if b.inside > ordered_rows}, key=lambda b: (b.column, b.low))
-        if wide_brackets:
-            _narrow(wide, wide_brackets, open_ranks)
-        else:
-            found.update(_read_off(wide, open_ranks))
-            break
+        n, neg, pos = row[f"n{i}"], row[f"neg{i}"], row[f"pos{i}"]
+        for rank in {r for p in probabilities for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))} if n else ():
+            if rank < neg:
+                found[i, rank] = -endless
+            elif rank >= n - pos:
+                found[i, rank] = endless
+            else:
+                wanted.setdefault(i, set()).add(rank - neg)
+    while any(wanted.values()):
+        sizes = {i: row[f"n{i}"] - row[f"neg{i}"] - row[f"pos{i}"] for i in wanted}
+        brackets = _brackets(df.sparkSession, {i: bytes(row[f"sketch{i}"]) for i in wanted}, wanted, sizes, margin)
+        for (i, rank), value in _read_off(wide, brackets, wanted).items():
+            found[i, rank + row[f"neg{i}"]] = value
+            wanted[i].discard(rank)
+        wanted = {i: ranks for i, ranks in wanted.items() if ranks}
+        margin = min(margin * WIDEN, 1.0)
 
     def value(i: int, p: float) -> float | None:
-        if not ends[f"n{i}"]:
+        if not row[f"n{i}"]:
             return None
-        at = p * (ends[f"n{i}"] - 1)
-        low, high = found[(i, math.floor(at))], found[(i, math.ceil(at))]
+        at = p * (row[f"n{i}"] - 1)
+        low, high = found[i, math.floor(at)], found[i, math.ceil(at)]
         return low if low == high else low + (high - low) * (at - math.floor(at))
 
     return {c: [value(i, p) for p in probabilities] for i, c in enumerate(columns)}
 
 
-def _by_column(wide: DataFrame, brackets: list[_Bracket], grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``(bracket, v)`` rows of the values inside the brackets, grouped column by column.
-
-    Each column is a branch that scans that column alone. Brackets of one column
-    never overlap, so a value has at most one.
-    """
-    branches = []
-    for i in sorted({b.column for b in brackets}):
-        value, which = F.col(f"c{i}"), F
-        for j, b in enumerate(brackets):
-            if b.column == i:
-                which = which.when(value.between(b.low, b.high), j)
-        branches.append(grouped(wide.select(which.alias("bracket"), value.alias("v")).where("bracket is not null")))
-    return reduce(DataFrame.unionByName, branches)
-
-
-def _narrow(wide: DataFrame, brackets: list[_Bracket], open_ranks: dict[tuple[int, int], _Bracket]) -> None:
-    """Bin the content of each bracket and move its ranks to the bin that holds them."""
-    starts = F.array(*[F.lit(b.low / 2) for b in brackets])
-    widths = F.array(*[F.lit(b.high / 2 - b.low / 2) for b in brackets])
-    place = (F.col("v") / 2 - F.get(starts, F.col("bracket"))) / F.get(widths, F.col("bracket")) * _BINS
-    spot = F.least(F.floor(place), F.lit(_BINS - 1)).cast("int").alias("bin")
-    bins = _by_column(wide, brackets, lambda rows: rows.groupBy("bracket", spot).agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))).collect()
-    bins.sort(key=lambda r: (r["bracket"], r["bin"]))
-    for j, b in enumerate(brackets):
-        ranks = [k for k, held in open_ranks.items() if held == b]
-        below = b.below
-        for row in (r for r in bins if r["bracket"] == j):
-            for key in ranks:
-                if below <= key[1] < below + row["n"]:
-                    open_ranks[key] = _Bracket(b.column, row["lo"], row["hi"], below, row["n"])
-            below += row["n"]
-
-
-def _read_off(wide: DataFrame, open_ranks: dict[tuple[int, int], _Bracket]) -> dict[tuple[int, int], float]:
-    """Order the few rows inside each bracket and take the values at the ranks."""
-    if not open_ranks:
+def _brackets(spark: SparkSession, sketches: dict[int, bytes], wanted: dict[int, set[int]], sizes: dict[int, int],
+              margin: float) -> dict[int, list[tuple[float, float]]]:
+    """Disjoint value ranges per column around its ranks, in order."""
+    columns = sorted(sketches)
+    table = spark.createDataFrame([tuple(sketches[i] for i in columns)], ", ".join(f"s{i} binary" for i in columns))
+    ends = []
+    for i in columns:
+        at = [min(max((r + 0.5) / sizes[i] + side * margin, 0.0), 1.0) for r in sorted(wanted[i]) for side in (-1, 1)]
+        ends.append(F.kll_sketch_get_quantile_double(f"s{i}", F.array(*[F.lit(x) for x in at])))
+    out = {}
+    for i, found in zip(columns, table.select(*ends).first()):
+        merged: list[tuple[float, float]] = []
+        for low, high in sorted(zip(found[::2], found[1::2])):
+            if merged and low <= merged[-1][1]:
+                merged[-1] = merged[-1][0], max(high, merged[-1][1])
+            else:
+                merged.append((low, high))
+        out[i] = merged
+    return out
+
+
+def _read_off(wide: DataFrame, brackets: dict[int, list[tuple[float, float]]], wanted: dict[int, set[int]]) -> dict[tuple[int, int], float]:
+    """The values at those ranks that lie in a bracket."""
+    columns = sorted(brackets)
+
+    def ends(side: int) -> Column:
+        return F.array(*[F.array(*[F.lit(b[side]) for b in brackets[i]]) for i in columns])
+
+    values = F.array(*[F.struct(F.lit(k).alias("column"), F.col(f"c{i}").alias("v")) for k, i in enumerate(columns)])
+    long = wide.select(F.inline(values)).where(F.abs("v") < float("inf"))
+    # The first bracket that does not end below the value: the value is inside it or below it.
+    placed = long.select("column", (F.col("v") + F.lit(0.0)).alias("v"), F.size(F.filter(
+        F.get(ends(1), F.col("column")), lambda high: high < F.col("v"))).alias("which"))
+    low = F.get(F.get(ends(0), F.col("column")), F.col("which"))
+    first = [sum(len(brackets[i]) for i in columns[:k]) for k in range(len(columns))]
+    number = F.get(F.array(*[F.lit(f) for f in first]), F.col("column")) + F.col("which")
+    counted = placed.where(low.isNotNull()).groupBy(number.alias("bracket"), F.when(F.col("v") >= low, F.col("v")).alias("v")).agg(
+        F.count(F.lit(1)).alias("n"))
+    ordered, totals = running_sums(counted, [F.col("bracket"), F.asc_nulls_first("v")], ["n"], "bracket")
+    held = {t["bracket"]: t["n"] for t in totals}
+    hits: dict[tuple[int, int], tuple[int, int]] = {}  # (bracket, place in it with what lies below) -> (column, rank)
+    for k, i in enumerate(columns):
+        for rank in wanted[i]:
+            before = 0
+            for b in range(first[k], first[k] + len(brackets[i])):
+                if rank < before + held.get(b, 0):
+                    hits[b, rank - before] = i, rank
+                    break
+                before += held.get(b, 0)
+    if not hits:
         return {}
-    brackets = sorted(set(open_ranks.values()), key=lambda b: (b.column, b.low))
-    counted = _by_column(wide, brackets, lambda rows: rows.groupBy("bracket", "v").agg(F.count(F.lit(1)).alias("n")))
-    upto = F.sum("n").over(Window.partitionBy("bracket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    hit = F.lit(False)
-    for (_, rank), b in open_ranks.items():
-        place = rank - b.below
-        hit = hit | ((F.col("bracket") == brackets.index(b)) & (F.col("upto") > place) & (F.col("upto") - F.col("n") <= place))
-    rows = counted.withColumn("upto", upto).where(hit).collect()
-    found = {}
-    for key, b in open_ranks.items():
-        place = key[1] - b.below
-        found[key] = next(r["v"] for r in rows if brackets[r["bracket"]] == b and r["upto"] - r["n"] <= place < r["upto"])
-    return found
+    places = {}
+    for b, place in hits:
+        places.setdefault(b, []).append(place)
+    asked = F.create_map(*[x for b, p in places.items() for x in (F.lit(b), F.array(*[F.lit(v).cast("long") for v in p]))])
+    inside = F.exists(F.try_element_at(asked, F.col("bracket")), lambda p: (p >= F.col("_n")) & (p < F.col("_n") + F.col("n")))
+    rows = ordered.where(F.col("v").isNotNull() & inside).select("bracket", "v", "n", "_n").collect()  # a row per wanted rank at most
+    return {key: r["v"] for (b, place), key in hits.items() for r in rows if r["bracket"] == b and r["_n"] <= place < r["_n"] + r["n"]}

@@ -21,19 +21,21 @@ def test_quantiles_interpolate(spark):
     assert quantiles.exact_quantiles(df, ["x"], [0.25, 0.5, 0.75])["x"] == [1.75, 3.0, 5.0]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_binned_quantiles_equal_the_builtin(spark, seed):
-    """Hot values, wide ranges, infinities and gaps; forced through several passes."""
+@pytest.mark.parametrize("seed,sketch,margin", [(1, 800, 0.012), (2, 50, 0.012), (3, 8, 1e-9)])
+def test_quantiles_equal_the_builtin(spark, seed, sketch, margin):
+    """Hot values, wide ranges, infinities and gaps; brackets that are right at once, and such as have to be widened."""
     df = spark.range(20_000).select(
         F.when(F.rand(seed) < 0.35, 7.0).otherwise(F.exp(F.randn(seed) * 9)).alias("a"),
         F.when(F.rand(seed + 9) < 0.2, None).otherwise(F.floor(F.rand(seed) * 5)).alias("b"),
-        F.when(F.col("id") < 30, float("-inf")).when(F.col("id") > 19_900, float("inf")).otherwise(F.randn(seed)).alias("c"))
+        F.when(F.col("id") < 30, float("-inf")).when(F.col("id") > 19_900, float("inf")).otherwise(F.randn(seed)).alias("c"),
+        F.lit(None).cast("double").alias("d"))
     df = df.persist()
     probabilities = [0.0, 0.001, 0.25, 0.5, 0.75, 0.999, 1.0]
-    found = quantiles.exact_quantiles(df, ["a", "b", "c"], probabilities, small_rows=0, ordered_rows=3)
+    found = quantiles.exact_quantiles(df, ["a", "b", "c", "d"], probabilities, sketch, margin)
     wanted = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, probabilities))) for c in "abc"]).first()
     for i, c in enumerate("abc"):
         assert found[c] == pytest.approx(list(wanted[i]), rel=1e-12)
+    assert found["d"] == [None] * len(probabilities)
 
 
 def test_mode_ties_go_to_the_smallest(spark):
