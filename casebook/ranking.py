@@ -149,11 +149,14 @@ def recent_projects(spark, sf_dir):
     WITH t AS (SELECT * FROM {sql_shape('tasks')}),
     busy AS (SELECT agent_id, COUNT(*) AS n FROM t WHERE status = 'running' GROUP BY 1),
     queued AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY priority DESC, created_at, id) AS place FROM t WHERE status = 'pending')
-    SELECT id, q.agent_id, priority, created_at FROM queued q LEFT JOIN busy b ON b.agent_id = q.agent_id WHERE place <= 3 - COALESCE(n, 0)""")
+    SELECT id, q.agent_id, priority, created_at FROM queued q LEFT JOIN busy b ON b.agent_id = q.agent_id WHERE place <= 3 - COALESCE(n, 0)
+    ORDER BY priority DESC, created_at, id LIMIT 50""")
 def dispatch_order(spark, sf_dir):
     records = shape(spark, sf_dir, "tasks")
     running = records.where("status = 'running'")
-    return tasks.dispatch_order(records.where("status = 'pending'"), running).select("id", "agent_id", "priority", "created_at")
+    # The limit of ten is reached by the tasks of this table; here fifty more may run than do.
+    return tasks.dispatch_order(records.where("status = 'pending'"), running, concurrent=running.count() + 50).select(
+        "id", "agent_id", "priority", "created_at")
 
 
 @case("due_tasks", f"""

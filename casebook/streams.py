@@ -81,7 +81,7 @@ def _metric_stream(spark, sf_dir):
 
 def _run(spark, stream, keys):
     out = shared_path(spark, "totals")
-    totals.run_totals(stream, out, shared_path(spark, "totals-state")).awaitTermination()
+    totals.run_totals(stream, out, shared_path(spark, "totals-state"), keys, every=1).awaitTermination()
     return totals.read_totals(spark, out, keys)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.parsing import DATETIME_FORMATS, as_datetime, as_number
 from ..quantiles import exact_quantiles
 from ..schema import family, nan_to_null, present, quoted, string_columns
+from ..session import stored
 from .profile import column_modes, rows_from_aggregates
 
 SPARSE_PCT = 50.0
@@ -164,10 +165,10 @@ def apply_cleaning(deduplicated: DataFrame, plan: CleaningPlan) -> DataFrame:
 def clean_table(df: DataFrame) -> tuple[DataFrame, CleaningPlan]:
     """Deduplicate, drop sparse columns, impute, re-type. The result is lazy.
 
-    The deduplicated rows are kept on disk because the statistics passes and
-    the output all read them; lost blocks are recomputed from the input.
+    The deduplicated rows are written once in the shared folder, because the statistics
+    passes and the output all read them; no executor memory is held.
     """
-    deduplicated = drop_duplicates(df).persist()
+    deduplicated = stored(drop_duplicates(df), "deduplicated")
     plan = plan_cleaning(deduplicated)
     return apply_cleaning(deduplicated, plan), plan
 

@@ -10,7 +10,6 @@ from ..schema import columns_of, present, schema_table
 from .profile import column_profile
 
 
-SUMMARIES_PER_PART = 1000
 
 
 def _listed(facts: DataFrame, key: str, sentences: list[Column], name: str) -> DataFrame:
@@ -148,29 +147,22 @@ def heuristic_summary(facts: DataFrame) -> DataFrame:
 
 
 def combine_summaries(summaries: DataFrame, keys: list[str], order: str, text: str = "summary") -> DataFrame:
-    """Summaries of the successful tables of a run joined in order; a fixed sentence when there is none.
+    """The run's text as rows ``keys, position, summary``: the summaries of its successful tables in order.
 
-    A run's text comes in parts of up to a thousand summaries, numbered from 0:
-    most runs have one part, and a run of very many tables is never gathered in
-    one task. ``order`` must be unique within a run.
+    A run without any has one row, a fixed sentence. ``order`` must be unique within a run. The rows keep one
+    shape for a run of any number of tables; concatenated by position with a space they are the run's text.
     """
     good = (F.col("status") == "success") & F.col(text).isNotNull()
     run = F.struct(*[F.col(k) for k in keys])
-    marked = summaries.select(run.alias("_run"), F.col(order).alias("_order"), F.when(good, F.col(text)).alias("_text"))
-    placed = dense_index(marked.where("_text is not null"), [F.col("_run"), F.col("_order")], "_position")
-    totals = marked.groupBy("_run").agg(F.count("_text").alias("_size"), F.count(F.lit(1)).alias("n"))
-    spans = placed.groupBy("_run").agg(F.min("_position").alias("_start"), F.count(F.lit(1)).alias("n"))
-    sizes = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    begun = lookup_join(placed, Lookup(spans, *sizes), F.col("_run"), "_run", ["_start"])
-    part = F.floor((F.col("_position") - F.col("_start")) / SUMMARIES_PER_PART)
-    parts = begun.groupBy("_run", part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("_position", "_text"))).alias("_parts"))
-    joined = parts.select("_run", "part", F.size("_parts").cast("bigint").alias("n_summaries"),
-                          F.concat_ws(" ", F.transform("_parts", lambda p: p["_text"])).alias("combined"))
-    none = totals.where("_size = 0").select(
-        "_run", F.lit(0).cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("n_summaries"),
-        F.lit("No dataset summaries available.").alias("combined"))
-    return joined.unionByName(none).select("_run.*", "part", "n_summaries", "combined")
+    marked = summaries.select(run.alias("run"), F.col(order).alias("order"), F.when(good, F.col(text)).alias("text"))
+    placed = dense_index(marked.where("text is not null"), [F.col("run"), F.col("order")], "place")
+    starts = placed.groupBy("run").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n"))
+    sizes = starts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    begun = lookup_join(placed, Lookup(starts, *sizes), F.col("run"), "run", ["start"])
+    listed = begun.select("run", (F.col("place") - F.col("start")).alias("position"), F.col("text").alias("summary"))
+    none = marked.groupBy("run").agg(F.count("text").alias("n")).where("n = 0").select(
+        "run", F.lit(0).cast("bigint").alias("position"), F.lit("No dataset summaries available.").alias("summary"))
+    return listed.unionByName(none).select("run.*", "position", "summary")
 
 
 def stage_summary_text(rollup: DataFrame) -> DataFrame:

@@ -86,9 +86,9 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows that equal an earlier row, nulls being equal to nulls."""
-    whole = nan_to_null(df)
-    groups = whole.groupBy(*[quoted(c) for c in whole.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
+    whole = nan_to_null(df).toDF(*[f"c{i}" for i in range(len(df.columns))])
+    groups = whole.groupBy(*whole.columns).agg(F.count(F.lit(1)).alias("n"))
+    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def dtype_families(df: DataFrame) -> DataFrame:
 def sample_rows(df: DataFrame, order: list[str], k: int = 5) -> DataFrame:
     """First k rows in the given order, with the table's row count."""
     total = df.count()
-    return df.orderBy(*order).limit(k).withColumn("total_rows", F.lit(total).cast("bigint"))
+    return df.orderBy(*[quoted(o) for o in order]).limit(k).withColumn("total_rows", F.lit(total).cast("bigint"))
 
 
 def sample_values(df: DataFrame, order: str, k: int = 3) -> DataFrame:

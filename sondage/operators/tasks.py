@@ -50,8 +50,10 @@ def agent_load(tasks: DataFrame, limit: int = TASKS_PER_AGENT) -> DataFrame:
         "can_accept", F.col("running") < limit)
 
 
-def dispatch_order(queued: DataFrame, running: DataFrame, limit: int = TASKS_PER_AGENT) -> DataFrame:
-    """Queued tasks that their agents have room for, by priority, then age.
+def dispatch_order(queued: DataFrame, running: DataFrame, limit: int = TASKS_PER_AGENT,
+                   concurrent: int = CONCURRENT_TASKS) -> DataFrame:
+    """Queued tasks that may start now, by priority, then age: those whose agents have room for
+    them, until ``concurrent`` tasks are running.
 
     At most ``limit`` tasks of an agent can start, so the rank filter runs
     before the shuffle too and a busy agent's queue is never gathered.
@@ -60,7 +62,8 @@ def dispatch_order(queued: DataFrame, running: DataFrame, limit: int = TASKS_PER
     head = queued.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= limit)
     load = running.groupBy("agent_id").agg(F.count(F.lit(1)).alias("_running"))
     free = F.lit(limit) - F.coalesce(F.col("_running"), F.lit(0))
-    return head.join(load, "agent_id", "left").where(F.col("_place") <= free).drop("_place", "_running")
+    ready = head.join(load, "agent_id", "left").where(F.col("_place") <= free).drop("_place", "_running")
+    return ready.orderBy(F.desc("priority"), F.asc("created_at"), F.asc("id")).limit(max(concurrent - running.count(), 0))
 
 
 def due_tasks(tasks: DataFrame, as_of: Column) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import charts, clean, features, insights, models, profile, stats
 from ..schema import columns_of, numeric_columns
-from ..session import shared_path
+from ..session import stored
 from ..sources import stores
 
 STAGE_SCHEMA = "run_id string, stage string, ts timestamp, status string, payload string"
@@ -184,13 +184,6 @@ class Analysis:
         return {"sections": sorted(sections)}
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written in the shared folder and read again."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def default_comparison(data: DataFrame, task: str, n_features: int, n_classes: int) -> DataFrame:
     """All four models of the task by five-fold cross-validation."""
     if task == "classification":

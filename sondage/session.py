@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def build_session(app: str = "sondage", master: str | None = None, **conf: str) -> SparkSession:
@@ -54,3 +54,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, for a table that a job writes and reads."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written as Parquet in the shared folder and read again: later uses read only the columns they need.
+
+    Columns go by their places in the file, so any name will do; those of no type hold nulls and are not written.
+    """
+    path = shared_path(df.sparkSession, name)
+    fields = df.schema.fields
+    typed = [i for i, f in enumerate(fields) if not isinstance(f.dataType, T.NullType)]
+    df.toDF(*[f"c{i}" for i in range(len(fields))]).select(*[f"c{i}" for i in typed], F.lit(True).alias("row")).write.parquet(path)
+    back = df.sparkSession.read.parquet(path)
+    return back.select(*[(F.col(f"c{i}") if i in typed else F.lit(None)).alias(f.name) for i, f in enumerate(fields)])

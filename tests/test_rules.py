@@ -295,15 +295,28 @@ def test_dates_and_stems(spark):
         ("March 05, 2024", "b.tar"), ("soon", ".hidden")]
 
 
-def test_long_runs_come_in_parts(spark, monkeypatch):
+def test_summaries_are_rows_in_order(spark):
     from sondage.operators import insights
 
-    monkeypatch.setattr(insights, "SUMMARIES_PER_PART", 4)
     df = spark.range(10).select(F.lit("r").alias("run"), "id", F.lit("success").alias("status"), F.col("id").cast("string").alias("summary"))
     failed = spark.createDataFrame([("s", 1, "failed", "x")], "run string, id long, status string, summary string")
-    found = rows(insights.combine_summaries(df.unionByName(failed), ["run"], "id"), "run", "part", "n_summaries", "combined")
-    assert found == [("r", 0, 4, "0 1 2 3"), ("r", 1, 4, "4 5 6 7"), ("r", 2, 2, "8 9"),
-                     ("s", 0, 0, "No dataset summaries available.")]
+    found = rows(insights.combine_summaries(df.unionByName(failed), ["run"], "id"), "run", "position", "summary")
+    assert found == [*[("r", k, str(k)) for k in range(10)], ("s", 0, "No dataset summaries available.")]
+
+
+def test_odd_names_and_limits(spark):
+    from sondage.operators import tasks
+
+    df = spark.createDataFrame([(1, "x", 2), (1, "x", 2), (3, "y", 4)], "_n int, `a.b` string, _key int")
+    assert profile.duplicate_count(df).first()["duplicates"] == 1
+    assert [r["total_rows"] for r in profile.sample_rows(df, ["a.b"], 2).collect()] == [3, 3]
+    odd = df.withColumn("nothing", F.lit(None))
+    cleaned, plan = clean.clean_table(odd)
+    assert cleaned.count() == plan.rows_after_dedup == 2 and plan.dropped == ["nothing"]
+    queued = spark.range(40).select("id", (F.col("id") % 20).alias("agent_id"), (F.col("id") % 4).alias("priority"), F.col("id").alias("created_at"))
+    running = spark.createDataFrame([(100 + k, 50 + k) for k in range(7)], "id long, agent_id long")
+    assert [r["id"] for r in tasks.dispatch_order(queued, running).orderBy("id").collect()] == [3, 7, 11]
+    assert tasks.dispatch_order(queued, running.union(running)).count() == 0
 
 
 def test_rows_without_a_label_stay(spark):
