@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from sondage import schema
 from sondage.operators import catalog, clean, profile, search, stats, tasks
 from sondage.operators.models import data_characteristics, task_type
 
+from sondage.operators.text_index import TextIndex
+from sondage.session import shared_path
+
 from .fixtures import shape, sql_shape
 from .registry import case, table
 
@@ -125,6 +130,18 @@ def text_contains_search(spark, sf_dir):
     return search.text_contains_search(table(spark, sf_dir, "documents"), F.col("text"), "On The", 10, "doc_id").select("doc_id", "lang")
 
 
+_QUERIES = ["On The", "th", "tion of the", "que", "É", "no such run of words"]
+
+
+@case("text_contains_indexed", " UNION ALL ".join(
+    f"SELECT '{q}' AS query, doc_id FROM documents WHERE contains(lower(text), lower('{q}'))" for q in _QUERIES))
+def text_contains_indexed(spark, sf_dir):
+    """Every document that holds a query, through the trigram index."""
+    index = TextIndex.build(table(spark, sf_dir, "documents"), shared_path(spark, "text-index"), "doc_id", F.col("text"))
+    found = [index.holding(q).select(F.lit(q).alias("query"), F.col("key").alias("doc_id")) for q in _QUERIES]
+    return reduce(DataFrame.unionByName, found)
+
+
 @case("execution_stats_filter", f"""
     SELECT agent_type, task_type, COUNT(*) AS total_executions, ROUND(AVG(duration), 6) AS average_duration
     FROM {sql_shape('metric_events')} WHERE contains(agent_type || '_' || task_type, '7') AND contains(agent_type || '_' || task_type, 'click')

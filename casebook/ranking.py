@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from sondage.operators import catalog, clean, insights, models, search, tasks
 
+from sondage.operators.vector_index import VectorIndex
+from sondage.session import shared_path
+
 from .fixtures import shape, sql_shape
 from .registry import case, table
 from .statistics import ALL_TESTS_SQL, all_tests
@@ -99,6 +102,18 @@ def topk_per_question(spark, sf_dir):
     return search.topk_per_question(vectors, questions, 5, "vec_id").withColumn("similarity", F.round("similarity", 6))
 
 
+@case("topk_per_question_indexed", f"""
+    SELECT q.qid AS question_id, e.vec_id, ROUND({_COSINE}, 6) AS similarity,
+           CAST(row_number() OVER (PARTITION BY q.qid ORDER BY ROUND({_COSINE}, 9) DESC, e.vec_id) AS INT) AS rank
+    FROM embeddings e, {_QUESTION.replace('$IDS', '1, 2, 3, 5, 8, 13, 21')} QUALIFY rank <= 5""")
+def topk_per_question_indexed(spark, sf_dir):
+    """The exact way through the inverted-file index."""
+    vectors, questions = _vectors(spark, sf_dir, 1, 2, 3, 5, 8, 13, 21)
+    index = VectorIndex.build(vectors, shared_path(spark, "vector-index"), "vec_id")
+    found = index.search(questions, 5, exact=True)
+    return found.withColumnRenamed("key", "vec_id").withColumn("similarity", F.round("similarity", 6))
+
+
 @case("search_similar_insights", f"""
     SELECT e.vec_id, ROUND({_COSINE}, 6) AS similarity FROM embeddings e, {_QUESTION.replace('$IDS', '4')}
     WHERE e.label < 5 ORDER BY ROUND({_COSINE}, 9) DESC, e.vec_id LIMIT 5""")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from . import heads
+
 MEGABYTE = 1024 * 1024
 
 # File kinds by extension, first bytes by kind, and the intake limits.
@@ -19,7 +21,6 @@ MAX_DOWNLOAD_MB = 100
 
 SEPARATORS = (",", ";", "\t", "|")
 _SNIFF_LINES = 20
-_CONTENT_LIMIT = 2**31 - 1  # the binary source holds one file's content in one value
 
 
 def extension(path: Column) -> Column:
@@ -45,25 +46,12 @@ def classify_file_type(path: Column, head: Column | None = None) -> Column:
 def file_manifest(spark: SparkSession, root: str, sniff: bool = False) -> DataFrame:
     """``(path, length, ext, file_type)`` of every file below a folder, paths relative to it.
 
-    Listing needs no content. ``sniff`` opens only the files whose extension is
-    unknown (those the binary source can hold, up to 2 GB) to look at ten bytes.
+    Listing needs no content. ``sniff`` reads the first ten bytes of the files whose extension is unknown, of any size.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    local = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    relative = F.when(F.contains(local, F.lit(base + "/")),
-                      F.substring(local, F.instr(local, base + "/") + len(base) + 1, F.lit(1 << 20))).otherwise(local)
-    named = found.select(relative.alias("path"), "length", extension(relative).alias("ext"), "content")
-    known = F.col("ext").isin(*EXTENSION_TYPES)
-    plain = named.where(known) if sniff else named
-    listed = plain.select("path", "length", "ext", classify_file_type(F.col("path")).alias("file_type"))
-    if not sniff:
-        return listed
-    readable = F.col("length") <= _CONTENT_LIMIT
-    opened = named.where(~known & readable).select(
-        "path", "length", "ext", classify_file_type(F.col("path"), F.substring("content", 1, 10)).alias("file_type"))
-    large = named.where(~known & ~readable).select("path", "length", "ext", F.lit("unknown").alias("file_type"))
-    return listed.unionByName(opened).unionByName(large)
+    heads.register(spark)
+    listed = spark.read.format("file_heads").option("known", ",".join(EXTENSION_TYPES)).option("sniff", sniff).load(root)
+    ext = extension(F.col("path"))
+    return listed.select("path", "length", ext.alias("ext"), classify_file_type(F.col("path"), F.col("head") if sniff else None).alias("file_type"))
 
 
 def file_type_counts(manifest: DataFrame) -> DataFrame:
