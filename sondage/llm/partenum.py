@@ -47,7 +47,7 @@ BROADCAST_BYTES = 32 << 20
 BLOCK = 4096
 FEW = 16  # members up to which a bucket is compared pair by pair on whole numbers rather than on arrays
 SENT = 1 << 16  # pairs a task gathers before it sends them on
-LEAST_CELLS, MOST_CELLS = 1 << 10, 1 << 16
+LEAST_CELLS, MOST_CELLS = 1 << 8, 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sondage.llm import decontaminate, language, toxicity
+from sondage.llm import decontaminate, language, partenum, toxicity
 from sondage.llm.queries import CASES, ORACLES
 from tools.compare import compare
 
