@@ -5,8 +5,9 @@ text that holds a query holds all the query's grams, so the keys that stand unde
 grams are candidates, and only their texts are read and tested. A query of fewer than three
 characters has no gram and is answered by a scan.
 
-Postings lie in ``BUCKETS`` folders by a hash of the gram, so a search opens those of its own
-grams only. Keys must be unique and not null; a null text holds nothing.
+Postings are range-sorted by gram and key, so a search reads the row groups of its own grams
+only, and a gram with very many postings is spread over files. Keys must be unique and not
+null; a null text holds nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..schema import quoted
 
 GRAM = 3
-BUCKETS = 256
 RAREST = 4  # grams of a query that are looked up
 
 
@@ -29,10 +29,6 @@ def grams(text: Column) -> Column:
                   ).otherwise(F.array().cast("array<string>"))
 
 
-def _bucket(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
-
-
 @dataclass(frozen=True)
 class TextIndex:
     """An index at ``path``: ``texts`` by key, ``postings`` by gram, and how often each ``grams`` occurs."""
@@ -42,7 +38,7 @@ class TextIndex:
 
     def _postings(self) -> DataFrame:
         key = self.spark.read.parquet(f"{self.path}/texts").schema["key"].dataType.simpleString()
-        return self.spark.read.schema(f"key {key}, gram string, bucket int").parquet(f"{self.path}/postings")
+        return self.spark.read.schema(f"key {key}, gram string").parquet(f"{self.path}/postings")
 
     @staticmethod
     def build(df: DataFrame, path: str, key: str, text: Column) -> TextIndex:
@@ -50,12 +46,10 @@ class TextIndex:
         spark = df.sparkSession
         df.select(quoted(key).alias("key"), F.lower(text.cast("string")).alias("text")).write.mode("overwrite").parquet(f"{path}/texts")
         texts = spark.read.parquet(f"{path}/texts")
-        postings = texts.select("key", F.explode(grams(F.col("text"))).alias("gram")).withColumn("bucket", _bucket(F.col("gram")))
-        # Sorted within a file, so that a search for a gram reads the row groups that hold it. A hot bucket is dealt over tasks.
-        salt = F.pmod(F.xxhash64("key"), F.lit(8))
-        postings.repartition("bucket", salt).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+        postings = texts.select("key", F.explode(grams(F.col("text"))).alias("gram"))
+        postings.repartitionByRange("gram", "key").sortWithinPartitions("gram", "key").write.mode("overwrite").parquet(f"{path}/postings")
         index = TextIndex(spark, path)
-        index._postings().groupBy("bucket", "gram").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/grams")
+        index._postings().groupBy("gram").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/grams")
         return index
 
     def holding(self, query: str) -> DataFrame:
@@ -70,7 +64,6 @@ class TextIndex:
         if len(known) < len(parts):
             return texts.limit(0).select("key")  # some gram stands nowhere
         rare = sorted(known, key=lambda r: (r["n"], r["gram"]))[:RAREST]
-        postings = self._postings().where(
-            F.col("bucket").isin([r["bucket"] for r in rare]) & F.col("gram").isin([r["gram"] for r in rare]))
+        postings = self._postings().where(F.col("gram").isin([r["gram"] for r in rare]))
         candidates = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(rare)).select("key")
         return texts.join(candidates, "key", "left_semi").where(holds).select("key")

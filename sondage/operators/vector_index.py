@@ -54,7 +54,7 @@ class VectorIndex:
     key_type: str = "bigint"
 
     def _rows(self) -> DataFrame:
-        return self.spark.read.schema(f"key {self.key_type}, vector array<double>, angle double, cell int").parquet(f"{self.path}/rows")
+        return self.spark.read.schema(f"key {self.key_type}, vector array<double>, cell int, angle double").parquet(f"{self.path}/rows")
 
     @staticmethod
     def build(candidates: DataFrame, path: str, key: str, vector: str = "embedding", cells: int | None = None,
@@ -87,7 +87,8 @@ class VectorIndex:
 
         kind = held.schema["key"].dataType.simpleString()
         rows = held.mapInArrow(placed, f"key {kind}, vector array<double>, cell int, angle double")
-        rows.write.partitionBy("cell").mode("overwrite").parquet(f"{path}/rows")
+        # Sorted by cell, so that a search reads the row groups of its cells; a cell with very many rows is spread over files.
+        rows.repartitionByRange("cell", "key").sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{path}/rows")
         spark = candidates.sparkSession
         made = VectorIndex(spark, path, kind)
         stats = made._rows().groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n"))
