@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sondage.operators import catalog, tasks
@@ -48,6 +50,22 @@ def read_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(names, F.col("path")).alias("kind"), "status", "n_rows", "key_sum", "balance", "last_name")
 
 
+@case("read_grouped", """
+    SELECT 'csv' AS ext, 'c_custkey,c_acctbal' AS shape, (SELECT COUNT(*) FROM customer) + 0 AS n_rows, 3 AS n_files FROM range(1)
+    UNION ALL SELECT 'csv', 'c_custkey,c_name', COUNT(*), 2 FROM customer
+    UNION ALL SELECT 'parquet', 'c_custkey int64, c_mktsegment string', COUNT(*), 2 FROM customer""")
+def read_grouped(spark, sf_dir):
+    """Seven files of three layouts: three reads."""
+    folder, source = shared_path(spark, "grouped"), table(spark, sf_dir, "customer")
+    dealt = lambda n: source.repartitionByRange(n, "c_custkey")
+    dealt(3).select("c_custkey", "c_acctbal").write.option("header", True).csv(f"{folder}/a")
+    dealt(2).select("c_custkey", "c_name").write.option("header", True).csv(f"{folder}/b/c")
+    dealt(2).select("c_custkey", "c_mktsegment").write.parquet(f"{folder}/d")
+    parts = [frame.agg(F.lit(ext).alias("ext"), F.lit(shape_).alias("shape"), F.count(F.lit(1)).alias("n_rows"),
+                       F.count_distinct("table_id").cast("int").alias("n_files")) for ext, shape_, frame in files.read_grouped(spark, folder)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @case("read_sniff_delimiter", _TOTALS_SQL)
 def read_sniff_delimiter(spark, sf_dir):
     path = shared_path(spark, "sniff") + "/customer.dat"

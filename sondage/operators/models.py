@@ -56,9 +56,9 @@ def data_characteristics(df: DataFrame) -> DataFrame:
     )
 
 
-def hash_fold(keys: list[str], folds: int = FOLDS) -> Column:
-    """A fold per row from a hash of its key: no shuffle, stable across runs."""
-    return F.pmod(F.xxhash64(*[quoted(k) for k in keys]), F.lit(folds)).cast("int")
+def hash_fold(keys: list[str], folds: int = FOLDS, quote: bool = True) -> Column:
+    """A fold per row from a hash of its key: no shuffle, stable across runs. Without ``quote`` a key may be a field."""
+    return F.pmod(F.xxhash64(*[quoted(k) if quote else F.col(k) for k in keys]), F.lit(folds)).cast("int")
 
 
 def _row_key(df: DataFrame, *order: Column) -> Column:
@@ -139,10 +139,12 @@ def stratified_split(df: DataFrame, key: str, label: str | None = None, share: f
 
 
 def prepare(df: DataFrame, target: str, features: list[str], task: str, key: list[str] | None = None) -> DataFrame:
-    """Impute, scale and assemble: ``features``, ``label``, ``fold`` beside the key columns."""
-    filled = impute_target(impute_mean(df, features), target, task)
+    """Impute, scale and assemble: ``features``, ``label``, ``fold`` beside the key columns, which keep their own values
+    even where they are features too."""
+    held = df.select("*", F.struct(*[quoted(k).alias(f"k{i}") for i, k in enumerate(key)]).alias("_kept")) if key else df
+    filled = impute_target(impute_mean(held, features), target, task)
     scaled = scale_standard(filled, [f for f in features if f != target])
-    keyed = scaled.withColumn("fold", hash_fold(key or features))
+    keyed = scaled.withColumn("fold", hash_fold([f"_kept.k{i}" for i in range(len(key))] if key else features, quote=not key))
     if family(df.schema[target].dataType) == "string" or task == "classification":
         codes = label_codes(keyed, target)  # stays a table, however many texts there are
         codes = replace(codes, table=codes.table.withColumn("label", F.col("code").cast("double")))
@@ -150,7 +152,7 @@ def prepare(df: DataFrame, target: str, features: list[str], task: str, key: lis
     else:
         keyed = keyed.withColumn("label", quoted(target).cast("double"))
     assembled = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error").transform(keyed)
-    return assembled.select(*[quoted(k) for k in (key or [])], "features", "label", "fold")
+    return assembled.select(*[F.col(f"_kept.k{i}").alias(k) for i, k in enumerate(key or [])], "features", "label", "fold")
 
 
 def classifiers(n_features: int, n_classes: int, max_iter: int = 500) -> dict[str, Estimator]:

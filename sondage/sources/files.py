@@ -100,6 +100,33 @@ def read_cleaned(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_grouped(spark: SparkSession, root: str) -> list[tuple[str, str, DataFrame]]:
+    """``(extension, shape, table)`` of the table files below a folder: one read, and one inference of types, for all
+    files of the same extension and layout, however many these are.
+
+    The shape is a Parquet file's schema or a text file's first line. Each table has a column ``table_id``, the
+    path of the file that a row is from. Files that cannot be read, and names that begin with ``_`` or ``.``, are left out.
+    """
+    heads.register(spark)
+    listed = spark.read.format("file_heads").option("sniff", False).option("shapes", True).load(root)
+    name = F.element_at(F.split("path", "/"), -1)
+    tables = listed.select("path", "shape", extension(F.col("path")).alias("ext")).where(
+        F.col("ext").isin("csv", "tsv", "txt", "json", "parquet") & F.col("shape").isNotNull() & ~name.rlike("^[_.]"))
+    groups = tables.groupBy("ext", "shape").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("ext", "shape").collect()
+    found = []
+    for group in groups:  # a row per layout; the paths are what a reader is given
+        paths = [f"{root.rstrip('/')}/{p}" for p in group["paths"]]
+        if group["ext"] == "parquet":
+            frame = spark.read.parquet(*paths)
+        elif group["ext"] == "json":
+            frame = spark.read.option("multiLine", not _one_object_per_line(spark, paths[0])).json(paths)
+        else:
+            separator = "," if group["ext"] == "csv" else "\t"
+            frame = spark.read.csv(paths, header=True, sep=separator, inferSchema=True)
+        found.append((group["ext"], group["shape"], frame.select("*", F.col("_metadata.file_path").alias("table_id"))))
+    return found
+
+
 def read_all(spark: SparkSession, paths: list[str],
              use: Callable[[DataFrame], DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """The readable tables by path, and ``(path, status, error)`` rows for all of them."""

@@ -1,10 +1,12 @@
 """A data source that lists files and reads the first bytes of each, whatever their size.
 
-``spark.read.format("file_heads").load(root)`` gives ``path, length, head`` of every file
+``spark.read.format("file_heads").load(root)`` gives ``path, length, head, shape`` of every file
 below a folder, paths relative to it. The driver lists one level; each folder on it is listed
 by a task of its own, and the files of that level are dealt in runs of ``FILES_PER_TASK``. A
 task opens a file only to read its first bytes; option ``known`` (extensions, comma-separated)
-leaves files of these extensions closed, and ``sniff`` false leaves all closed.
+leaves files of these extensions closed, and ``sniff`` false leaves all closed. With ``shapes``
+true ``shape`` says how a table file is laid out: the schema in a Parquet file's footer, the
+first line of a text file.
 
 Paths are opened by pyarrow: local ones, and the schemes it knows (s3, gs, hdfs).
 """
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -22,7 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 FILES_PER_TASK = 1000
 HEAD_BYTES = 10
 BATCH = 4096
-SCHEMA = "path string, length bigint, head binary"
+LINE_BYTES = 1 << 16  # a first line is looked for in so many
+SCHEMA = "path string, length bigint, head binary, shape string"
 
 
 @dataclass
@@ -41,6 +45,20 @@ def opened(root: str) -> tuple[fs.FileSystem, str]:
     return system, place.rstrip("/")
 
 
+def shape(system: fs.FileSystem, path: str) -> str | None:
+    """The schema or first line of a table file; null where it cannot be read."""
+    kind = path.rpartition(".")[2].lower()
+    try:
+        with system.open_input_file(path) as file:
+            if kind == "parquet":
+                return ", ".join(f"{f.name} {f.type}" for f in pq.read_schema(file))
+            if kind in ("csv", "tsv", "txt"):
+                return file.read(LINE_BYTES).split(b"\n")[0].decode("utf-8", "replace").rstrip("\r")
+            return kind
+    except (OSError, pa.ArrowInvalid):
+        return None
+
+
 class FileHeads(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -51,12 +69,13 @@ class FileHeads(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         known = {e for e in self.options.get("known", "").split(",") if e}
-        return HeadsReader(self.options["path"], known, str(self.options.get("sniff", "true")).lower() == "true")
+        on = lambda name, default: str(self.options.get(name, default)).lower() == "true"
+        return HeadsReader(self.options["path"], known, on("sniff", "true"), on("shapes", "false"))
 
 
 class HeadsReader(DataSourceReader):
-    def __init__(self, root: str, known: set[str], sniff: bool):
-        self.root, self.known, self.sniff = root, known, sniff
+    def __init__(self, root: str, known: set[str], sniff: bool, shapes: bool):
+        self.root, self.known, self.sniff, self.shapes = root, known, sniff, shapes
 
     def partitions(self) -> list[InputPartition]:
         system, place = opened(self.root)
@@ -78,12 +97,12 @@ class HeadsReader(DataSourceReader):
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         system, place = opened(self.root)
-        rows: list[tuple[str, int, bytes | None]] = []
+        rows: list[tuple[str, int, bytes | None, str | None]] = []
 
         def batch() -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [(), (), ()]
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary()))],
-                                             ["path", "length", "head"])
+            columns = list(zip(*rows)) or [()] * 4
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.string()))],
+                                             ["path", "length", "head", "shape"])
             rows.clear()
             return out
 
@@ -94,7 +113,7 @@ class HeadsReader(DataSourceReader):
                 with system.open_input_file(path) as file:
                     head = file.read(HEAD_BYTES)
             relative = path[len(place) + 1:] if path.startswith(place + "/") else name
-            rows.append((relative, size, head))
+            rows.append((relative, size, head, shape(system, path) if self.shapes else None))
             if len(rows) == BATCH:
                 yield batch()
         yield batch()

@@ -28,9 +28,15 @@ def from_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_messages(raw: DataFrame, column: str = "value") -> DataFrame:
+    """The messages of JSON lines; lines that are none are what ``malformed`` gives."""
     return raw.select(F.from_json(column, ENVELOPE).alias("m")).select("m.*").where("id is not null")
 
 
+def malformed(raw: DataFrame, column: str = "value") -> DataFrame:
+    """The lines without a readable envelope and id, as they came: to be counted or kept by a query of their own."""
+    return raw.where(F.from_json(column, ENVELOPE)["id"].isNull()).select(F.col(column).alias("value"))
+
+
 def envelope(data: Column, topic: Column, sender: Column, message_id: Column | None = None,
              timestamp: Column | None = None) -> Column:
     """A message as JSON text. Give ``message_id`` where a retried batch must repeat its ids."""
@@ -53,17 +59,22 @@ def publish_topic(messages: DataFrame, servers: str, topic: str, checkpoint: str
 
 
 def subscribe(messages: DataFrame, topic: str, handler: Callable[[DataFrame, int], None], checkpoint: str,
-              available_now: bool = True) -> StreamingQuery:
+              available_now: bool = True, failed: str | None = None) -> StreamingQuery:
     """Deliver the messages of one topic to one handler; stop the query to unsubscribe.
 
     Each subscription is its own query, so handlers do not hold one another up.
-    A batch whose handler fails is logged and passed over.
+    A batch whose handler fails is logged and passed over; with ``failed`` its messages are
+    kept below that folder, from where they can be delivered again.
     """
+    keep = table_handler(failed) if failed else None
+
     def deliver(batch: DataFrame, batch_id: int) -> None:
         try:
             handler(batch, batch_id)
         except Exception:
             _log.exception("handler of topic %s failed on batch %s", topic, batch_id)
+            if keep:
+                keep(batch, batch_id)
 
     writer = messages.where(F.col("topic") == topic).writeStream.foreachBatch(deliver).option(
         "checkpointLocation", checkpoint)

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from sondage.streaming import totals
+from sondage.streaming import bus, totals
 
 
 def _batch(spark, start, end):
@@ -69,3 +69,18 @@ def test_keys_expire_and_start_anew_after_a_restart(spark, tmp_path, state_store
     assert run(("a", 1, 14)) == {"a": (4, 8.0)}  # b was last seen at minute 2
     assert run(("b", 3, 15), ("c", 1, 40)) == {"c": (1, 1.0)}  # all but c are behind by more than ten minutes
     assert run(("a", 9, 41)) == {"a": (1, 9.0), "c": (1, 1.0)}
+
+
+def test_what_cannot_be_read_or_handled_is_kept(spark, tmp_path):
+    source, state, failed, bad = (str(tmp_path / n) for n in ("in", "state", "failed", "bad"))
+    lines = ['{"id": "1", "topic": "t", "data": "x"}', "not json", '{"topic": "t"}', '{"id": "2", "topic": "u"}', ""]
+    spark.createDataFrame([(v,) for v in lines], "value string").coalesce(1).write.text(source)
+
+    def broken(batch, batch_id):
+        raise ValueError("a handler that fails")
+
+    bus.subscribe(bus.from_files(spark, source), "t", broken, state, failed=failed).awaitTermination()
+    assert [r["id"] for r in spark.read.parquet(failed).collect()] == ["1"]
+    stray = bus.malformed(spark.readStream.text(source))
+    bus.publish_files(stray, bad, state + "2").awaitTermination()
+    assert sorted(r["value"] for r in spark.read.text(bad).collect()) == ["", "not json", '{"topic": "t"}']
