@@ -171,3 +171,12 @@ def test_odd_urls(spark):
                                   "url string, label string")
     rows = urlrules.judge(pages, known).collect()
     assert len(rows) == 5 and {r["page_id"] for r in rows} == {1} and all(r["verdict"] in ("allow", "block") for r in rows)
+
+
+def test_planted_labels_become_rules(spark):
+    urls = [f"http://h{k % 9}.example.net/{'ads' if k % 3 == 0 else 'news'}/{k}" for k in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    known = spark.createDataFrame([(u, "block" if "/ads/" in u else "allow") for u in urls[:200]], "url string, label string")
+    rows = {r["page_id"]: r for r in urlrules.judge(pages, known, rules=[]).collect()}
+    assert all(rows[k]["verdict"] == ("block" if "/ads/" in u else "allow") for k, u in enumerate(urls))
+    assert all(list(rows[k]["mined"]) == ["dir:ads" if "/ads/" in u else "dir:news"] for k, u in enumerate(urls))
