@@ -114,6 +114,35 @@ def topk_per_question_indexed(spark, sf_dir):
     return found.withColumnRenamed("key", "vec_id").withColumn("similarity", F.round("similarity", 6))
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_ASKED = "Which dataset holds the opening of another one"
+
+
+def _letter_counts(df, text: str, output: str):
+    """How often each letter occurs: an encoder that SQL can follow."""
+    low = F.lower(text)
+    return df.withColumn(output, F.array(*[(F.char_length(low) - F.char_length(F.replace(low, F.lit(c), F.lit("")))).cast("double")
+                                           for c in _LETTERS]))
+
+
+def _letters_sql(text: str) -> str:
+    return "[" + ", ".join(f"(length({text}) - length(replace({text}, '{c}', '')))::DOUBLE" for c in _LETTERS) + "]"
+
+
+@case("select_for_question", f"""
+    WITH c AS (SELECT *, lower(title || ' ' || description) AS t FROM {sql_shape('candidates')}),
+      s AS (SELECT *, list_cosine_similarity({_letters_sql('t')}, {_letters_sql(f"lower('{_ASKED}')")}) AS similarity FROM c),
+      r AS (SELECT *, CAST(row_number() OVER (ORDER BY ROUND(similarity, 9) DESC NULLS LAST, doc_id) AS INT) AS rank FROM s WHERE NOT isnan(similarity))
+    SELECT doc_id, ROUND(similarity, 6) AS similarity_score, rank, COALESCE(NULLIF(concat_ws('; ',
+      CASE WHEN similarity > 0.7 THEN 'High semantic similarity to research question' END,
+      CASE WHEN download_count > 1000 THEN 'Popular dataset with high download count' END,
+      CASE WHEN usability_rating > 7 THEN 'High usability rating' END, CASE WHEN vote_count > 10 THEN 'Well-voted dataset' END), ''),
+      'Selected based on semantic similarity') AS selection_reason FROM r WHERE rank <= 3""")
+def select_for_question(spark, sf_dir):
+    found = search.select_for_question(shape(spark, sf_dir, "candidates"), _ASKED, "doc_id", encode=_letter_counts)
+    return found.select("doc_id", F.round("similarity_score", 6).alias("similarity_score"), "rank", "selection_reason")
+
+
 @case("search_similar_insights", f"""
     SELECT e.vec_id, ROUND({_COSINE}, 6) AS similarity FROM embeddings e, {_QUESTION.replace('$IDS', '4')}
     WHERE e.label < 5 ORDER BY ROUND({_COSINE}, 9) DESC, e.vec_id LIMIT 5""")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.text import file_stem
-from ..functions.vectors import COMPARE_DECIMALS, cosine_to
+from ..functions.text import file_stem, selection_reason
+from ..functions.vectors import COMPARE_DECIMALS, cosine_to, hashing_encode
 
 
 def semantic_rank(candidates: DataFrame, question: list[float], vector: str = "embedding") -> DataFrame:
@@ -23,6 +23,27 @@ def semantic_topk(candidates: DataFrame, question: list[float], k: int, key: str
     return ranked.orderBy(F.desc(F.round("similarity", COMPARE_DECIMALS)), F.asc(key)).limit(k)
 
 
+def select_for_question(candidates: DataFrame, question: str, key: str, k: int = 3, title: str = "title", description: str = "description",
+                        downloads: str = "download_count", usability: str = "usability_rating", votes: str = "vote_count",
+                        encode: Callable[[DataFrame, str, str], DataFrame] = hashing_encode) -> DataFrame:
+    """The k candidates nearest to a question in words, with ``similarity_score``, ``rank`` and ``selection_reason``.
+
+    Question and candidates (title, a space, description) go through the same encoder, ``encode(df, text,
+    output)``, which must encode row by row alike in any frame. Equal scores go by key.
+    """
+    spark = candidates.sparkSession
+    asked = encode(spark.createDataFrame([(question,)], "text string"), "text", "vector").first()["vector"]
+    text = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))
+    held = F.struct(*[F.col(c) for c in (key, title, downloads, usability, votes)])
+    encoded = encode(candidates.select(held.alias("held"), F.col(key).alias("key"), text.alias("text")), "text", "vector")
+    best = semantic_topk(encoded.select("held", "key", "vector"), [float(x) for x in asked], k, "key", "vector")
+    order = Window.orderBy(F.desc(F.round("similarity", COMPARE_DECIMALS)), F.asc("key"))  # of k rows
+    return best.select(
+        "held.*", F.col("similarity").alias("similarity_score"), F.row_number().over(order).alias("rank"),
+        selection_reason(F.col("similarity"), F.col(f"held.{downloads}"), F.col(f"held.{usability}"), F.col(f"held.{votes}"))
+        .alias("selection_reason"))
+
+
 def topk_per_question(candidates: DataFrame, questions: list[tuple[int, list[float]]], k: int, key: str,
                       vector: str = "embedding") -> DataFrame:
     """``(question_id, key, similarity, rank)``: the k best candidates of each of many questions.

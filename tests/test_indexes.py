@@ -81,3 +81,14 @@ def test_files_of_any_size_are_classified(spark, tmp_path):
                      "empty": (0, "", "unknown")}
     listed = files.file_manifest(spark, f"file://{tmp_path}").where("file_type = 'unknown'")
     assert listed.count() == 4 and math.isclose(files.file_manifest(spark, str(tmp_path / "large"), sniff=True).first()["length"], 3 << 30)
+
+
+def test_a_question_finds_the_candidates_that_share_its_words(spark):
+    from sondage.operators import search
+
+    rows = [(1, "rain and snow", None, 5, 1, 1), (2, "rain in spring", "how much rain falls in spring", 2000, 9, 50), (3, "", "", 0, 0, 0),
+            (4, "stock prices", "by day", 0, 0, 0)]
+    frame = spark.createDataFrame(rows, "id bigint, title string, description string, download_count bigint, usability_rating bigint, vote_count bigint")
+    got = search.select_for_question(frame, "how much rain falls in spring", "id", k=2).orderBy("rank").collect()
+    assert [r["id"] for r in got] == [2, 1] and got[0]["similarity_score"] > 0.7 > got[1]["similarity_score"]
+    assert got[0]["selection_reason"].startswith("High semantic similarity") and got[1]["selection_reason"].startswith("Selected based")
