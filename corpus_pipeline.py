@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sondage.llm import decontaminate, language, packing, partenum, quality
-from sondage.llm.frames import saved
+from sondage.llm.frames import cleared, remove
 from sondage.llm.registry import table, tokenizer_path
+from sondage.session import shared_path
 
 #: Tokenizers and models have no counterpart in SQL; tests compare with a plain version.
 ORACLE_SQL = None
@@ -54,8 +55,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over ``documents``, each written and read again.
+
+    What a stage keeps in the shared folder on its way goes once its result is written, and
+    a stage's result goes once the next one's is; the last stage's tables stay, as its result is read from them.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        path = shared_path(spark, name)
+        with cleared(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import shared_path
 
@@ -24,6 +25,9 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[column(old).alias(new) for new, old in names.items()])
 
 
+_held: list[list[str]] = []  # the tables saved in each open ``cleared``
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The frame written as Parquet in the shared folder and read again.
 
@@ -32,9 +36,30 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    for scope in _held:
+        scope.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that were saved inside when it ends: what is made of them must be written by then."""
+    scope: list[str] = []
+    _held.append(scope)
+    try:
+        yield
+    finally:
+        _held.pop()
+        for path in scope:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder, whatever file system that is on."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def text_hash(seed: int) -> Column:
     return F.xxhash64("text", F.lit(seed)).alias("_hash")
 

@@ -1,16 +1,22 @@
 """Cases of the second verdict."""
 
+import math
+import os
 import random
+import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sondage.llm import decontaminate, huffman, quality, token_counts, urlrules
+import corpus_pipeline
+from sondage.llm import decontaminate, huffman, language, quality, token_counts, toxicity, urlrules
 from sondage.llm.queries import CASES
 from sondage.llm.registry import table, tokenizer_path
 from sondage.llm.tokens import Encoder
-from sondage.session import shared_path
+from sondage.session import checkpoint_dir, shared_path
 from tools.compare import compare, connect
 
 
@@ -180,3 +186,71 @@ def test_planted_labels_become_rules(spark):
     rows = {r["page_id"]: r for r in urlrules.judge(pages, known, rules=[]).collect()}
     assert all(rows[k]["verdict"] == ("block" if "/ads/" in u else "allow") for k, u in enumerate(urls))
     assert all(list(rows[k]["mined"]) == ["dir:ads" if "/ads/" in u else "dir:news"] for k, u in enumerate(urls))
+
+
+def test_packed_pieces_are_the_librarys(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    library = Encoder(tokenizer_path()).tokenizer
+    want = set()
+    for r in table(spark, sf_dir, "documents").collect():
+        ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        want |= {(r["doc_id"], k, a, len(ids[a:a + 4096]), zlib.crc32(np.array(ids[a:a + 4096], "<u4").tobytes()))
+                 for k, a in enumerate(range(0, len(ids), 4096))}
+    rows = CASES["op2_packing"](spark, sf_dir).collect()
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows} == want and len(rows) == len(want)
+
+
+def test_the_pipeline_leaves_only_its_last_tables(spark):
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    left = {n.rpartition("-")[0] for n in set(os.listdir(folder)) - before}
+    assert "decontamination" in left and not left & {"quality_rules", "language_id", "near_duplicates", "shingle-sets", "links", "pairs"}
+
+
+def plain_bytes(text, digits):
+    """Bytes with ASCII letters in lower case and every other ASCII sign (but digits, if kept) as a space."""
+    return bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or digits and 48 <= b <= 57 else 32
+                 for b in (text or "").encode())
+
+
+def test_language_scores_gram_by_gram(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    model = language.train(docs)
+    texts = [r["text"] for r in docs.limit(25).collect()] + [None, "", "ab", "  ", "ça va très bien", "42 + 17", "x" * 300]
+    langs, scores, _ = model.predict(pa.array(texts, pa.string()))
+    for text, lang, score in zip(texts, langs, scores):
+        low, counts = plain_bytes(text, False), {}
+        for a, b, c in zip(low, low[1:], low[2:]):
+            if not (a == 32 and b == 32):
+                h = (a * 0x9E3779B1 & 0xFFFFFFFF) ^ (b * 0x85EBCA77 & 0xFFFFFFFF) ^ (c * 0xC2B2AE3D & 0xFFFFFFFF)
+                h = ((h ^ h >> 16) * 0x2C1B3C6D & 0xFFFFFFFF) >> (32 - language.BITS)
+                counts[h] = counts.get(h, 0) + 1
+        if not any(ch.isalpha() for ch in text or ""):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        weights = {h: math.log1p(n) * float(model.idf[h]) for h, n in counts.items()}
+        length = math.sqrt(sum(w * w for w in weights.values())) or 1.0
+        cosines = [sum(w * float(centre[h]) for h, w in weights.items()) / length for centre in model.centres]
+        assert score == pytest.approx(min(max(max(cosines), 0.0), 1.0), abs=1e-4)
+        assert cosines[model.names.index(lang)] <= max(cosines) + 1e-6
+        assert max(c for c, name in zip(cosines, model.names) if name == lang) == pytest.approx(max(cosines), abs=1e-4)
+
+
+def test_toxicity_scores_gram_by_gram(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs.join(table(spark, sf_dir, "labels"), "doc_id"), label="toxic")
+    assert np.count_nonzero(model.weights) > 100
+    texts = [r["text"] for r in docs.limit(25).collect()] + [None, "", "abc", " -- ", "Ça va, toi?", "a  b  c  d"]
+    for text, score in zip(texts, model.scores(pa.array(texts, pa.string()))):
+        low = re.sub(rb" +", b" ", plain_bytes(text, True))
+        found = set()
+        for n in toxicity.GRAMS:
+            for i in range(len(low) - n + 1):
+                h = n
+                for b in low[i:i + n]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ b
+                found.add(((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> (32 - toxicity.BITS))
+        total = sum(model.weights[h] for h in found) + model.bias
+        assert score == pytest.approx(1 / (1 + math.exp(-min(max(total, -40.0), 40.0))), abs=1e-9)
