@@ -47,7 +47,7 @@ BROADCAST_BYTES = 32 << 20
 BLOCK = 4096
 FEW = 16  # members up to which a bucket is compared pair by pair on whole numbers rather than on arrays
 SENT = 1 << 16  # pairs a task gathers before it sends them on
-LEAST_CELLS, MOST_CELLS = 1 << 8, 1 << 16
+LEAST_CELLS, MOST_CELLS = 1 << 10, 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -335,7 +335,8 @@ class Join:
         return saved(frame if rows == ids.count() else frame.dropDuplicates(["cls"]), "shingle-sets")
 
     def candidates(self, rows: DataFrame, star: bool) -> DataFrame:
-        """Pairs (a, b), a below b, of bucket rows with their sketches and components."""
+        """Pairs (a, b), a below b, of bucket rows with their sketches and components, and the ``sig`` of every bucket
+        that has any, in rows of its own."""
         num, den = self.numerator, self.denominator
         others = F.sequence(F.lit(0), F.col("blocks") - 1)
         spread = rows.withColumn("other", F.explode(others)).select(
@@ -353,12 +354,17 @@ class Join:
             return np.concatenate([np.zeros((0, 2), np.int64), *[np.column_stack(f) for f in found]])
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, held, found, waiting = None, [], [], 0
+            key, held, found, live, waiting = None, [], [], [], 0
 
             def sent() -> pa.RecordBatch:
                 both = np.concatenate([np.zeros((0, 2), np.int64), *found])
                 both = np.unique(np.sort(both, axis=1), axis=0)
-                return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                sigs = np.unique(np.array(live if star else [], np.int64))
+                none, gap = np.zeros(len(sigs), np.int64), np.zeros(len(both), bool)
+                pair = np.concatenate([gap, np.ones(len(sigs), bool)])  # rows without a pair
+                return pa.RecordBatch.from_arrays(
+                    [*[pa.array(np.concatenate([both[:, k], none]), mask=pair) for k in (0, 1)],
+                     pa.array(np.concatenate([np.zeros(len(both), np.int64), sigs]), mask=~pair)], ["a", "b", "sig"])
 
             for batch in batches:
                 keys = zip(*[batch.column(n).to_numpy().tolist() for n in ("sig", "i", "j")])
@@ -369,18 +375,22 @@ class Join:
                         if len(held) > 1:
                             found.append(pairs(held))
                             waiting += len(found[-1])
-                            if not len(found[-1]):
+                            if len(found[-1]):
+                                live.append(key[0])
+                            else:
                                 found.pop()
                         if waiting > SENT:
                             yield sent()
-                            found, waiting = [], 0
+                            found, live, waiting = [], [], 0
                         key, held = this, []
                     held.append(value)
             if len(held) > 1:
                 found.append(pairs(held))
+                if len(found[-1]):
+                    live.append(key[0])
             yield sent()
 
-        return dealt.mapInArrow(task, "a bigint, b bigint").distinct()
+        return dealt.mapInArrow(task, "a bigint, b bigint, sig bigint").distinct()
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar enough."""
@@ -409,13 +419,16 @@ class Join:
         placed = shared.withColumns({
             "block": F.floor((F.row_number().over(ends.orderBy("cls")) - 1) / BLOCK).cast("int"),
             "size": F.count(F.lit(1)).over(ends)}).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        rows = placed.join(sets.select("cls", "n", "sketch"), "cls")
-        first = saved(self.candidates(rows.withColumn("root", F.col("cls")), star=True), "pairs")
+        sketches = sets.select("cls", "n", "sketch")
+        found = saved(self.candidates(placed.join(sketches, "cls").withColumn("root", F.col("cls")), star=True), "pairs")
+        first = found.where("a is not null").select("a", "b")
         links = self.verified(first, sets)
         roots = saved(components(links).select(F.col("node").alias("cls"), "root"), "roots")
-        # Of two members the first round has compared all there is.
-        known = rows.where("size > 2").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        rest = saved(self.candidates(known, star=False).join(first, ["a", "b"], "left_anti"), "pairs")
+        # Of two members, and where it found no pair, the first round has compared all there is.
+        live = found.where("sig is not null").select("sig").distinct()
+        left = placed.where("size > 2").join(live, "sig", "left_semi").join(sketches, "cls")
+        known = left.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        rest = saved(self.candidates(known, star=False).select("a", "b").join(first, ["a", "b"], "left_anti"), "pairs")
         more = self.verified(rest, sets)
         if more.isEmpty():
             return roots
