@@ -12,21 +12,46 @@ null; a null text holds nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schema import quoted
 
 GRAM = 3
 RAREST = 4  # grams of a query that are looked up
+SENT = 1 << 18  # postings a task gathers before it sends them on
 
 
-def grams(text: Column) -> Column:
-    """The distinct runs of three characters."""
-    starts = F.sequence(F.lit(1), F.char_length(text) - (GRAM - 1))
-    return F.when(F.char_length(text) >= GRAM, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(GRAM))))
-                  ).otherwise(F.array().cast("array<string>"))
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, gram`` from ``key, text`` in UTF-8: three characters are one number, so a text's grams are one sort of its length."""
+    for batch in batches:
+        keys = batch.column("key")
+        places, found, waiting = [], [], 0
+        for i, text in enumerate(batch.column("text")):
+            letters = np.frombuffer((text.as_py() or b"").decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+            if len(letters) < GRAM:
+                continue
+            runs = np.unique(letters[:-2] << np.uint64(42) | letters[1:-1] << np.uint64(21) | letters[2:])
+            places.append(np.full(len(runs), i))
+            found.append(runs)
+            waiting += len(runs)
+            if waiting > SENT:
+                yield _rows(keys, places, found)
+                places, found, waiting = [], [], 0
+        if found:
+            yield _rows(keys, places, found)
+
+
+def _rows(keys: pa.Array, places: list[np.ndarray], found: list[np.ndarray]) -> pa.RecordBatch:
+    runs, which = np.unique(np.concatenate(found), return_inverse=True)
+    letters = np.column_stack([runs >> np.uint64(42), runs >> np.uint64(21), runs]) & np.uint64((1 << 21) - 1)
+    joined = letters.astype("<u4").tobytes().decode("utf-32-le")
+    names = pa.array([joined[i:i + GRAM] for i in range(0, len(joined), GRAM)], pa.string())
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(places))), names.take(pa.array(which))], ["key", "gram"])
 
 
 @dataclass(frozen=True)
@@ -46,7 +71,9 @@ class TextIndex:
         spark = df.sparkSession
         df.select(quoted(key).alias("key"), F.lower(text.cast("string")).alias("text")).write.mode("overwrite").parquet(f"{path}/texts")
         texts = spark.read.parquet(f"{path}/texts")
-        postings = texts.select("key", F.explode(grams(F.col("text"))).alias("gram"))
+        kind = texts.schema["key"].dataType.simpleString()
+        held = texts.select("key", F.col("text").cast("binary").alias("text"))
+        postings = held.mapInArrow(_postings, f"key {kind}, gram string")
         postings.repartitionByRange("gram", "key").sortWithinPartitions("gram", "key").write.mode("overwrite").parquet(f"{path}/postings")
         index = TextIndex(spark, path)
         index._postings().groupBy("gram").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/grams")

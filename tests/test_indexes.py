@@ -92,3 +92,17 @@ def test_a_question_finds_the_candidates_that_share_its_words(spark):
     got = search.select_for_question(frame, "how much rain falls in spring", "id", k=2).orderBy("rank").collect()
     assert [r["id"] for r in got] == [2, 1] and got[0]["similarity_score"] > 0.7 > got[1]["similarity_score"]
     assert got[0]["selection_reason"].startswith("High semantic similarity") and got[1]["selection_reason"].startswith("Selected based")
+
+
+def test_long_texts_are_indexed_in_time_with_their_length(spark, tmp_path):
+    from time import monotonic
+
+    # A walk from the text's beginning to each of its grams takes minutes for these.
+    texts = ["".join(chr(97 + (i * i // 7 + k) % 26) for i in range(400_000)) + f"end{k}😀é" for k in range(4)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "key bigint, text string").repartition(4)
+    begun = monotonic()
+    index = TextIndex.build(frame, str(tmp_path / "long"), "key", F.col("text"))
+    assert [r["key"] for r in index.holding("D2😀É").collect()] == [2]
+    assert monotonic() - begun < 60
+    postings = {(r["key"], r["gram"]) for r in spark.read.parquet(str(tmp_path / "long/postings")).collect()}
+    assert postings == {(k, t[i:i + 3]) for k, t in enumerate(texts) for i in range(len(t) - 2)}
