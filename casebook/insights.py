@@ -105,12 +105,13 @@ def describe_table(spark, sf_dir):
 
 @case("combine_summaries", f"""
     WITH s AS (SELECT run_id, event_id, status, 'File ' || original_path || ' has ' || cleaned_rows || ' rows.' AS summary FROM {sql_shape('file_summaries')})
-    SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY event_id) - 1 AS position, summary FROM s WHERE status = 'success'
-    UNION ALL SELECT run_id, 0, 'No dataset summaries available.' FROM s GROUP BY run_id HAVING COUNT(*) FILTER (status = 'success') = 0""")
+    , p AS (SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY event_id) - 1) // 1000 AS part FROM s WHERE status = 'success')
+    SELECT run_id, part, COUNT(*) AS n_summaries, string_agg(summary, ' ' ORDER BY event_id) AS combined FROM p GROUP BY run_id, part
+    UNION ALL SELECT run_id, 0, 0, 'No dataset summaries available.' FROM s GROUP BY run_id HAVING COUNT(*) FILTER (status = 'success') = 0""")
 def combine_summaries(spark, sf_dir):
     files = shape(spark, sf_dir, "file_summaries")
     text = F.concat(F.lit("File "), "original_path", F.lit(" has "), F.col("cleaned_rows").cast("string"), F.lit(" rows."))
-    return insights.combine_summaries(files.withColumn("summary", text), ["run_id"], "event_id")
+    return insights.combined_text(files.withColumn("summary", text), ["run_id"], "event_id")
 
 
 @case("stage_summary_text", f"""

@@ -9,7 +9,7 @@ from ..ordering import Lookup, dense_index, lookup_join
 from ..schema import columns_of, present, schema_table
 from .profile import column_profile
 
-
+SUMMARIES_PER_PART = 1000
 
 
 def _listed(facts: DataFrame, key: str, sentences: list[Column], name: str) -> DataFrame:
@@ -150,8 +150,25 @@ def combine_summaries(summaries: DataFrame, keys: list[str], order: str, text: s
     """The run's text as rows ``keys, position, summary``: the summaries of its successful tables in order.
 
     A run without any has one row, a fixed sentence. ``order`` must be unique within a run. The rows keep one
-    shape for a run of any number of tables; concatenated by position with a space they are the run's text.
+    shape for a run of any number of tables; ``combined_text`` joins them.
     """
+    return _placed_summaries(summaries, keys, order, text).select("run.*", "position", "summary")
+
+
+def combined_text(summaries: DataFrame, keys: list[str], order: str, text: str = "summary") -> DataFrame:
+    """The same summaries joined by a space, as rows ``keys, part, n_summaries, combined``.
+
+    A text comes in parts of up to a thousand summaries, numbered from 0: most runs have one part, and a run of
+    very many tables is never gathered in one task. The fixed sentence counts no summary.
+    """
+    placed = _placed_summaries(summaries, keys, order, text)
+    parts = placed.groupBy("run", F.floor(F.col("position") / SUMMARIES_PER_PART).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("position", "summary"))).alias("held"), F.sum("found").alias("n_summaries"))
+    return parts.select("run.*", "part", "n_summaries", F.concat_ws(" ", F.col("held.summary")).alias("combined"))
+
+
+def _placed_summaries(summaries: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """``run, position, summary, found``: 1 for a summary, 0 for the sentence of a run without any."""
     good = (F.col("status") == "success") & F.col(text).isNotNull()
     run = F.struct(*[F.col(k) for k in keys])
     marked = summaries.select(run.alias("run"), F.col(order).alias("order"), F.when(good, F.col(text)).alias("text"))
@@ -159,10 +176,10 @@ def combine_summaries(summaries: DataFrame, keys: list[str], order: str, text: s
     starts = placed.groupBy("run").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n"))
     sizes = starts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     begun = lookup_join(placed, Lookup(starts, *sizes), F.col("run"), "run", ["start"])
-    listed = begun.select("run", (F.col("place") - F.col("start")).alias("position"), F.col("text").alias("summary"))
+    listed = begun.select("run", (F.col("place") - F.col("start")).alias("position"), F.col("text").alias("summary"), F.lit(1).alias("found"))
     none = marked.groupBy("run").agg(F.count("text").alias("n")).where("n = 0").select(
-        "run", F.lit(0).cast("bigint").alias("position"), F.lit("No dataset summaries available.").alias("summary"))
-    return listed.unionByName(none).select("run.*", "position", "summary")
+        "run", F.lit(0).cast("bigint").alias("position"), F.lit("No dataset summaries available.").alias("summary"), F.lit(0).alias("found"))
+    return listed.unionByName(none)
 
 
 def stage_summary_text(rollup: DataFrame) -> DataFrame:

@@ -304,6 +304,18 @@ def test_summaries_are_rows_in_order(spark):
     assert found == [*[("r", k, str(k)) for k in range(10)], ("s", 0, "No dataset summaries available.")]
 
 
+def test_a_run_gets_its_whole_text(spark, monkeypatch):
+    from sondage.operators import insights
+
+    monkeypatch.setattr(insights, "SUMMARIES_PER_PART", 4)
+    df = spark.range(10).select(F.lit("r").alias("run"), "id", F.lit("success").alias("status"), F.col("id").cast("string").alias("summary"))
+    others = spark.createDataFrame([("s", 1, "failed", "x"), ("t", 2, "success", "No dataset summaries available."), ("t", 1, "success", None)],
+                                   "run string, id long, status string, summary string")
+    found = rows(insights.combined_text(df.unionByName(others), ["run"], "id"), "run", "part", "n_summaries", "combined")
+    assert found == [("r", 0, 4, "0 1 2 3"), ("r", 1, 4, "4 5 6 7"), ("r", 2, 2, "8 9"),
+                     ("s", 0, 0, "No dataset summaries available."), ("t", 0, 1, "No dataset summaries available.")]
+
+
 def test_odd_names_and_limits(spark):
     from sondage.operators import tasks
 
