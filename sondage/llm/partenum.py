@@ -168,8 +168,12 @@ def fingerprint(elements: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """Parity of the elements in each cell: no more cells differ than elements do. About one cell per element."""
-    cells = 1 << int(np.clip(int(len(elements) - 1).bit_length(), LEAST_CELLS.bit_length() - 1, MOST_CELLS.bit_length() - 1))
+    """Parity of the elements in each cell: no more cells differ than elements do.
+
+    Five cells or more for eight elements: unlike sets then differ in half of the cells, more than the 2 / 9 of an
+    element each that similar ones may at 0.8. A bucket's rows carry their sketches, so twice as many are most of the shuffle.
+    """
+    cells = 1 << int(np.clip((max(len(elements) * 5 // 8, 1) - 1).bit_length(), LEAST_CELLS.bit_length() - 1, MOST_CELLS.bit_length() - 1))
     odd = np.bincount((_mix(elements + np.uint64(77)) % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -305,11 +309,16 @@ class Join:
         return map_slices(self.source, "text", work, "sig bigint, cls bigint")
 
     def buckets(self) -> DataFrame:
-        """``sig, cls`` of signatures that at least two classes share, each once."""
+        """``sig, cls`` of signatures that at least two classes share, each once, with its ``block`` of the bucket, their
+        number ``blocks`` and the bucket's ``size``."""
         signed = self.signed()
         ends = Window.partitionBy("sig")
         shared = signed.withColumns({"lo": F.min("cls").over(ends), "hi": F.max("cls").over(ends)}).where("lo != hi")
-        return saved(shared.select("sig", "cls").distinct(), "shared-signatures")
+        # One shuffle by signature serves all: what is saved here is not dealt by signature again.
+        placed = shared.select("sig", "cls").distinct().withColumns({
+            "block": F.floor((F.row_number().over(ends.orderBy("cls")) - 1) / BLOCK).cast("int"),
+            "size": F.count(F.lit(1)).over(ends)})
+        return saved(placed.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "shared-signatures")
 
     def sets(self, classes: DataFrame, members: DataFrame) -> DataFrame:
         """``cls, n, elements, sketch`` of the given classes, one row of each, from one document of each."""
@@ -413,12 +422,8 @@ class Join:
 
     def rooted(self, members: DataFrame) -> DataFrame:
         """``cls, root``: the component of every class that has a link."""
-        shared = self.buckets()
-        sets = self.sets(shared.select("cls").distinct(), members)
-        ends = Window.partitionBy("sig")
-        placed = shared.withColumns({
-            "block": F.floor((F.row_number().over(ends.orderBy("cls")) - 1) / BLOCK).cast("int"),
-            "size": F.count(F.lit(1)).over(ends)}).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        placed = self.buckets()
+        sets = self.sets(placed.select("cls").distinct(), members)
         sketches = sets.select("cls", "n", "sketch")
         found = saved(self.candidates(placed.join(sketches, "cls").withColumn("root", F.col("cls")), star=True), "pairs")
         first = found.where("a is not null").select("a", "b")
