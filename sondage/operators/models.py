@@ -182,11 +182,17 @@ def _evaluator(task: str) -> Evaluator:
     return RegressionEvaluator(metricName="r2")
 
 
+def _spread(data: DataFrame) -> DataFrame:
+    """The rows held in memory, in a part per core at least: fits scan them hundreds of times, and a small file is one part."""
+    parts = max(data.sparkSession.sparkContext.defaultParallelism, data.rdd.getNumPartitions())
+    return data.repartition(parts).persist()
+
+
 def cross_validate(data: DataFrame, models: dict[str, Estimator], task: str, folds: int = FOLDS,
                    parallelism: int = 8) -> DataFrame:
     """``(model, fold, score, error)``; a model that fails is kept with its error and no score."""
     evaluator = _evaluator(task)
-    cached = data.persist()
+    cached = _spread(data)
 
     def score(job: tuple[str, Estimator, int]) -> tuple[str, int, float | None, str | None]:
         name, model, fold = job
@@ -262,7 +268,7 @@ def tune_grid(data: DataFrame, model: Estimator, grid: list[dict], task: str, ol
     schema = "params string, score double, best boolean, improvement double"
     if not grid:
         return data.sparkSession.createDataFrame([("", old_score, True, 0.0)], schema), {}
-    cached = data.persist()
+    cached = _spread(data)
     fitted = CrossValidator(
         estimator=model, estimatorParamMaps=grid, evaluator=_evaluator(task), numFolds=folds, foldCol="fold",
         parallelism=parallelism, seed=SEED).fit(cached)

@@ -144,3 +144,26 @@ def test_several_tables_are_rolled_up(spark):
     assert results.count() == 22 and {r["run_id"] for r in results.select("run_id").distinct().collect()} == {"one", "two"}
     row = rollup.first()
     assert (row["total_files"], row["successful_files"], row["total_original_rows"], row["total_duplicates_removed"]) == (2, 2, 85, 5)
+
+
+def test_fits_use_every_core_though_the_input_is_one_part(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+    from sondage.operators import models
+
+    rows = spark.range(100, numPartitions=1).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("label"),
+                                                    (F.col("id") % 5).cast("int").alias("fold"))
+    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+    seen = []
+
+    class Half:
+        def fit(self, train):
+            seen.append((train.rdd.getNumPartitions(), train.count()))
+            return self
+
+        def transform(self, test):
+            return test.withColumn("prediction", F.col("label"))
+
+    scores = models.cross_validate(data, {"half": Half()}, "classification").collect()
+    assert [(r["fold"], r["score"], r["error"]) for r in scores] == [(k, 1.0, None) for k in range(5)]
+    assert seen == [(spark.sparkContext.defaultParallelism, 80)] * 5
